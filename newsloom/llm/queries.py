@@ -25,17 +25,35 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.runindex import drop_repeats
+
+    return drop_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.jaccard import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsloom.llm.mixing import mix_sources
 
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op9_automata_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.automata import drop_repeats
+
+    return drop_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    from newsloom.llm import decontaminate, topk
+    from newsloom.llm import automata, decontaminate, jaccard, topk
 
-    return {"op1_topk_search": topk.ORACLE_SQL, "op2_decontaminate": decontaminate.ORACLE_SQL}
+    return {"op1_topk_search": topk.ORACLE_SQL, "op2_decontaminate": decontaminate.ORACLE_SQL, "op4_jaccard_join": jaccard.ORACLE_SQL, "op9_automata_dedup": automata.ORACLE_SQL}

@@ -125,20 +125,38 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """For each full window of width values, the index of its first smallest."""
-    m = len(values) - width + 1
-    if m <= 0:
+    """For each full window of width values, the index of the first with the smallest upper half."""
+    if len(values) < width:
         return np.zeros(0, np.int64)
-    low, at, span = values.copy(), np.arange(len(values), dtype=np.int32), 1
+    low = (values & _U(0xFFFFFFFF00000000)) | np.arange(len(values), dtype=np.uint64)
+    span = 1
     while span < width:
         step = min(span, width - span)
-        right = low[step:]
-        less = right < low[:-step]
-        # the right part starts later: on a tie the left one stays
-        low = np.where(less, right, low[:-step])
-        at = np.where(less, at[step:], at[:-step])
+        low = np.minimum(low[:-step], low[step:])
         span += step
-    return at[:m].astype(np.int64)
+    return (low & _U(0xFFFFFFFF)).astype(np.int64)
+
+
+def anchor_runs(order: np.ndarray, off: np.ndarray, length: int, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Winnowing: runs of windows of `length` units in one document that have the same anchor.
+
+    order ranks the parts of `part` units at each start; a window's anchor is the
+    first of its parts that ranks lowest, so equal windows have equal anchors at
+    equal places. Returns, for each run, its document, first window, number of
+    windows and anchor (indexes in the slice). off: n + 1 offsets of documents.
+    """
+    none = np.zeros(0, np.int64)
+    at = sliding_argmin(order, length - part + 1)
+    if not len(at):
+        return none, none, none, none
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(at)]
+    windows = np.flatnonzero(np.arange(len(at)) + length <= off[doc + 1])
+    if not len(windows):
+        return none, none, none, none
+    at = at[windows]
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    count = np.diff(np.concatenate((first, [len(at)])))
+    return doc[windows[first]], windows[first], count, at[first]
 
 
 def signed(x: np.ndarray) -> np.ndarray:
