@@ -75,9 +75,9 @@ def pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.Rec
         yield batch.slice(i, j - i), data[at[i] : at[j]], at[i : j + 1] - at[i]
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and n + 1 offsets of the documents' words."""
-    dark = ~SPACE[data]
+    dark = ~space[data]
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(at), np.int64)
