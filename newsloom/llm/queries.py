@@ -49,6 +49,12 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.pagetree import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_automata_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsloom.llm.automata import drop_repeats
 
