@@ -37,6 +37,12 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.linejoin import removals
+
+    return removals(table(spark, sf_dir, "documents"))
+
+
 def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsloom.llm.disclosure import report
 
