@@ -14,7 +14,8 @@ follows the number of documents.
 Defined results: null text has size 0 and takes part with it; null is a source of
 its own, last in order; a source without words gets target 0; repeated rows are
 counted each; an empty table gives no rows; other columns are ignored unless they
-are asked for by name.
+are asked for by name, and then those named like a result give way to it (doc_id must
+be a key).
 """
 
 from __future__ import annotations
@@ -138,7 +139,10 @@ def mix_sources(docs: DataFrame, keep: tuple[str, ...] = (), weights=WEIGHTS, sh
     out = mixed.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "taken")
     if not keep:
         return out
-    return docs.select("doc_id", *keep).join(out, "doc_id")
+    out = out.withColumnRenamed("doc_id", "_id")
+    clash = [c for c in keep if c in out.columns]
+    texts = docs.select("doc_id", *[c for c in keep if c not in clash])
+    return texts.join(out, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
 
 
 #: DuckDB, for all that is fixed: not for `taken`, which depends on Spark's hash.
