@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.llm import textscan as ts
-from newsloom.llm.durable import cut, narrow
+from newsloom.llm.durable import cut
 
 LENGTH = 13
 PART = 4
@@ -200,7 +200,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, part: int = PART, ho
     wanted = kinds.filter("n > 1").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list(F.struct("key", "passage", "at", (F.col("n") > hot).alias("hot"))).alias("wanted"))
     wanted = cut(wanted)
     passages = cut(
-        texts.join(narrow(wanted, 20_000), "doc_id").mapInArrow(lambda it: _read_passages(it, length), "key long, passage long, first long, hot boolean, symbols binary")
+        texts.join(wanted, "doc_id").mapInArrow(lambda it: _read_passages(it, length), "key long, passage long, first long, hot boolean, symbols binary")
     )
     shards = max(1, -(-passages.filter("not hot").count() // SHARD_PASSAGES))
     streamed = (
@@ -222,7 +222,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, part: int = PART, ho
 def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept: every document without the windows that an earlier one has."""
     cuts = cut(repeated_windows(docs, length))
-    joined = docs.select("doc_id", "text").join(narrow(cuts, 20_000), "doc_id", "left")
+    joined = docs.select("doc_id", "text").join(cuts, "doc_id", "left")
     return joined.select("doc_id", "text", "cuts").mapInArrow(lambda it: _keep(it, length), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 

@@ -31,82 +31,110 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.llm import textscan as ts
-from newsloom.llm.durable import cut, narrow
+from newsloom.llm.durable import cut
 
 LENGTH = 400
 PART = 64
-SHARD_BYTES = 1_500_000
+SHARD_BYTES = 1_000_000
 HOT_PASSAGES = 2_000
 
 _U = np.uint64
 _SPAN = 1024
+_STEP = 64
+
+
+def _order(values: np.ndarray) -> np.ndarray:
+    """argsort of values from 0 up; with the places in the lower bits a plain sort does, which is faster."""
+    bits = len(values).bit_length()
+    if len(values) and int(values.max()).bit_length() + bits > 63:
+        return np.argsort(values)
+    return np.sort((values << bits) | np.arange(len(values))) & ((1 << bits) - 1)
 
 
 class RunLengthIndex:
-    """Of several byte strings, each closed by an end mark of its own."""
+    """Of several byte strings, each closed by an end mark. Matches shorter than least may count as 0."""
 
-    def __init__(self, strings: list[bytes]) -> None:
+    def __init__(self, strings: list[bytes], least: int = 0) -> None:
         n = sum(map(len, strings)) + len(strings)
         self.starts = np.concatenate(([0], np.cumsum([len(s) + 1 for s in strings])))[:-1].astype(np.int64)
-        text = np.zeros(n, np.int64)
         ends = self.starts + np.array([len(s) for s in strings], np.int64)
-        body = np.ones(n, bool)
-        body[ends] = False
-        text[body] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + len(strings)
-        text[ends] = np.arange(len(strings))
-        self.to_end = np.repeat(ends, np.diff(np.concatenate((self.starts, [n])))) - np.arange(n)
-        self.text = text
-        order, rank = self._sort(text)
-        before = np.concatenate((text[-1:], text[:-1]))[order]
+        self.text = text = np.zeros(n + _STEP, np.int16)  # 0: an end mark
+        text[:n] = np.frombuffer(b"\0".join([*strings, b""]), np.uint8).astype(np.int16) + 1
+        text[ends] = 0
+        self.n = n
+        self.to_end = (np.repeat(ends, np.diff(np.concatenate((self.starts, [n])))) - np.arange(n)).astype(np.int32)
+        order, alike = self._sort(text, n, least)
+        before = text[order - 1]
+        before[order == 0] = 0
         #: The transform's runs: heads[i] .. heads[i + 1] - 1 have one byte.
         self.heads = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
         self.bytes = before[self.heads]
         last = np.concatenate((self.heads[1:], [n])) - 1
+        # what follows an end mark is another string, so such runs are sampled throughout
+        loose = np.flatnonzero(before == 0)
+        first, last = np.union1d(self.heads, loose), np.union1d(last, loose)
         #: Samples, text position and match with the neighbour outside the run, for first and last suffix of each run.
-        self.up = order[self.heads], self._match(order[self.heads], order[self.heads - 1]) * (self.heads > 0)
-        after = order[(last + 1) % n]
-        self.down = order[last], self._match(order[last], after) * (last < n - 1)
+        self.up = self._sample(order[first], order[first - 1], first > 0, alike)
+        self.down = self._sample(order[last], order[(last + 1) % n], last < n - 1, alike)
+
+    def _sample(self, at: np.ndarray, neighbour: np.ndarray, there: np.ndarray, alike: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        found = np.zeros(len(at), np.int64)
+        on = np.flatnonzero(there if alike is None else there & (alike[at] == alike[neighbour]))
+        found[on] = self._match(at[on], neighbour[on])
+        return at, found
 
     @staticmethod
-    def _sort(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Order of the suffixes and their ranks, by doubling."""
-        n, span = len(text), 1
-        _, rank = np.unique(text, return_inverse=True)
-        rank = rank.astype(np.int64)
+    def _sort(text: np.ndarray, n: int, least: int) -> tuple[np.ndarray, np.ndarray | None]:
+        """Order of the suffixes: by 4 bytes, then doubling where suffixes still tie. Also groups of
+        suffixes that are alike in the longest length of at most least that doubling passes."""
+        alike = None
+        key = np.zeros(n, np.int64)
+        for k in range(4):
+            key = (key << 9) | text[k : k + n]
+        order = _order(key)
+        new = np.concatenate(([True], np.diff(key[order]) != 0))
+        del key
+        rank = np.empty(n + 1, np.int64)  # the first place of a suffix's group; the empty suffix is first of all
+        span = 4
+        rank[n] = -1
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
         while True:
-            second = np.zeros(n, np.int64)
-            second[: max(n - span, 0)] = rank[span:] + 1
-            both = rank * (n + 1) + second
-            order = np.argsort(both, kind="stable")
-            ordered = both[order]
-            new = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
-            rank = np.empty(n, np.int64)
-            rank[order] = new
-            if new[-1] == n - 1 or span >= n:
-                return order, rank
+            if span <= least < 2 * span:
+                alike = rank[:n].copy()
+            tied = np.flatnonzero(~(new & np.concatenate((new[1:], [True]))))
+            if not len(tied):
+                return order, alike if alike is not None or span > least else rank[:n]
+            suffix = order[tied]
+            group = rank[suffix]
+            both = group * (n + 1) + rank[np.minimum(suffix + span, n)] + 1
+            by = _order(both)
+            suffix, both = suffix[by], both[by]
+            order[tied] = suffix  # groups are in order of their places, so all stay in their own
+            fresh = np.concatenate(([True], both[1:] != both[:-1]))
+            new[tied] = fresh
+            rank[suffix] = np.maximum.accumulate(np.where(fresh, tied, 0))
             span *= 2
 
     def _match(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common prefix lengths of suffixes a and b, up to the nearer end mark."""
-        limit = np.minimum(self.to_end[a], self.to_end[b])
         out = np.zeros(len(a), np.int64)
-        on = np.flatnonzero(limit > 0)
-        step = 32
-        while len(on):
-            # a block of bytes at a time for the pairs that still agree
-            at = out[on][:, None] + np.arange(step)
-            inside = at < limit[on][:, None]
-            x = self.text[np.minimum(a[on][:, None] + at, len(self.text) - 1)]
-            y = self.text[np.minimum(b[on][:, None] + at, len(self.text) - 1)]
-            agree = (x == y) & inside
-            run = np.where(agree.all(axis=1), step, agree.argmin(axis=1))
-            out[on] += run
-            on = on[run == step]
+        steps = np.arange(_STEP)
+        for c in range(0, len(a), 1 << 14):
+            x, y, found = a[c : c + (1 << 14)], b[c : c + (1 << 14)], out[c : c + (1 << 14)]
+            on = np.arange(len(x))
+            while len(on):
+                # a block of bytes at a time for the pairs that still agree
+                i, j = (x[on] + found[on])[:, None] + steps, (y[on] + found[on])[:, None] + steps
+                left = self.text[i]
+                agree = (left == self.text[j]) & (left != 0)
+                run = np.where(agree.all(axis=1), _STEP, agree.argmin(axis=1))
+                found[on] += run
+                on = on[run == _STEP]
         return out
 
     def matching_statistics(self) -> np.ndarray:
         """For each text position, the longest match of its suffix elsewhere, streamed from the samples."""
-        n = len(self.text)
+        n = self.n
         best = np.zeros(n, np.int64)
         for at, length in (self.up, self.down):
             end = np.full(n, -1, np.int64)
@@ -160,7 +188,7 @@ def _ranges(flags: np.ndarray) -> list[int]:
 def _stream(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     pdf = pdf.drop_duplicates(["key", "passage"])
     bodies = list(pdf["body"])
-    index = RunLengthIndex(bodies)
+    index = RunLengthIndex(bodies, length)
     found = index.matching_statistics() >= length
     out = [_ranges(found[s : s + len(b) - length + 1]) for s, b in zip(index.starts, bodies, strict=True)]
     return pd.DataFrame({"key": pdf["key"], "passage": pdf["passage"], "ranges": out})
@@ -215,7 +243,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, part: int = PART, hot:
     kinds = distinct.join(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
     copied = distinct.filter("copies > 1").select("key", "passage", F.array(F.lit(0), (F.col("at") % _SPAN).cast("int")).alias("ranges"))
     wanted = cut(kinds.filter("n > 1").groupBy("doc_id").agg(F.collect_list(F.struct("key", "passage", "at", (F.col("n") > hot).alias("hot"))).alias("wanted")))
-    passages = cut(texts.join(narrow(wanted, 20_000), "doc_id").mapInArrow(lambda it: _read_passages(it, length), "key long, passage long, hot boolean, body binary"))
+    passages = cut(texts.join(wanted, "doc_id").mapInArrow(lambda it: _read_passages(it, length), "key long, passage long, hot boolean, body binary"))
     total = passages.filter("not hot").agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_BYTES))
     streamed = (
@@ -235,5 +263,5 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, part: int = PART, hot:
 def drop_repeats(docs: DataFrame, length: int = LENGTH, part: int = PART) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept: every document without its repeated bytes."""
     cuts = cut(repeated_bytes(docs, length, part))
-    joined = docs.select("doc_id", "text").join(narrow(cuts, 20_000), "doc_id", "left")
+    joined = docs.select("doc_id", "text").join(cuts, "doc_id", "left")
     return joined.mapInArrow(lambda it: _keep(it, length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
