@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsloom.functions.text import once
+
 #: Codes that are supported.
 SUPPORTED = ("en", "es", "fr", "de", "it", "pt", "ru", "ja", "zh", "ar", "hi", "ko", "nl", "pl", "tr", "vi", "th", "id", "sv", "no")
 #: Common function words; a tie goes to the language named first.
@@ -24,8 +26,14 @@ def tokens(text: Column) -> Column:
 
 def detect(text: Column) -> Column:
     """struct(language, confidence): the best language's share of all function words found; nulls if there are none."""
-    low = tokens(text)
-    counts = {lang: F.size(F.filter(low, lambda w, words=words: w.isin(*words))) for lang, words in WORDS.items()}
+    return once(F.struct(*[_count(tokens(text), words).alias(lang) for lang, words in WORDS.items()]), lambda counted: _best(text, {lang: counted[lang] for lang in WORDS}))
+
+
+def _count(words: Column, known: list[str]) -> Column:
+    return F.size(F.filter(words, lambda w: w.isin(*known)))
+
+
+def _best(text: Column, counts: dict[str, Column]) -> Column:
     total = sum(counts.values(), F.lit(0))
     best = F.greatest(*counts.values())
     language = F.coalesce(*[F.when(c == best, F.lit(lang)) for lang, c in counts.items()])

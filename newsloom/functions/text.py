@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,10 +54,19 @@ def ensure_utf8(value: Column) -> Column:
     return F.make_valid_utf8(value)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value bound to a lambda variable: a plain column would be worked out at each mention."""
+    return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)
+
+
 def shingles(text: Column, n: int = 4) -> Column:
     """Distinct runs of n words of the lower-cased text; fewer words give none."""
-    w = words(F.lower(text))
-    return F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(w) - (n - 1))
+        return F.when(F.size(w) >= n, F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+
+    return once(words(F.lower(text)), runs)
 
 
 def country_of(metadata: Column) -> Column:
