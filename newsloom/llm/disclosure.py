@@ -214,7 +214,8 @@ def report(docs: DataFrame) -> DataFrame:
     names = F.array(*[F.lit(k) for k in KINDS])
     written = F.transform("base", lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"], x["end"]))
     extra = F.transform("terms", lambda x: F.concat_ws(":", F.lit("term"), x["start"], x["end"]))
-    counts = [F.size(F.filter("base", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    kinds = F.col("base.kind")
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return s.select("doc_id", *counts, F.sha2(F.array_join(written, ","), 256).alias("base_sha256"), F.array_join(F.concat(written, extra), ",").alias("spans"), F.size("terms").cast("long").alias("n_term"))
 
 
