@@ -14,11 +14,13 @@ How many segments get 1, and the spare, come from a cost model of index rows and
 chance candidates (`allot`).
 
 A set also looks into the next band if a partner could be there. Sets that share a
-key are candidates. All sets of a key are compared with the key's first set, its
-hub, and linked or given a Jaccard distance from it; as that distance is a metric,
-two sets whose distances from the hub differ by more than 1 - t cannot be linked,
-and sets linked to one hub are in one component already. Only the other pairs of a
-key are compared with each other. Every comparison is exact, on whole sets.
+key are candidates. All sets of a key are held against the key's first set, its hub.
+A set has a parity bitmap, in which each shingle turns over one bit; the bits in which
+two bitmaps differ are at most as many as the shingles in which the sets differ, so a
+pair that differs in too many bits is not linked, and only other pairs are compared, exactly and on
+whole sets. Sets linked to one hub are in one component already, and two sets whose
+bitmaps differ from the hub's by counts too far apart cannot be linked. Only the other
+pairs of a key are held against each other, in the same two steps.
 
 A node is a distinct set, so copies cost nothing after the first in each task.
 
@@ -42,13 +44,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.llm import textscan as ts
-from newsloom.llm.durable import cut, narrow
+from newsloom.llm.durable import cut, discard, narrow
 from newsloom.llm.links import components
 
 _U = np.uint64
 #: Sets of up to this many nodes are remembered by a task to leave out copies.
 SEEN = 300_000
 NEEDED_ROWS = 400_000
+#: Of a bitmap, in powers of 2. Sets of one key differ in size by a factor of 4 at most, if percent is 50 or more.
+LEAST_BITS, MOST_BITS = 64, 16_384
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,6 +150,38 @@ def _keys(sets: np.ndarray, off: np.ndarray, which: np.ndarray, band: np.ndarray
     return np.concatenate(keys), np.concatenate(owners)
 
 
+def parities(sets: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """For each set a bitmap of some two bits for a shingle, of LEAST_BITS to MOST_BITS, a power of 2: shingles turn bits over."""
+    size = np.diff(off)
+    bits = np.clip(1 << np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+    base = np.concatenate(([0], np.cumsum(bits)))
+    place = (ts.mix(sets ^ _U(0x5851F42D4C957F2D)) & (np.repeat(bits, size) - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(np.repeat(base[:-1], size) + place, minlength=base[-1]) & 1).astype(np.uint8)
+    data = np.packbits(odd, bitorder="little").tobytes()
+    return [data[a:b] for a, b in zip(base[:-1] // 8, base[1:] // 8, strict=True)]
+
+
+def folded(bitmap: bytes, n: int) -> int:
+    """The bitmap as an integer of n bytes: what larger ones have further up is folded on to it."""
+    value, size = int.from_bytes(bitmap, "little"), len(bitmap)
+    while size > n:
+        size //= 2
+        value = (value >> 8 * size) ^ (value & ((1 << 8 * size) - 1))
+    return value
+
+
+def _screen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """far: a lower bound of the shingles in which a and b differ; gap: one that is alike for all b near a in size."""
+    for pdf in batches:
+        far, gap = [], []
+        for a, b in zip(pdf["parity_a"], pdf["parity_b"], strict=True):
+            n = min(len(a), len(b))
+            far.append((folded(a, n) ^ folded(b, n)).bit_count())
+            n = max(LEAST_BITS // 8, len(a) // 4)
+            gap.append((folded(a, n) ^ folded(b, n)).bit_count())
+        yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "n_a": pdf["n_a"], "n_b": pdf["n_b"], "far": far, "gap": gap})
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], n: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     highs = table[:, 1]
@@ -173,8 +209,11 @@ def _sketch(batches: Iterator[pa.RecordBatch], n: int, table: np.ndarray) -> Ite
             order = np.argsort(owner, kind="stable")
             at_key = np.searchsorted(owner[order], np.arange(len(size) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(ts.signed(node)), pa.ListArray.from_arrays(pa.array(at_key), pa.array(ts.signed(keys[order])))],
-                names=["doc_id", "n_shingles", "node", "keys"],
+                [
+                    rows.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(ts.signed(node)), pa.array(parities(sets, off), pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(at_key), pa.array(ts.signed(keys[order]))),
+                ],
+                names=["doc_id", "n_shingles", "node", "parity", "keys"],
             )
 
 
@@ -205,50 +244,73 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id: links at 100 * shared >= percent * union."""
+    """doc_id, n_shingles, component_id: links at 100 * shared >= percent * union, percent from 50 to 99."""
+    if not 50 <= percent < 100:
+        raise ValueError("percent must be from 50 to 99")
     t = Fraction(percent, 100)
     table = band_table(t, max(docs.count(), 1))
     texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    sketch = cut(texts.mapInArrow(lambda it: _sketch(it, n, table), "doc_id long, n_shingles long, node long, keys array<long>"))
+    indexed = cut(texts.mapInArrow(lambda it: _sketch(it, n, table), "doc_id long, n_shingles long, node long, parity binary, keys array<long>"))
+    sketch = cut(indexed.select("doc_id", "n_shingles", "node"))
     nodes = sketch.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"))
 
     by_key = W.partitionBy("key").orderBy("node")
     members = (
-        sketch.select("node", F.explode("keys").alias("key"))
+        indexed.select("node", F.explode("keys").alias("key"))
         .withColumn("hub", F.first("node").over(by_key))  # a running frame: nothing is held for a key
         .filter("node <> hub")
     )
     members = cut(members.select("key", "hub", "node"))
-    stars = cut(members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-
-    ends = stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node"))).distinct()
-    needed = cut(ends.join(nodes, "node").select("node", F.col("first_doc").alias("doc_id")))
-    sets = texts.join(narrow(needed, NEEDED_ROWS), "doc_id").select("node", "text").mapInArrow(lambda it: _sets(it, n), "node long, items binary")
-    sets = cut(sets.dropDuplicates(["node"]))
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        a = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
-        b = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
-        out = pairs.join(a, "a").join(b, "b").select("a", "b", "items_a", "items_b").mapInPandas(_compare, "a long, b long, shared long, whole long")
-        return out.withColumn("linked", 100 * F.col("shared") >= percent * F.col("whole")).withColumn("gap", 1 - F.col("shared") / F.col("whole"))
-
-    stars = cut(compared(stars))
-    first = components(stars.filter("linked").select("a", "b"))
+    pairs = cut(members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    bitmaps = cut(indexed.select("node", "n_shingles", "parity").join(ends, "node").dropDuplicates(["node"]))
+    discard(indexed)
+
+    def screened(pairs: DataFrame) -> DataFrame:
+        side = lambda x: bitmaps.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}"))
+        out = pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_screen, "a long, b long, n_a long, n_b long, far long, gap long")
+        least = F.greatest("far", F.abs(F.col("n_a") - F.col("n_b")))
+        return cut(out.withColumn("maybe", (100 + percent) * least <= (100 - percent) * (F.col("n_a") + F.col("n_b"))))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Of screened pairs, those that are linked: a, b."""
+        maybe = pairs.filter("maybe").select("a", "b")
+        ends = maybe.select(F.col("a").alias("node")).union(maybe.select(F.col("b").alias("node"))).distinct()
+        needed = cut(ends.join(nodes, "node").select("node", F.col("first_doc").alias("doc_id")))
+        sets = texts.join(narrow(needed, NEEDED_ROWS), "doc_id").select("node", "text").mapInArrow(lambda it: _sets(it, n), "node long, items binary")
+        sets = cut(sets.dropDuplicates(["node"]))
+        side = lambda x: sets.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}"))
+        out = maybe.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b").mapInPandas(_compare, "a long, b long, shared long, whole long")
+        out = cut(out.filter(100 * F.col("shared") >= percent * F.col("whole")).select("a", "b"))
+        discard(needed, sets)
+        return out
+
+    stars = screened(pairs)
+    links = linked(stars)
+    first = components(links)
     # what a hub did not settle: pairs of one key, neither the hub, in different components
-    away = members.join(stars.select(F.col("a").alias("hub"), F.col("b").alias("node"), "linked", "gap"), ["hub", "node"])
-    away = away.join(first, "node", "left").select("key", "node", "linked", "gap", F.coalesce("component", "node").alias("component")).distinct()
-    reach = float(1 - t)
-    away = away.withColumn("cell", F.floor(F.col("gap") / reach))
-    free = away.filter(~F.col("linked")).select("key", F.col("node").alias("x"), F.col("gap").alias("gap_x"), F.col("component").alias("component_x"), F.explode(F.array(*[F.col("cell") + d for d in (-1, 0, 1)])).alias("cell"))
-    pairs = (
+    known = links.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.lit(True).alias("linked"))
+    away = (
+        members.join(stars.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("n_a").alias("n_hub"), F.col("n_b").alias("n"), "gap"), ["hub", "node"])
+        .join(known, ["hub", "node"], "left")
+        .join(first, "node", "left")
+        .select("key", "node", "n", "gap", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("component", "node").alias("component"), F.expr(f"n_hub * {100 - percent} div {percent} + 1").alias("width"))
+    )
+    away = cut(away.distinct().withColumn("cell", F.expr("gap div width")))
+    reach = F.expr(f"n * {100 - percent} div {percent}")  # of a partner of this size, if it has one
+    cells = F.sequence(F.expr("floor((gap - reach) / width)"), F.expr("floor((gap + reach) / width)"))
+    free = away.filter("not linked").withColumn("reach", reach).select("key", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("gap").alias("gap_x"), F.col("component").alias("component_x"), F.explode(cells).alias("cell"))
+    apart = F.greatest(F.abs(F.col("gap") - F.col("gap_x")), F.abs(F.col("n") - F.col("n_x")))
+    more = (
         free.join(away, ["key", "cell"])
-        .filter((F.col("component") != F.col("component_x")) & (F.abs(F.col("gap") - F.col("gap_x")) <= reach + 1e-9))
+        .filter((F.col("component") != F.col("component_x")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("n_x"))))
         .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
         .distinct()
-        .join(stars, ["a", "b"], "left_anti")
     )
-    links = stars.filter("linked").select("a", "b").union(compared(pairs).filter("linked").select("a", "b"))
+    rest = screened(more)
+    links = links.union(linked(rest))
     groups = components(links)
+    discard(members, pairs, bitmaps, stars, away, rest)
     grouped = groups.join(nodes, "node")
     lowest = grouped.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     named = nodes.join(grouped.join(lowest, "component").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "first_doc").alias("component_id"))

@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.llm import textscan as ts
-from newsloom.llm.durable import cut
+from newsloom.llm.durable import cut, discard
 from newsloom.llm.links import components
 
 EDITS = 2
@@ -205,8 +205,9 @@ def removals(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     cap = 3 * edits
     texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
     read = cut(texts.mapInArrow(lambda it: _read(it, edits), "doc_id long, line int, node long, size int, keys array<long>"))
+    slim = cut(read.select("doc_id", "line", "node", "size"))
     nodes = cut(
-        read.filter(F.col("size") >= MIN_BYTES).groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"))
+        slim.filter(F.col("size") >= MIN_BYTES).groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"))
     )
     by_key = W.partitionBy("key").orderBy("probe", "node")
     members = (
@@ -217,8 +218,9 @@ def removals(docs: DataFrame, edits: int = EDITS) -> DataFrame:
         .filter("not lone and node <> hub")
     )
     members = cut(members.groupBy("key", "hub", "node").agg(F.min("probe").alias("probe")))
-    stars = cut(members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    ends = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
+    discard(read)
+    pairs = cut(members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = ends.join(nodes, "node").groupBy("first.doc_id").agg(F.collect_list(F.struct("first.line", "node")).alias("wanted"))
     bodies = cut(texts.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_bodies, "node long, body binary").dropDuplicates(["node"]))
 
@@ -227,28 +229,29 @@ def removals(docs: DataFrame, edits: int = EDITS) -> DataFrame:
         b = bodies.select(F.col("node").alias("b"), F.col("body").alias("body_b"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "body_a", "body_b").mapInPandas(lambda it: _measure(it, cap), "a long, b long, far int")
 
-    stars = cut(measured(stars))
+    stars = cut(measured(pairs))
     close = F.col("far") <= edits
     first = components(stars.filter(close).select("a", "b"))
     away = members.join(stars.select(F.col("a").alias("hub"), F.col("b").alias("node"), "far"), ["hub", "node"]).join(first, "node", "left")
     away = away.select("key", "node", "probe", "far", F.coalesce("component", "node").alias("component"))
     free = away.filter(~close).select("key", F.col("node").alias("x"), F.col("probe").alias("probe_x"), F.col("component").alias("component_x"), F.explode(F.sequence(F.col("far") - edits, F.col("far") + edits)).alias("far"))
-    pairs = (
+    more = (
         free.join(away, ["key", "far"])
         .filter((F.col("component") != F.col("component_x")) & ~(F.col("probe") & F.col("probe_x")))
         .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
         .distinct()
     )
-    links = stars.filter(close).select("a", "b").union(measured(pairs).filter(close).select("a", "b"))
+    links = stars.filter(close).select("a", "b").union(measured(more).filter(close).select("a", "b"))
     classes = components(links)
+    discard(members, pairs, bodies, stars)
     classed = classes.join(nodes, "node")
     lead = classed.groupBy("component").agg(F.min("first").alias("lead"))
     leads = classed.join(lead, "component").select("node", "lead")
     repeated = nodes.join(leads, "node", "left").select("node", "copies", F.coalesce("lead", "first").alias("lead"), "first").filter("copies > 1 or lead <> first")
     gone = (
-        read.select("doc_id", "line", "node").join(repeated.select("node", "lead"), "node").filter(F.struct("doc_id", "line") != F.col("lead")).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+        slim.select("doc_id", "line", "node").join(repeated.select("node", "lead"), "node").filter(F.struct("doc_id", "line") != F.col("lead")).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
     )
-    counted = read.groupBy("doc_id").agg((F.max("line") + 1).cast("long").alias("n_lines"))
+    counted = slim.groupBy("doc_id").agg((F.max("line") + 1).cast("long").alias("n_lines"))
     every = docs.select("doc_id").join(counted, "doc_id", "left").join(gone, "doc_id", "left")
     none = F.array().cast("array<int>")
     return every.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none).alias("removed"))
