@@ -133,7 +133,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     """query_id, rank, vec_id, score: each query's k best among vectors, its own id left out."""
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
     everyone, asking = pick(vectors), pick(queries).dropDuplicates(["id"])
-    width = vectors.agg(F.max(F.size(vec_col)).alias("w")).first()["w"] or 0
+    width = everyone.select("v").union(asking.select("v")).agg(F.max(F.size("v")).alias("w")).first()["w"] or 1
     width = max(width, 1)
     distinct = everyone.withColumn("copy", F.row_number().over(W.partitionBy("v").orderBy("id"))).filter(F.col("copy") <= k + 1).select("id", "v")
     candidates = cut(distinct)
