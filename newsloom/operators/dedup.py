@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from newsloom.functions import text
 from newsloom.lineage import checkpointed
@@ -40,26 +42,28 @@ def shingle_hashes(content: Column) -> Column:
 
 
 def signatures(articles: DataFrame) -> DataFrame:
-    """articles (with title and body) and their signature: array<bigint>."""
+    """articles (with title and body) and their signature: array<bigint>.
+
+    Every column given goes through Arrow, so callers select what they need first.
+    """
     pairs = coefficients()
+    a = np.array([p[0] for p in pairs], np.int64)[:, None]
+    b = np.array([p[1] for p in pairs], np.int64)[:, None]
+
+    def minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            listed = batch.column(batch.num_columns - 1)
+            values, at = np.asarray(listed.values), np.asarray(listed.offsets)
+            out = np.full((len(batch), len(pairs)), P, np.int64)
+            for i, (start, end) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                for c in range(start, end, 4096):
+                    out[i] = np.minimum(out[i], ((a * values[c : min(c + 4096, end)] + b) % P).min(1))
+            signature = pa.FixedSizeListArray.from_arrays(pa.array(out.reshape(-1)), len(pairs)).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], signature], names=[*batch.schema.names[:-1], "signature"])
 
-    def minima(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import numpy as np
-
-        a = np.array([p[0] for p in pairs], np.int64)[:, None]
-        b = np.array([p[1] for p in pairs], np.int64)[:, None]
-        for hashes in batches:
-            out = []
-            for h in hashes:
-                best = np.full(len(pairs), P, np.int64)
-                for c in range(0, len(h), 4096):
-                    best = np.minimum(best, ((a * h[c : c + 4096].astype(np.int64) + b) % P).min(1))
-                out.append(best)
-            yield pd.Series(out)
-
-    signature = F.pandas_udf(minima, "array<bigint>")
     content = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("body", F.lit("")))
-    return articles.withColumn("signature", signature(shingle_hashes(content)))
+    schema = StructType([*articles.schema.fields, StructField("signature", ArrayType(LongType()))])
+    return articles.select("*", shingle_hashes(content).alias("_hashes")).mapInArrow(minima, schema)
 
 
 def band_keys(signature: Column) -> Column:

@@ -103,7 +103,7 @@ def load_json(registry: DataFrame, text: str) -> DataFrame:
         raise NewsError("Not an array of feeds", "LOAD_FAILED")
     if found.groupBy("feed_id").count().filter("count > 1").limit(1).count() or found.join(registry, "feed_id", "left_semi").limit(1).count():
         raise NewsError("A feed id is there twice", "LOAD_FAILED")
-    empty = F.create_map().cast("map<string,string>")
+    empty = F.from_json(F.lit("{}"), "map<string,string>")
     defaults = {"feed_type": F.lit("rss"), "enabled": F.lit(True), "crawl_interval_minutes": F.lit(30), "timeout_seconds": F.lit(10), "headers": empty, "metadata": empty}
     return registry.unionByName(found.select(*[F.coalesce(F.col(f.name), defaults[f.name]).alias(f.name) if f.name in defaults else F.col(f.name) for f in FEED.fields]))
 

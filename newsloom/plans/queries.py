@@ -262,7 +262,7 @@ def shingle_counts(spark, sf_dir):
 
 
 def signed(spark, sf_dir):
-    return dedup.signatures(articles(spark, sf_dir)).withColumnRenamed("arrival", "doc_id")
+    return dedup.signatures(articles(spark, sf_dir).select(F.col("arrival").alias("doc_id"), "title", "body"))
 
 
 @query(_SIG + " SELECT doc_id, md5(array_to_string(sig, ',')) AS signature, sig[1] AS first FROM sig")
