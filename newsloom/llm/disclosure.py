@@ -5,8 +5,7 @@ valid check digit, phone numbers; leftmost and non-overlapping per kind.
 
 A base span's value is a protected entity. The terms close to its occurrences (within
 REACH words) are weighed by how strongly they reveal it: with document counts of the
-whole corpus (where an entity is among the same terms in several documents, as in
-copies, these count once), pmi(entity, term) = log2(N * n(entity, term) / (n(entity) * n(term))) over
+whole corpus (copies count as documents of their own), pmi(entity, term) = log2(N * n(entity, term) / (n(entity) * n(term))) over
 the entity's information content log2(N / n(entity)) is the share of it that the term
 gives away. A term that gives away at least THRESHOLD, in at least SUPPORT documents and
 at least TIES of the entity's own, is a span of its own (kind "term") wherever it stands
@@ -193,11 +192,10 @@ def find(docs: DataFrame, reach: int = REACH, threshold: float = THRESHOLD, supp
     # a number for each row, as doc_id may repeat or be null
     found = cut(found.withColumn("row", F.monotonically_increasing_id()))
     near = found.select("row", F.inline("near"))
-    # (entity, surroundings): the terms near an entity in a document, once for all copies
-    around = near.groupBy("row", "entity").agg(F.array_sort(F.collect_set("term")).alias("terms")).groupBy("entity", F.xxhash64("terms").alias("around")).agg(F.any_value("terms").alias("terms"))
-    around = cut(around)
-    pairs = around.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support)
-    entities = around.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    # all counts are of documents, copies included
+    around = cut(near.select("row", "entity", "term").distinct())
+    pairs = around.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support)
+    entities = around.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     terms = docs.select("text").mapInArrow(_count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     total = float(max(docs.count(), 1))
     weighed = pairs.join(entities, "entity").join(terms, "term")
