@@ -3,14 +3,21 @@ r"""Personal data by patterns, and terms that disclose it by information theory.
 Base spans are found by pattern: e-mail addresses, IP addresses, card numbers with a
 valid check digit, phone numbers; leftmost and non-overlapping per kind.
 
-A base span's value is a protected entity. The terms close to its occurrences (within
-REACH words) are weighed by how strongly they reveal it: with document counts of the
-whole corpus (copies count as documents of their own), pmi(entity, term) = log2(N * n(entity, term) / (n(entity) * n(term))) over
-the entity's information content log2(N / n(entity)) is the share of it that the term
+A base span's value is a protected entity. The terms of a document are its distinct words
+outside base spans, wherever they stand. They are weighed by how strongly they reveal the
+entities of their documents: with document counts of the whole corpus (copies count as
+documents of their own), pmi(entity, term) = log2(N * n(entity, term) / (n(entity) * n(term)))
+over the entity's information content log2(N / n(entity)) is the share of it that the term
 gives away. A term that gives away at least THRESHOLD, in at least SUPPORT documents and
-at least TIES of the entity's own, is a span of its own (kind "term") wherever it stands
-close to the entity. Sanitising removes base spans for their kind and generalises terms:
-a term that is a number to [number], else to its coarser class [name] or [word].
+at least TIES of the entity's own, is a span of its own (kind "term") at each place where
+it stands outside base spans, in any document. Sanitising removes base spans for their kind
+and generalises terms: a term that is a number to [number], else to its coarser class
+[name] or [word].
+
+Entities of the same documents have the same counts, and are weighed as one. Pairs with a
+term that is too common for its entity, even if it were in all of the entity's documents,
+are dropped before they are counted where the term is among the few very common ones. The
+places of terms are screened by a bitmap of BITS bits, then joined with the terms.
 
 Counts of terms are partial sums per task of word hashes, added up by shuffle; a term in
 every document is one row of each task.
@@ -24,7 +31,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,14 +40,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm import textscan as ts
-from newsloom.llm.durable import cut
+from newsloom.llm.durable import cut, narrow
 
 KINDS = ("email", "ip", "card", "phone")
-REACH = 6
 THRESHOLD = 0.8
 SUPPORT = 2
 TIES = 0.5
 FLUSH = 400_000
+#: A term in more than this share of the documents is very common.
+COMMON = 0.001
+BITS = 1 << 26
+#: Each block of the bitmap is made by one task.
+BLOCK = 1 << 20
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -50,8 +60,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _DIGIT = re.compile(r"[0-9]")
+_SIGNS = np.zeros(256, bool)
+_SIGNS[list(b"@+0123456789")] = True
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -98,63 +109,92 @@ def _hash64(kind: str, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{value}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _term_hashes(terms: list[str]) -> np.ndarray:
-    """The same hashes as of the words of whole texts."""
-    raw = [t.encode() for t in terms]
-    ends = np.cumsum([len(x) for x in raw])
-    starts = ends - np.array([len(x) for x in raw])
-    return ts.signed(ts.word_hashes(np.frombuffer(b"".join(raw), np.uint8), starts, ends))
+def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
+    """Document, start, end (bytes) and hash of each word outside base spans, and base spans as (document, text, spans)."""
+    signs = np.concatenate(([0], np.cumsum(_SIGNS[data])))
+    starts, ends, off = ts.words(data, at)
+    h = ts.word_hashes(data, starts, ends)
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(off))
+    free, found = np.ones(len(h), bool), []
+    for i in np.flatnonzero(signs[at[1:]] > signs[at[:-1]]).tolist():
+        text = data[at[i] : at[i + 1]].tobytes().decode("utf-8", "replace")
+        spans = base_spans(text)
+        if spans:
+            found.append((i, text, spans))
+            a, b = at[i] + _in_bytes(text, np.array([x[1:] for x in spans]).T)
+            # spans of several kinds may overlap: a word is taken if more spans begin before its end than end by its start
+            mine = slice(off[i], off[i + 1])
+            free[mine] = np.searchsorted(np.sort(a), ends[mine], "left") == np.searchsorted(np.sort(b), starts[mine], "right")
+    return doc[free], starts[free], ends[free], h[free], found
+
+
+def _in_bytes(text: str, places: np.ndarray) -> np.ndarray:
+    """Places in code points as places in UTF-8."""
+    if text.isascii():
+        return places
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    size = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+    return np.concatenate(([0], np.cumsum(size)))[places]
+
+
+def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return doc[new], h[new]
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct entities and terms of each document that has base spans."""
+    for batch in batches:
+        for _, data, at in ts.pieces(batch):
+            doc, _, _, h, found = _words(data, at)
+            doc, h = _distinct(doc, h)
+            h = ts.signed(h)
+            first = np.searchsorted(doc, np.arange(len(at)))
+            entities = [sorted({_hash64(k, text[a:b].lower()) for k, a, b in spans}) for _, text, spans in found]
+            terms = [h[first[i] : first[i + 1]] for i, _, _ in found]
+            yield pa.RecordBatch.from_arrays([pa.array(entities, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.int64()))], names=["entities", "terms"])
 
 
-def _find(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
-    none = b"@+0123456789"
-    table = np.zeros(256, bool)
-    table[list(none)] = True
+def _mark(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Base spans of each document, and the places of words whose bit is set."""
     base_type = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-    near_type = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+    near_type = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+    n = np.uint64(8 * len(bits))
     for batch in batches:
         for rows, data, at in ts.pieces(batch):
-            signs = np.concatenate(([0], np.cumsum(table[data])))
-            maybe = signs[at[1:]] > signs[at[:-1]]
-            base, near = [], []
-            for i, some in enumerate(maybe):
-                if not some:
-                    base.append([])
-                    near.append([])
-                    continue
-                text = data[at[i] : at[i + 1]].tobytes().decode("utf-8", "replace")
-                spans = base_spans(text)
-                base.append([{"kind": KINDS.index(k), "start": a, "end": b} for k, a, b in spans])
-                near.append(_near(text, spans, reach) if spans else [])
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(base, base_type), pa.array(near, near_type)], names=["doc_id", "base", "near"])
-
-
-def _near(text: str, spans: list[tuple[str, int, int]], reach: int) -> list[dict]:
-    """Terms within reach words of a span, outside all spans, for each entity."""
-    words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    starts = [w[0] for w in words]
-    taken = sorted((a, b) for _, a, b in spans)
-    begins = [a for a, _ in taken]
-    widest = []
-    for _, b in taken:
-        widest.append(max(b, widest[-1] if widest else 0))
-
-    def free(a: int, b: int) -> bool:
-        i = bisect_left(begins, b)
-        return not i or widest[i - 1] <= a
-
-    found = {}
-    for kind, a, b in spans:
-        entity = _hash64(kind, text[a:b].lower())
-        first = bisect_left(starts, a)
-        for w in range(max(0, first - 1 - reach), min(len(words), bisect_left(starts, b) + reach)):
-            x, y = words[w]
-            if free(x, y):
-                found[(entity, x)] = (x, y)
-    if not found:
-        return []
-    terms = _term_hashes([text[x:y] for x, y in found.values()])
-    return [{"entity": e, "term": int(t), "start": x, "end": y} for (e, _), (x, y), t in zip(found, found.values(), terms, strict=True)]
+            doc, starts, ends, h, found = _words(data, at)
+            bit = h % n
+            some = (bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            doc, starts, ends, h = doc[some], starts[some], ends[some], h[some]
+            points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+            start, end = points[starts] - points[at[doc]], points[ends] - points[at[doc]]
+            base = [[] for _ in range(len(rows))]
+            for i, _, spans in found:
+                base[i] = [{"kind": KINDS.index(k), "start": a, "end": b} for k, a, b in spans]
+            flat = pa.StructArray.from_arrays([pa.array(ts.signed(h)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["term", "start", "end"])
+            places = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(at))).astype(np.int32)), flat).cast(near_type)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(base, base_type), places], names=["doc_id", "base", "places"])
+
+
+def _bitmap(terms: DataFrame, bits: int) -> np.ndarray:
+    """The bits of terms by hash modulo bits; made in blocks, so the driver holds bits / 8 bytes."""
+    block = min(BLOCK, bits)
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        bit = pdf["term"].to_numpy().view(np.uint64) % np.uint64(bits)
+        held = np.zeros(block, bool)
+        held[(bit % np.uint64(block)).astype(np.int64)] = True
+        return pd.DataFrame({"block": [int(bit[0]) // block], "held": [np.packbits(held, bitorder="little").tobytes()]})
+
+    # bits is a power of two, so the low bits of a signed hash are those of the unsigned one
+    out = np.zeros(bits // 8, np.uint8)
+    for row in terms.groupBy(F.floor(F.col("term").bitwiseAND(F.lit(bits - 1)) / block).alias("of")).applyInPandas(fill, "block long, held binary").toLocalIterator():
+        at = row.block * block // 8
+        out[at : at + block // 8] = np.frombuffer(row.held, np.uint8)
+    return out
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,39 +211,42 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for _, data, at in ts.pieces(batch):
-            starts, ends, off = ts.words(data, at)
-            h = ts.word_hashes(data, starts, ends)
-            doc = np.repeat(np.arange(len(at) - 1), np.diff(off))
-            order = np.lexsort((h, doc))
-            h, doc = h[order], doc[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            add(h[new], np.ones(int(new.sum()), np.int64))
+            doc, _, _, h, _ = _words(data, at)
+            _, h = _distinct(doc, h)
+            add(h, np.ones(len(h), np.int64))
             if len(held[0]) > FLUSH:
                 yield out()
                 held[:] = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     yield out()
 
 
-def find(docs: DataFrame, reach: int = REACH, threshold: float = THRESHOLD, support: int = SUPPORT, ties: float = TIES) -> DataFrame:
+def find(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT, ties: float = TIES, common: float = COMMON, bits: int = BITS) -> DataFrame:
     """doc_id, base, terms: the spans of every document, terms as array<struct<start, end>>."""
-    span = "array<struct<kind:int,start:int,end:int>>"
-    found = docs.select("doc_id", "text").mapInArrow(lambda it: _find(it, reach), f"doc_id long, base {span}, near array<struct<entity:bigint,term:bigint,start:int,end:int>>")
-    # a number for each row, as doc_id may repeat or be null
-    found = cut(found.withColumn("row", F.monotonically_increasing_id()))
-    near = found.select("row", F.inline("near"))
-    # all counts are of documents, copies included
-    around = cut(near.select("row", "entity", "term").distinct())
-    pairs = around.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support)
-    entities = around.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    terms = docs.select("text").mapInArrow(_count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     total = float(max(docs.count(), 1))
-    weighed = pairs.join(entities, "entity").join(terms, "term")
-    pmi = F.log2(F.lit(total) * F.col("both") / (F.col("n_entity") * F.col("n_term")))
     content = F.log2(F.lit(total) / F.col("n_entity"))
-    telling = weighed.filter((content > 0) & (pmi >= threshold * content) & (F.col("both") >= ties * F.col("n_entity"))).select("entity", "term")
-    spans = near.join(telling, ["entity", "term"]).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    return found.join(spans, "row", "left").select("doc_id", "base", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int>>")).alias("terms"))
+    pmi = lambda both: F.log2(F.lit(total) * both / (F.col("n_entity") * F.col("n_term")))
+    terms = cut(docs.select("text").mapInArrow(_count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term")).filter(F.col("n_term") >= support))
+    read = docs.select("text").mapInArrow(_read, "entities array<bigint>, terms array<bigint>")
+    # a number for each row, as doc_id may repeat or be null
+    read = cut(read.withColumn("row", F.monotonically_increasing_id()))
+    # an entity in fewer documents than the support has no term; class: the entities of the same documents
+    of = [F.bit_xor(F.xxhash64("row", F.lit(i))) for i in range(2)]
+    entities = read.select("row", F.explode("entities").alias("entity"))
+    classes = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.struct(*of).alias("class")).filter((F.col("n_entity") >= support) & (content > 0))
+    classes = cut(entities.join(classes, "entity").select("row", "class", "n_entity").distinct())
+    pairs = classes.join(read.select("row", "terms"), "row").select("class", "n_entity", F.explode("terms").alias("term"))
+    often = narrow(terms.filter(F.col("n_term") > common * total))
+    possible = F.col("n_term").isNull() | (pmi(F.least("n_entity", "n_term")) >= threshold * content)
+    pairs = pairs.join(often, "term", "left").filter(possible).drop("n_term").groupBy("class", "n_entity", "term").agg(F.count(F.lit(1)).alias("both"))
+    pairs = pairs.filter((F.col("both") >= support) & (F.col("both") >= ties * F.col("n_entity")))
+    telling = cut(pairs.join(terms, "term").filter(pmi(F.col("both")) >= threshold * content).select("term").distinct())
+    held = _bitmap(telling, bits)
+    sent = docs.sparkSession.sparkContext.broadcast(held)
+    place = "array<struct<term:bigint,start:int,end:int>>"
+    marked = docs.select("doc_id", "text").mapInArrow(lambda it: _mark(it, sent.value), f"doc_id long, base array<struct<kind:int,start:int,end:int>>, places {place}")
+    marked = cut(marked.withColumn("row", F.monotonically_increasing_id()))
+    spans = marked.select("row", F.inline("places")).join(telling, "term").groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
+    return marked.join(spans, "row", "left").select("doc_id", "base", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int>>")).alias("terms"))
 
 
 def report(docs: DataFrame) -> DataFrame:

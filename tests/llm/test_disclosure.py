@@ -1,6 +1,12 @@
 """Terms that disclose personal data."""
 
+import math
+from collections import Counter
+
+import pytest
+
 from newsloom.llm import disclosure
+from tests.llm import brute
 
 
 def terms_of(spark, texts, **limits):
@@ -13,3 +19,37 @@ def test_copies_do_not_hide_a_term(spark):
     got = terms_of(spark, [signature] * 5 + [f"plain text with number {i} in it" for i in range(60)])
     assert all("Zarquon" in got[i] for i in range(5))
     assert not any(got[i] for i in range(5, 65))
+
+
+def plain(texts):
+    """Terms of each document by the definition."""
+    docs = []
+    for t in texts:
+        spans, at, free = disclosure.base_spans(t or ""), 0, []
+        for w in brute.words(t):
+            at = t.index(w, at)
+            free += [(w, at)] if all(at + len(w) <= a or at >= b for _, a, b in spans) else []
+            at += len(w)
+        docs.append(({(k, t[a:b].lower()) for k, a, b in spans}, free))
+    n, n_term = len(texts), Counter(w for _, free in docs for w in {w for w, _ in free})
+    n_entity, both = Counter(e for es, _ in docs for e in es), Counter((e, w) for es, free in docs for e in es for w in {w for w, _ in free})
+    told = set()
+    for (e, w), k in both.items():
+        content = math.log2(n / n_entity[e])
+        if k >= 2 and k >= 0.5 * n_entity[e] and content > 0 and math.log2(n * k / (n_entity[e] * n_term[w])) >= 0.8 * content - 1e-12:
+            told.add(w)
+    return [sorted((a, a + len(w)) for w, a in free if w in told) for _, free in docs]
+
+
+@pytest.mark.parametrize("common, bits", [(0.001, 1 << 26), (0.2, 64), (1.0, 1 << 26)])
+def test_terms_of_whole_documents(spark, common, bits):
+    filler = "some words é between them " * 40
+    texts = [f"Zarquon {filler} ann@mail.example {filler} end +44 20 7946 0958, quux{i}" for i in range(4)]
+    texts += [f"Zarquon without the entity {filler}", None, "", "ann@mail.example", "192.0.2.7 ann@mail.example,192.0.2.8 44 Zarquon"]
+    texts += [f"日本 {t} bob@mail.example 日本 0958" for t in texts[:2]] + [t for *_, t in [r[:2] for r in brute.corpus(7, 50)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(x.start, x.end) for x in r.terms] for r in disclosure.find(docs, common=common, bits=bits).collect()}
+    want = plain(texts)
+    assert got == dict(enumerate(want))
+    assert (0, 7) in want[0] and (0, 7) in want[4]
+    assert disclosure.report(docs.limit(0)).count() == 0
