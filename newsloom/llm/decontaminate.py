@@ -14,8 +14,8 @@ sent to all executors if it has at most SEED_ROWS seeds, else it is joined by
 shuffle.
 
 Tokens are runs of letters and digits, lower-cased. Defined results: null or empty
-texts hit nothing; items of fewer than WINDOW tokens are no evidence and are not
-searched; repeated items and documents report each; empty tables give no rows;
+texts hit nothing; items of fewer than WINDOW tokens have no window, so `leaks` looks for
+them word for word, by a hash of all their tokens for each length; repeated items and documents report each; empty tables give no rows;
 only doc_id, text and item_id, text are read.
 """
 
@@ -79,6 +79,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sl
     )
 
 
+def short_copies(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame | None:
+    """The columns of contaminated() for items of 1 to window - 1 tokens that stand whole in a document; None if there are no such items."""
+    items = benchmark.select("item_id", tokens(F.col("text")).alias("item")).withColumn("n", F.size("item")).filter((F.col("n") > 0) & (F.col("n") < window))
+    lengths = sorted(r.n for r in items.select("n").distinct().collect())
+    if not lengths:
+        return None
+    items = items.withColumn("seed", F.xxhash64("item"))
+    if items.count() <= SEED_ROWS:
+        items = F.broadcast(items)
+    return (
+        docs.select("doc_id", tokens(F.col("text")).alias("w"))
+        .filter(F.size("w") > 0)
+        .select("doc_id", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("pos"))
+        .select("doc_id", "w", "pos", F.explode(F.array(*map(F.lit, lengths))).alias("n"))
+        .filter(F.col("pos") + F.col("n") - 1 <= F.size("w"))
+        .select("doc_id", F.slice("w", F.col("pos"), F.col("n")).alias("there"), "n")
+        .withColumn("seed", F.xxhash64("there"))
+        .join(items, ["seed", "n"])
+        .filter("there = item")
+        .select("doc_id", "item_id", F.col("n").cast("long").alias("n_equal"), F.col("n").cast("long").alias("item_tokens"))
+        .distinct()
+    )
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """contaminated() and the copies of items that are shorter than its window."""
+    long, short = contaminated(docs, benchmark), short_copies(docs, benchmark)
+    return long if short is None else long.unionByName(short)
+
+
 ORACLE_SQL = r"""
 WITH b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
 bi AS (SELECT item_id, len(w) AS n, unnest(w) AS t, unnest(range(len(w))) AS j FROM b WHERE len(w) >= 12),

@@ -20,9 +20,9 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from newsloom.llm.decontaminate import contaminated
+    from newsloom.llm.decontaminate import leaks
 
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op3_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
