@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.decontaminate import leaks
 from newsloom.llm.durable import cut
 from newsloom.llm.jaccard import near_groups
-from newsloom.llm.linejoin import drop_lines
+from newsloom.llm.linejoin import EVERY, drop_lines
 from newsloom.llm.mixing import mix_sources
 from newsloom.llm.toxicity import score
 
@@ -29,7 +29,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier place has, but for small edits, go, and documents of nothing else."""
-    kept = drop_lines(docs).filter("n_removed IS NULL OR n_removed < n_lines")
+    kept = drop_lines(docs, least=EVERY).filter("n_removed IS NULL OR n_removed < n_lines")
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return kept.select(docs.columns)

@@ -11,9 +11,10 @@ All lines of a key are first measured against one of its indexed lines, the hub.
 distance is a metric, so two lines whose distances from the hub differ by more than EDITS
 cannot be close; and lines close to one hub are in one class already. Only other pairs of
 a key are measured with each other. Classes are connected components; the first line of
-a class (by doc_id, then line number) stays and the others go. Lines of MIN_BYTES or
+a class (by doc_id, then line number) stays and the others go. Lines of `least` bytes or
 more that are too short for edits are in a class only with their copies; still shorter
-ones always stay.
+ones always stay. op5 and the pipeline take every line that is not empty (EVERY); the
+default is MIN_BYTES.
 
 Defined results: null and empty texts have no lines; a line repeated in one document goes
 but for its first; rows that repeat a doc_id must be equal and count as one document; rows
@@ -38,6 +39,7 @@ from newsloom.llm.links import components
 
 EDITS = 2
 MIN_BYTES = 12
+EVERY = 1
 NEAR_BYTES = 24
 SEEN = 500_000
 
@@ -200,14 +202,14 @@ def _measure(batches: Iterator[pd.DataFrame], cap: int) -> Iterator[pd.DataFrame
         yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "far": distances(list(zip(pdf["body_a"], pdf["body_b"], strict=True)), cap)})
 
 
-def removals(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def removals(docs: DataFrame, edits: int = EDITS, least: int = MIN_BYTES) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (line numbers from 0): for every document."""
     cap = 3 * edits
     texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
     read = cut(texts.mapInArrow(lambda it: _read(it, edits), "doc_id long, line int, node long, size int, keys array<long>"))
     slim = cut(read.select("doc_id", "line", "node", "size"))
     nodes = cut(
-        slim.filter(F.col("size") >= MIN_BYTES).groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"))
+        slim.filter(F.col("size") >= least).groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"))
     )
     by_key = W.partitionBy("key").orderBy("probe", "node")
     members = (
@@ -257,9 +259,9 @@ def removals(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     return every.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none).alias("removed"))
 
 
-def drop_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def drop_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_BYTES) -> DataFrame:
     """docs with the repeated lines taken out of text, and n_lines and n_removed."""
-    found = removals(docs, edits)
+    found = removals(docs, edits, least)
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed", i))
     text = F.when(F.col("n_removed") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
     return docs.join(found.filter("n_removed > 0"), "doc_id", "left").withColumn("text", F.when(F.col("n_removed") > 0, text).otherwise(F.col("text"))).drop("removed")

@@ -38,9 +38,9 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from newsloom.llm.linejoin import removals
+    from newsloom.llm.linejoin import EVERY, removals
 
-    return removals(table(spark, sf_dir, "documents"))
+    return removals(table(spark, sf_dir, "documents"), least=EVERY)
 
 
 def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
