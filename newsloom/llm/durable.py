@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from newsloom.lineage import shared_dir
+
 #: Rows of at most a few dozen bytes that may be sent to every executor.
 BROADCAST_ROWS = 200_000
 
@@ -16,16 +17,6 @@ BROADCAST_ROWS = 200_000
 _written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), one of our own."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="newsloom-checkpoint-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again.
 
@@ -40,6 +31,13 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def cut_with(df: DataFrame, **figures) -> tuple[DataFrame, dict]:
+    """cut(df) and aggregates over its rows, taken as they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, *[x.alias(name) for name, x in figures.items()]))
+    return out, seen.get
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes the files of frames from cut(); all that was made of them must be written itself by then."""
     for df in frames:
@@ -48,12 +46,6 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """An eager checkpoint(), which Spark cleans up itself; for the rounds of a loop."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def narrow(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has few rows by count, else as it is.
 

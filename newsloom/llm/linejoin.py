@@ -1,20 +1,25 @@
-"""Line dedup by an edit-distance join on segments.
+r"""Line dedup by an edit-distance join on segments.
 
-Lines are split at \\n and compared as UTF-8 bytes. A line of at least NEAR_BYTES is cut
-into EDITS + 1 even segments; a line within EDITS of it has one of them unchanged, at a
-place that its length and the segment's number confine. Each line indexes its segments
-under its length, and probes, for its own length and each one down to EDITS less, just
-the substrings that can be such a segment. Lines that share a key are verified by banded
-bit-parallel edit distance.
+Lines are split at \n and compared as UTF-8 bytes. Two lines are close if their edit
+distance is at most one for each PER_EDIT bytes of the shorter, and at most EDITS. A line
+of threshold e is cut into e + 1 even segments; a line close to it has one of them
+unchanged, at a place that its length and the segment's number confine. Each line indexes
+its segments under its length, and probes, for its own length and each one down to e less,
+just the substrings that can be such a segment. Lines that share a key are verified by
+banded bit-parallel edit distance.
 
 All lines of a key are first measured against one of its indexed lines, the hub. Edit
 distance is a metric, so two lines whose distances from the hub differ by more than EDITS
-cannot be close; and lines close to one hub are in one class already. Only other pairs of
-a key are measured with each other. Classes are connected components; the first line of
-a class (by doc_id, then line number) stays and the others go. Lines of `least` bytes or
-more that are too short for edits are in a class only with their copies; still shorter
-ones always stay. op5 and the pipeline take every line that is not empty (EVERY); the
-default is MIN_BYTES.
+cannot be close; and lines of one component already need no more. Where a key keeps more
+than CROWD lines that its hub does not settle (the variants of a much copied line), its
+lines are cut again, finer (FINER): of m segments, all but e are unchanged in a close line,
+so a key is the whole line but for e segments, with every shift of the parts between that
+e edits allow. Other pairs of a key are measured with each other.
+
+Classes are connected components; the first line of a class (by doc_id, then line number)
+stays and the others go. Lines under PER_EDIT bytes are in a class only with their copies;
+those under `least` bytes always stay. op5 and the pipeline take every line that is not
+empty (EVERY); the default is MIN_BYTES.
 
 Defined results: null and empty texts have no lines; a line repeated in one document goes
 but for its first; rows that repeat a doc_id must be equal and count as one document; rows
@@ -25,22 +30,28 @@ read by `removals`, and `drop_lines` passes other columns on.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.llm import textscan as ts
-from newsloom.llm.durable import cut, discard
+from newsloom.llm.candidates import crowded, live
+from newsloom.llm.durable import cut, discard, narrow
 from newsloom.llm.links import components
 
 EDITS = 2
+PER_EDIT = 12
 MIN_BYTES = 12
 EVERY = 1
-NEAR_BYTES = 24
+#: Segments of the cuts for crowded keys, one after the other.
+FINER = (12,)
+CROWD = 8
+#: A crowded line has some hundreds of keys.
+LINES_A_TASK = 256
 SEEN = 500_000
 
 _U = np.uint64
@@ -55,33 +66,74 @@ def lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, np.concatenate(([0], np.cumsum(np.where(np.diff(at) > 0, 1, 0) + np.diff(np.searchsorted(breaks, at)))))
 
 
-def segments(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and size of segment i (from 0) of lines of these lengths; the last ones are longer by one."""
-    parts = edits + 1
-    short, longer = length // parts, length % parts
-    plain = parts - longer
-    return i * short + np.maximum(i - plain, 0), short + (i >= plain)
+def allowed(size: np.ndarray, edits: int = EDITS) -> np.ndarray:
+    """The threshold of pairs whose shorter line has this size."""
+    return np.minimum(size // PER_EDIT, edits)
+
+
+def patterns(edits: int, parts: int, less: int) -> list[tuple[int, tuple[tuple[int, int, int], ...], tuple[tuple[int, int, int, int], ...]]]:
+    """What of a line may be unchanged in one that is `less` bytes longer: for each choice of `edits` of the `parts`
+    segments, its number, the stretches between them (first segment, last segment + 1, shift in the longer line), and
+    the runs of chosen segments with the shifts before and after.
+
+    The choice can be such that each run of chosen segments has an edit, so a run shifts what follows by no more
+    than the edits that the other runs leave.
+    """
+    out = []
+    for number, chosen in enumerate(combinations(range(parts), edits)):
+        runs = [[c, c + 1] for c in chosen]
+        for c in range(len(runs) - 1, 0, -1):
+            if runs[c - 1][1] == runs[c][0]:
+                runs[c - 1][1] = runs.pop(c)[1]
+        most = edits - len(runs) + 1
+        for steps in product(range(-most, most + 1), repeat=len(runs)):
+            if sum(steps) != less or sum(map(abs, steps)) > edits:
+                continue
+            at, shift, kept, gaps = 0, 0, [], []
+            for (a, b), step in zip(runs, steps, strict=True):
+                kept.append((at, a, shift))
+                gaps.append((a, b, shift, shift + step))
+                at, shift = b, shift + step
+            kept.append((at, parts, shift))
+            out.append((number, tuple(x for x in kept if x[0] < x[1]), tuple(gaps)))
+    return out
+
 
+def keys(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, edits: int, parts: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Line, key, whether it is only probed, and gaps, of these lines cut in `parts` (0: one more than their threshold).
 
-def keys(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, edits: int) -> tuple[list[np.ndarray], int]:
-    """Columns of keys of lines: first those it indexes, then the others it probes."""
+    gaps has 32 bits for what is in each of the first two runs of chosen segments, if there are several, else 0. As
+    each run has an edit, lines of one key are a pair by it only if they differ in both.
+    """
     length = ends - starts
-    indexed, probed = [], []
-    for less in range(edits + 1):
-        target = length - less
-        for i in range(edits + 1):
-            at, size = segments(target, i, edits)
-            low = max(-i, less - (edits - i))
-            high = min(i, less + (edits - i))
-            tag = ts.mix(target.astype(np.uint64) * _U(64) + _U(i + 1))
-            for shift in range(low, high + 1):
-                a = np.clip(starts + at + shift, starts, ends - size)
-                key = ts.signed(ts.mix(ts.stretches(sums, a, a + size) ^ tag))
-                (indexed if less == 0 and shift == 0 else probed).append(key)
-    return indexed + probed, len(indexed)
+    owners, found, probes, others = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)], [np.zeros(0, np.uint64)]
+    for e in range(1, edits + 1):
+        m = parts or e + 1
+        for less in range(e + 1):
+            on = np.flatnonzero((allowed(length - less, edits) == e) & (length >= less))
+            if not len(on):
+                continue
+            target = length[on] - less
+            bound = [starts[on] + target * i // m for i in range(m + 1)]
+            tag = target.astype(np.uint64) * _U(1 << 20) + _U(e << 16)
+            for number, kept, gaps in patterns(e, m, less):
+                key = ts.mix(tag + _U(number + 1))
+                for a, b, shift in kept:
+                    x = np.maximum(bound[a] + shift, starts[on])
+                    key = ts.mix(key ^ ts.stretches(sums, x, np.maximum(bound[b] + shift, x)))
+                owners.append(on)
+                found.append(key)
+                probes.append(np.full(len(on), less > 0 or any(shift for *_, shift in kept)))
+                halves = np.zeros(len(on), np.uint64)
+                for a, b, before, after in gaps[:2] if len(gaps) > 1 else ():
+                    x = np.maximum(bound[a] + before, starts[on])
+                    halves = halves << _U(32) | ts.stretches(sums, x, np.maximum(bound[b] + after, x)) >> _U(32) | _U(1)
+                others.append(halves)
+    return np.concatenate(owners), np.concatenate(found), np.concatenate(probes), np.concatenate(others)
 
 
 def _read(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
+    """Each line, and at its first place in the task its keys; the first n_own are indexed."""
     seen: set[int] = set()
     for batch in batches:
         for rows, data, at in ts.pieces(batch):
@@ -90,25 +142,37 @@ def _read(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBa
             node = ts.signed(ts.stretches(sums, starts, ends))
             size = ends - starts
             first = np.zeros(len(node), bool)
-            for i in np.flatnonzero(size >= NEAR_BYTES).tolist():
+            for i in np.flatnonzero(size >= PER_EDIT).tolist():
                 x = int(node[i])
                 if x not in seen:
                     first[i] = True
                     if len(seen) < SEEN:
                         seen.add(x)
-            columns, n_index = keys(sums, starts[first], ends[first], edits)
-            flat = np.stack(columns, 1).reshape(-1)
-            key_at = np.concatenate(([0], np.cumsum(first * len(columns)))).astype(np.int32)
+            which = np.flatnonzero(first)
+            owner, key, probe, _ = keys(sums, starts[first], ends[first], edits)
+            owner = which[owner]
+            order = np.lexsort((probe, owner))
+            key_at = np.searchsorted(owner[order], np.arange(len(node) + 1)).astype(np.int32)
             doc = np.repeat(np.arange(len(rows)), np.diff(off))
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column("doc_id").take(pa.array(doc)), pa.array((np.arange(len(node)) - off[doc]).astype(np.int32)), pa.array(node), pa.array(size.astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(key_at), pa.array(flat)),
+                    pa.ListArray.from_arrays(pa.array(key_at), pa.array(ts.signed(key[order]))), pa.array(np.bincount(owner[~probe], minlength=len(node)).astype(np.int32)),
                 ],
-                names=["doc_id", "line", "node", "size", "keys"],
+                names=["doc_id", "line", "node", "size", "keys", "n_own"],
             )
 
 
+def _finer(batches: Iterator[pa.RecordBatch], edits: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Keys of whole lines, cut in `parts`."""
+    for batch in batches:
+        for rows, data, at in ts.pieces(batch, "body"):
+            owner, key, probe, gaps = keys(ts.prefix(data), at[:-1], at[1:], edits, parts)
+            for c in range(0, len(key), 1 << 16):
+                some = slice(c, c + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(ts.signed(key[some])), rows.column("node").take(pa.array(owner[some])), pa.array(probe[some]), pa.array(ts.signed(gaps[some]))], names=["key", "node", "probe", "gaps"])
+
+
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, at in ts.pieces(batch):
@@ -197,62 +261,86 @@ def _banded(rows: np.ndarray, m: np.ndarray, columns: np.ndarray, n: np.ndarray,
     return score
 
 
-def _measure(batches: Iterator[pd.DataFrame], cap: int) -> Iterator[pd.DataFrame]:
+def _measure(batches: Iterator[pd.DataFrame], cap: int, edits: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "far": distances(list(zip(pdf["body_a"], pdf["body_b"], strict=True)), cap)})
+        far = distances(list(zip(pdf["body_a"], pdf["body_b"], strict=True)), cap)
+        shorter = np.array([min(len(a), len(b)) for a, b in zip(pdf["body_a"], pdf["body_b"], strict=True)], np.int64)
+        yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "far": far, "close": far <= allowed(shorter, edits)})
 
 
-def removals(docs: DataFrame, edits: int = EDITS, least: int = MIN_BYTES) -> DataFrame:
-    """doc_id, n_lines, n_removed, removed (line numbers from 0): for every document."""
+def _links(texts: DataFrame, nodes: DataFrame, rows: DataFrame, edits: int, crowd: int, finer: tuple[int, ...]) -> DataFrame:
+    """a, b: close lines, enough of them that their components are those of all close lines."""
     cap = 3 * edits
-    texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    read = cut(texts.mapInArrow(lambda it: _read(it, edits), "doc_id long, line int, node long, size int, keys array<long>"))
-    slim = cut(read.select("doc_id", "line", "node", "size"))
-    nodes = cut(
-        slim.filter(F.col("size") >= least).groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"))
-    )
-    by_key = W.partitionBy("key").orderBy("probe", "node")
-    members = (
-        read.select("node", F.posexplode("keys").alias("k", "key"))
-        .select("node", "key", (F.col("k") > edits).alias("probe"))
-        .withColumn("hub", F.first("node").over(by_key))
-        .withColumn("lone", F.first("probe").over(by_key))
-        .filter("not lone and node <> hub")
-    )
-    members = cut(members.groupBy("key", "hub", "node").agg(F.min("probe").alias("probe")))
-    discard(read)
-    pairs = cut(members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = ends.join(nodes, "node").groupBy("first.doc_id").agg(F.collect_list(F.struct("first.line", "node")).alias("wanted"))
-    bodies = cut(texts.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_bodies, "node long, body binary").dropDuplicates(["node"]))
+    bodies, spent, links, left = None, [], None, []
 
     def measured(pairs: DataFrame) -> DataFrame:
         a = bodies.select(F.col("node").alias("a"), F.col("body").alias("body_a"))
         b = bodies.select(F.col("node").alias("b"), F.col("body").alias("body_b"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "body_a", "body_b").mapInPandas(lambda it: _measure(it, cap), "a long, b long, far int")
-
-    stars = cut(measured(pairs))
-    close = F.col("far") <= edits
-    first = components(stars.filter(close).select("a", "b"))
-    away = members.join(stars.select(F.col("a").alias("hub"), F.col("b").alias("node"), "far"), ["hub", "node"]).join(first, "node", "left")
-    away = away.select("key", "node", "probe", "far", F.coalesce("component", "node").alias("component"))
-    free = away.filter(~close).select("key", F.col("node").alias("x"), F.col("probe").alias("probe_x"), F.col("component").alias("component_x"), F.explode(F.sequence(F.col("far") - edits, F.col("far") + edits)).alias("far"))
-    more = (
-        free.join(away, ["key", "far"])
-        .filter((F.col("component") != F.col("component_x")) & ~(F.col("probe") & F.col("probe_x")))
-        .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
-        .distinct()
-    )
-    links = stars.filter(close).select("a", "b").union(measured(more).filter(close).select("a", "b"))
+        sides = pairs.join(a, "a").join(b, "b").select("a", "b", "body_a", "body_b")
+        return cut(sides.mapInPandas(lambda it: _measure(it, cap, edits), "a long, b long, far int, close boolean"))
+
+    for parts in (*finer, 0):
+        members = live(rows)
+        pairs = cut(members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+        if bodies is None:
+            ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+            wanted = cut(ends.join(nodes, "node").groupBy("first.doc_id").agg(F.collect_list(F.struct("first.line", "node")).alias("wanted")))
+            bodies = cut(texts.join(wanted.hint("merge"), "doc_id").select("text", "wanted").mapInArrow(_bodies, "node long, body binary").dropDuplicates(["node"]))
+            spent += [wanted, bodies]
+        stars = measured(pairs)
+        found = stars.filter("close").select("a", "b")
+        links = found if links is None else links.union(found)
+        away = members.join(stars.select(F.col("a").alias("hub"), F.col("b").alias("node"), "far", (~F.col("close")).alias("free")), ["hub", "node"])
+        away = cut(away)
+        spent += [members, pairs, stars, away]
+        if not parts:
+            left.append(away)
+            break
+        full = crowded(away, "free", crowd)
+        spent.append(full)
+        left.append(away.join(narrow(full), "key", "left_anti"))
+        again = away.join(narrow(full), "key", "left_semi")
+        again = cut(again.select("node").union(again.select("hub")).distinct())
+        spent.append(again)
+        some = again.count()
+        if not some:
+            break
+        dealt = bodies.join(narrow(again), "node").repartition(-(-some // LINES_A_TASK), "node")
+        rows = cut(dealt.mapInArrow(lambda it, parts=parts: _finer(it, edits, parts), "key long, node long, probe boolean, gaps long"))
+        spent.append(rows)
     classes = components(links)
-    discard(members, pairs, bodies, stars)
-    classed = classes.join(nodes, "node")
+    more = []
+    for away in left:
+        away = away.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        free = away.filter("free").select("key", F.col("node").alias("x"), F.col("probe").alias("probe_x"), F.col("component").alias("component_x"), F.col("gaps").alias("gaps_x"), F.explode(F.sequence(F.col("far") - edits, F.col("far") + edits)).alias("far"))
+        differ = F.col("gaps").bitwiseXOR(F.col("gaps_x"))
+        apart = (F.col("gaps") == 0) | ((differ.bitwiseAND(F.lit(0xFFFFFFFF)) != 0) & (F.shiftrightunsigned(differ, 32) != 0))
+        both = free.join(away, ["key", "far"]).filter((F.col("component") != F.col("component_x")) & ~(F.col("probe") & F.col("probe_x")) & apart)
+        more.append(both.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")))
+    pairs = more[0]
+    for x in more[1:]:
+        pairs = pairs.union(x)
+    links = cut(links.union(measured(pairs.distinct()).filter("close").select("a", "b")))
+    discard(*spent)
+    return links
+
+
+def removals(docs: DataFrame, edits: int = EDITS, least: int = MIN_BYTES, crowd: int = CROWD, finer: tuple[int, ...] = FINER) -> DataFrame:
+    """doc_id, n_lines, n_removed, removed (line numbers from 0): for every document."""
+    texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    read = cut(texts.mapInArrow(lambda it: _read(it, edits), "doc_id long, line int, node long, size int, keys array<long>, n_own int"))
+    slim = cut(read.select("doc_id", "line", "node", "size"))
+    nodes = cut(slim.filter(F.col("size") >= least).groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("copies")))
+    rows = read.filter(F.col("size") >= least).select("node", "n_own", F.posexplode("keys").alias("k", "key")).select("key", "node", (F.col("k") >= F.col("n_own")).alias("probe"), F.lit(0).cast("long").alias("gaps"))
+    links = _links(texts, nodes, rows, edits, crowd, finer)
+    discard(read)
+    classed = components(links).join(nodes, "node")
     lead = classed.groupBy("component").agg(F.min("first").alias("lead"))
     leads = classed.join(lead, "component").select("node", "lead")
     repeated = nodes.join(leads, "node", "left").select("node", "copies", F.coalesce("lead", "first").alias("lead"), "first").filter("copies > 1 or lead <> first")
-    gone = (
-        slim.select("doc_id", "line", "node").join(repeated.select("node", "lead"), "node").filter(F.struct("doc_id", "line") != F.col("lead")).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
-    )
+    # written, so that both sides of the join are plain and a line in very many documents is split
+    repeated = cut(repeated.select("node", "lead"))
+    gone = slim.select("doc_id", "line", "node").join(narrow(repeated), "node").filter(F.struct("doc_id", "line") != F.col("lead")).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
     counted = slim.groupBy("doc_id").agg((F.max("line") + 1).cast("long").alias("n_lines"))
     every = docs.select("doc_id").join(counted, "doc_id", "left").join(gone, "doc_id", "left")
     none = F.array().cast("array<int>")
@@ -260,8 +348,15 @@ def removals(docs: DataFrame, edits: int = EDITS, least: int = MIN_BYTES) -> Dat
 
 
 def drop_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_BYTES) -> DataFrame:
-    """docs with the repeated lines taken out of text, and n_lines and n_removed."""
-    found = removals(docs, edits, least)
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed", i))
-    text = F.when(F.col("n_removed") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
-    return docs.join(found.filter("n_removed > 0"), "doc_id", "left").withColumn("text", F.when(F.col("n_removed") > 0, text).otherwise(F.col("text"))).drop("removed")
+    """The columns of docs, with repeated lines taken out of text; documents that lose all lines are left out.
+    An integer column n_chars follows the text where that changes."""
+    found = removals(docs, edits, least).filter("n_removed > 0").dropDuplicates(["doc_id"])
+    found = found.select(F.col("doc_id").alias("_of"), F.col("removed").alias("_gone"), (F.col("n_removed") == F.col("n_lines")).alias("_all"))
+    d = docs.alias("d").join(found.alias("f"), F.col("d.doc_id") == F.col("f._of"), "left").filter("NOT coalesce(f._all, false)")
+    kept = F.array_join(F.filter(F.split("d.text", "\n"), lambda x, i: ~F.array_contains("f._gone", i)), "\n")
+    text = F.when(F.col("f._of").isNotNull(), kept).otherwise(F.col("d.text"))
+    columns = {c: F.col(f"d.`{c}`") for c in docs.columns} | {"text": text}
+    if "n_chars" in columns:
+        kind = docs.schema["n_chars"].dataType
+        columns["n_chars"] = F.when(F.col("f._of").isNotNull(), F.length(kept).cast(kind)).otherwise(F.col("d.n_chars"))
+    return d.select(*[x.alias(c) for c, x in columns.items()])

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.durable import checkpointed
+from newsloom.llm.durable import cut_with, discard
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """edges, written, and what tells whether a round has changed them."""
+    out, seen = cut_with(edges, n=F.count(F.lit(1)), digest=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+    return out, (seen["n"], seen["digest"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,17 +24,17 @@ def components(links: DataFrame) -> DataFrame:
     which adaptive execution splits where a node has many links.
     """
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    edges = checkpointed(edges)
-    state = _state(edges)
+    edges, state = _kept(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
-        edges = small.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        edges = checkpointed(edges.filter("a <> b").distinct())
-        before, state = state, _state(edges)
+        stars = small.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        last, before = edges, state
+        edges, state = _kept(stars.filter("a <> b").distinct())
+        discard(last)
         if state == before:
             break
     tops = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

@@ -119,16 +119,28 @@ def edit_distance(a: bytes, b: bytes) -> int:
     return last[-1]
 
 
-def removed_lines(rows, edits=2, least=12, near=24):
+def within(a: bytes, b: bytes, k: int) -> bool:
+    """Whether the edit distance is at most k: equal beginnings cost nothing, then one of three edits is next."""
+    n = min(len(a), len(b))
+    i = next((i for i in range(n) if a[i] != b[i]), n)
+    a, b = a[i:], b[i:]
+    if not a or not b or not k:
+        return len(a) + len(b) <= k
+    return within(a[1:], b[1:], k - 1) or within(a[1:], b, k - 1) or within(a, b[1:], k - 1)
+
+
+def removed_lines(rows, edits=2, least=12, per_edit=12):
     where = defaultdict(list)
     for d, t, *_ in rows:
         for i, x in enumerate((t or "").encode().split(b"\n") if t else []):
             if len(x) >= least:
                 where[x].append((d, i))
-    groups, long = Groups(where), [x for x in where if near <= len(x) < 2000]
-    for i, a in enumerate(long):
-        for b in long[:i]:
-            if abs(len(a) - len(b)) <= edits and edit_distance(a, b) <= edits:
+    groups, long = Groups(where), sorted((x for x in where if len(x) >= per_edit), key=len)
+    for i, b in enumerate(long):
+        for a in long[i - 1 :: -1] if i else ():  # the shorter
+            if len(b) - len(a) > edits:
+                break
+            if within(a, b, min(edits, len(a) // per_edit)):
                 groups.link(a, b)
     classes = defaultdict(list)
     for x, places in where.items():
