@@ -8,12 +8,15 @@ marginal of at least 0.5 is kept. Both potentials are learned from labelled page
 of made-up layouts (`labelled_layouts`) whose parts are known, and at most SAMPLE_PAGES
 pages of the table that mark their article.
 
-Scripts, styles, forms and the head never hold main text, whatever the model says.
-
-A block is a run of text between block-level tags; <br> is white space. Defined results:
-null or empty html, or html without text, gives the empty string; unclosed and stray tags
-are repaired as browsers do in the simple cases; repeated rows give repeated results; an
-empty table gives no rows; only page_id, url and html are read.
+Scripts, styles, forms, the head, and what stands in for media (NEVER) never hold main text,
+whatever the model says.
+
+A block is a run of text between block-level tags; <br> is white space. Tags are read by
+HTML's states in one pass: a quote opens a value only right after `=`. Defined results:
+null or empty html, or html without text, gives the empty string; a quote that is never
+closed is part of an unquoted value; from a tag that is never closed on, all is text; unclosed and stray
+elements are repaired as browsers do in the simple cases; repeated rows give repeated results;
+an empty table gives no rows; only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -29,14 +32,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_PAGES = 300
+#: Bounds of the sample that the model is fitted on: pages, and bytes of a page.
+SAMPLE_PAGES, SAMPLE_BYTES = 300, 100_000
 LAYOUT_PAGES = 400
 
 #: HTML's inline, void and raw-text elements, and those whose content is no text.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn del em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn del em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot munder mover munderover mspace mstyle semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-NEVER = frozenset("head script style noscript template iframe object svg canvas math form select option button textarea input fieldset title xmp noembed noframes audio video datalist dialog".split())
+NEVER = frozenset("head script style noscript template iframe object svg canvas form select option button textarea input fieldset title xmp noembed noframes audio video datalist annotation".split())
 #: A start tag of these closes an open <p>; of LIKE, an open element of the same group.
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -68,12 +72,65 @@ for _i, _words in enumerate(NAMES.values()):
 PARTS = [KIND_AT[k] for k in ("nav", "header", "footer", "aside", "article")]
 N_FEATURES = 2 * len(KIND_LIST) + 2 * len(NAMES) + len(PARTS) + 7
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_NAME = re.compile(r"[^\s/>]++")
+_ATTRIBUTE = re.compile(r"[\s/]*+(=?[^\s/>=]*+)(?:\s*+=\s*+([^\s>]?))?")
+_VALUE = re.compile(r"[^\s>]*+")
+_NAMING = frozenset(("class", "id", "role"))
 _PART = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+class Tags:
+    """Reads the tags of a page one after the other, each character a bounded number of times."""
+
+    def __init__(self, html: str) -> None:
+        self.html = html
+        self.unclosed = {q: False for q in ("\"", "'", ">")}
+
+    def find(self, what: str, at: int) -> int:
+        """The next place of a sign; -1 if there is none, which is then known for all later places."""
+        if self.unclosed[what]:
+            return -1
+        found = self.html.find(what, at)
+        self.unclosed[what] = found < 0
+        return found
+
+    def tag(self, at: int) -> tuple[str, str, str, int] | None:
+        """Of the "<" at this place: "start", "end", "" (a comment or the like) or "rest" (all that follows is text), tag, names and where it ends; None for plain text."""
+        html, n = self.html, len(self.html)
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            return "", "", "", n if end < 0 else end + 3
+        sign = html[at + 1 : at + 2]
+        closing = sign == "/"
+        begin = at + 1 + closing
+        letter = html[begin : begin + 1]
+        if not (letter.isascii() and letter.isalpha()):
+            if not closing and sign not in ("!", "?"):
+                return None
+            end = self.find(">", at)
+            return ("", "", "", end + 1) if end >= 0 else None
+        name = _NAME.match(html, begin)
+        place, names = name.end(), []
+        while True:
+            found = _ATTRIBUTE.match(html, place)
+            place = found.end()
+            quote = found[2]
+            if quote is not None:
+                end = self.find(quote, place) if quote in ("\"", "'") else -1
+                if end >= 0:
+                    value, place = html[place:end], end + 1
+                else:
+                    value = _VALUE.match(html, place - len(quote))
+                    value, place = value[0], value.end()
+                if found[1].lower() in _NAMING:
+                    names.append(value)
+            if place >= n:
+                return "rest", "", "", n
+            if html[place] == ">":
+                return "end" if closing else "start", name[0].lower(), " ".join(names), place + 1
+
+
 class Tree:
     """Block-level elements of a page, in page order; node 0 is the page."""
 
@@ -114,24 +171,29 @@ def parse(html: str) -> Tree:
             if linked:
                 tree.links[stack[-1]] = tree.links.get(stack[-1], 0) + len(part)
 
-    n = len(html)
+    n, tags = len(html), Tags(html)
     while at < n:
-        found = _TOKEN.search(html, at)
-        if not found:
+        open_at = html.find("<", at)
+        if open_at < 0:
             text(html[at:])
             break
-        text(html[at : found.start()])
-        at = found.end()
-        if found[1]:
-            tag = found[1].lower()
+        text(html[at:open_at])
+        found = tags.tag(open_at)
+        if not found:
+            text("<")
+            at = open_at + 1
+            continue
+        sort, tag, names, at = found
+        if sort == "rest":
+            text(html[open_at:])
+        if sort == "end":
             if tag in INLINE:
                 linked = max(0, linked - (tag == "a"))
             elif tag == "br":
                 text(" ")
             else:
                 close({tag})
-        elif found[2]:
-            tag = found[2].lower()
+        elif sort == "start":
             if tag in INLINE:
                 linked += tag == "a"
                 continue
@@ -156,13 +218,11 @@ def parse(html: str) -> Tree:
             linked = 0
             if tag == "html":
                 continue
-            names = " ".join(a or b or c for a, b, c in _NAMED.findall(found[3])) if found[3] else ""
             tree.tags.append(tag)
             tree.names.append(names)
             tree.parent.append(stack[-1])
             tree.dead.append(tree.dead[stack[-1]] or tag in NEVER)
-            if not found[3].rstrip().endswith("/") or tag not in VOID:
-                stack.append(len(tree.tags) - 1)
+            stack.append(len(tree.tags) - 1)
     flush()
     return tree
 
@@ -361,9 +421,15 @@ def main_text(html: str | None, model: TreeModel) -> str:
     return "\n".join(text for node, text in tree.blocks if kept[node] >= 0.5)
 
 
-def train(pages: DataFrame, sample: int = SAMPLE_PAGES) -> TreeModel:
-    """From made-up layouts and at most `sample` pages of the table, those of the smallest hashes of their url."""
-    rows = pages.filter(F.col("html").contains("<article") & (F.octet_length("html") < 100_000)).orderBy(F.xxhash64("url"), "url", "html").select("html").limit(sample).collect()
+def train(pages: DataFrame, sample: int = SAMPLE_PAGES, most: int = SAMPLE_BYTES) -> TreeModel:
+    """From made-up layouts and at most `sample` pages of the table, of at most `most` bytes each, those of the smallest hashes of url and page_id.
+
+    Rows are first thinned by their hashes to some eight for each that is wanted, and copies left out, so what tasks send does not grow with the table.
+    """
+    rank = F.xxhash64("url", "page_id")
+    share = min(1.0, 8 * sample / max(pages.count(), 1))
+    some = pages.filter(F.col("html").contains("<article") & (F.octet_length("html") <= most) & (rank <= F.lit(int(-(2**63) + share * (2**64 - 1)))))
+    rows = some.select(rank.alias("rank"), "html").dropDuplicates(["rank"]).orderBy("rank").limit(sample).collect()
     real = [x for x in (from_article(r["html"]) for r in rows) if x]
     return TreeModel.fit(labelled_layouts() + real)
 
