@@ -10,8 +10,8 @@ tokens leave one mask untouched (tests try all of them).
 
 Only DataFrame and SQL functions are used. Positions are exploded, hashed and
 probed inside one stage; no row leaves it unless a seed is hit. The benchmark is
-sent to all executors if it has at most SEED_ROWS seeds, else it is joined by
-shuffle.
+sent to all executors if it has at most SEED_ROWS seeds. Else seeds are joined by
+shuffle, as narrow rows without tokens, and the documents that are hit give theirs after.
 
 Tokens are runs of letters and digits, lower-cased. Defined results: null or empty
 texts hit nothing; items of fewer than WINDOW tokens have no window, so `leaks` looks for
@@ -37,32 +37,33 @@ def tokens(text: Column) -> Column:
     return F.when(cleaned == "", F.array().cast("array<string>")).otherwise(F.split(cleaned, " "))
 
 
-def seeded(df: DataFrame, key: str, masks=MASKS) -> DataFrame:
-    """A row for each position and mask: key, w, pos (from 0), seed."""
+def seeded(df: DataFrame, keep: list[str], masks=MASKS) -> DataFrame:
+    """A row for each position and mask: the columns of keep, pos (from 0), seed."""
     at = lambda o: F.get("w", F.col("pos") + o)
     seeds = [F.xxhash64(F.lit(m), *[at(o) for o in mask]) for m, mask in enumerate(masks)]
     n = F.size("w") - (min(m[-1] for m in masks) + 1)
+    columns = list(dict.fromkeys((*keep, "w")))
     return (
         df.filter(n >= 0)
-        .select(key, "w", F.explode(F.sequence(F.lit(0), n)).alias("pos"))
-        .select(key, "w", "pos", F.explode(F.array(*seeds)).alias("seed"))
+        .select(*columns, F.explode(F.sequence(F.lit(0), n)).alias("pos"))
+        .select(*keep, "pos", F.explode(F.array(*seeds)).alias("seed"))
     )
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = SLACK, masks=MASKS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = SLACK, masks=MASKS, seed_rows: int = SEED_ROWS) -> DataFrame:
     """doc_id, item_id, n_equal (tokens that agree at the best shift), item_tokens: the pairs that overlap."""
     items = benchmark.select("item_id", tokens(F.col("text")).alias("w")).filter(F.size("w") >= window)
-    probes = seeded(items, "item_id", masks).select("item_id", F.size("w").alias("n_item"), F.col("pos").alias("item_pos"), "seed").distinct()
-    if probes.count() <= SEED_ROWS:
-        probes, items = F.broadcast(probes), F.broadcast(items)
-    hits = (
-        seeded(docs.select("doc_id", tokens(F.col("text")).alias("w")), "doc_id", masks)
-        .join(probes, "seed")
-        .withColumn("shift", F.col("pos") - F.col("item_pos"))
-        .select("doc_id", "item_id", "shift", F.slice("w", F.greatest(F.col("shift"), F.lit(0)) + 1, F.col("n_item") + F.least(F.col("shift"), F.lit(0))).alias("there"))
-    )
+    probes = seeded(items.withColumn("n_item", F.size("w")), ["item_id", "n_item"], masks).withColumnRenamed("pos", "item_pos").distinct()
+    tokened = docs.select("doc_id", tokens(F.col("text")).alias("w"))
+    shift = (F.col("pos") - F.col("item_pos")).alias("shift")
     # the document's tokens beside the item, the same for all hits of a pair and shift
-    hits = hits.groupBy("doc_id", "item_id", "shift").agg(F.any_value("there").alias("there"))
+    there = F.slice("w", F.greatest(F.col("shift"), F.lit(0)) + 1, F.col("n_item") + F.least(F.col("shift"), F.lit(0))).alias("there")
+    if probes.count() <= seed_rows:
+        items = F.broadcast(items)
+        hits = seeded(tokened, ["doc_id", "w"], masks).join(F.broadcast(probes), "seed").select("doc_id", "w", "item_id", "n_item", shift)
+    else:
+        hits = seeded(tokened, ["doc_id"], masks).join(probes, "seed").select("doc_id", "item_id", "n_item", shift).distinct().join(tokened, "doc_id")
+    hits = hits.select("doc_id", "item_id", "shift", there).distinct()
     skipped = F.greatest(-F.col("shift"), F.lit(0))
     equal = F.filter(
         F.transform("w", lambda x, j: F.when(x == F.get("there", (j - skipped).cast("int")), j)),

@@ -57,6 +57,10 @@ def test_decontamination(spark):
     docs, bench = spark.createDataFrame(rows, brute.DOCS), spark.createDataFrame(items, "item_id long, text string")
     got = sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()))
     assert got == brute.leaks(rows, items) and got
+    by_shuffle = decontaminate.contaminated(docs, bench, seed_rows=0)
+    assert sorted(map(tuple, by_shuffle.collect())) == got
+    plan = by_shuffle._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, (seed" in plan
     assert decontaminate.contaminated(docs.limit(0), bench).count() == decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
