@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.llm import textscan as ts
 from newsloom.llm.boosting import BoostedTrees, Isotonic
@@ -156,7 +157,10 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS):
     """Lexicon, trees and calibration from at most `rows` labelled documents that are not held out."""
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    sample = cut(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumn("part", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(10))))
+    # thinned by the same hash first, so that what tasks send for the sample does not grow with the labels
+    rank, share = F.xxhash64("doc_id"), min(1.0, 2 * rows / max(usable.count(), 1))
+    usable = usable.filter(rank <= F.lit(int(-(2**63) + share * (2**64 - 1))))
+    sample = cut(usable.orderBy(rank, "doc_id").limit(rows).withColumn("part", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(10))))
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     counts = texts.filter("part < 4").select("text", "toxic").mapInArrow(_form_counts, "form long, toxic long, clean long")
     sizes = sample.filter("part < 4").agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
@@ -172,9 +176,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS):
         for batch in batches:
             for piece, data, at in ts.pieces(batch):
                 x = features(data, at, lexicon)
-                yield pa.RecordBatch.from_arrays([piece.column("part"), piece.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], names=["part", "toxic", "x"])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("part"), piece.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "part", "toxic", "x"])
 
-    got = texts.filter("part >= 4").select("part", "toxic", "text").mapInArrow(rows_of, "part long, toxic int, x array<double>").toPandas()
+    # a row for each labelled document, however many rows it has
+    got = texts.filter("part >= 4").select("doc_id", "part", "toxic", "text").mapInArrow(rows_of, "doc_id long, part long, toxic int, x array<double>")
+    got = got.groupBy("doc_id").agg(F.min(F.struct("part", "toxic", "x")).alias("r")).select("r.*").toPandas()
     got = got.sample(frac=1, random_state=0) if len(got) else got
     x = np.array(got["x"].tolist(), float).reshape(-1, FEATURES)
     y, part = got["toxic"].to_numpy(float), got["part"].to_numpy()
@@ -184,19 +190,29 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS):
     return lexicon, trees, Isotonic(trees.raw(x[part >= 8]), y[part >= 8]), bool(len(y))
 
 
-def score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted, and the columns of keep."""
+def _scored(docs: DataFrame, labels: DataFrame, rows: int, columns: list[str]) -> DataFrame:
+    """These columns of docs as _c0, _c1 and so on, and _score. The second is text."""
     lexicon, trees, calibrate, trained = train(docs, labels, rows)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece, data, at in ts.pieces(batch):
+            for piece, data, at in ts.pieces(batch, "_c1"):
                 s = calibrate(trees.raw(features(data, at, lexicon))) if trained else np.zeros(len(piece))
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(np.clip(s, 0, 1))], names=[*piece.schema.names, "_score"])
 
-    taken = docs.select("doc_id", *[c for c in dict.fromkeys(("text", *keep)) if c != "doc_id"])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields) + ", _score double"
-    out = taken.mapInArrow(scored, schema)
-    return out.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= CUTOFF).cast("int").alias("predicted"), *[c for c in keep if c != "doc_id"]
-    )
+    taken = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)])
+    return taken.mapInArrow(scored, T.StructType([*taken.schema.fields, T.StructField("_score", T.DoubleType())]))
+
+
+def score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    doc_id, s = F.col("_c0"), F.col("_score")
+    out = _scored(docs, labels, rows, ["doc_id", "text"])
+    return out.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), s.alias("score"), (s >= CUTOFF).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of docs that are not predicted toxic, with all their columns, whatever their names."""
+    columns = list(dict.fromkeys(("doc_id", "text", *docs.columns)))
+    out = _scored(docs, labels, rows, columns).filter(F.col("_score") < CUTOFF)
+    return out.select(*[F.col(f"_c{columns.index(c)}").alias(c) for c in docs.columns])
