@@ -15,7 +15,7 @@ from newsloom.llm.durable import cut
 from newsloom.llm.jaccard import near_groups
 from newsloom.llm.linejoin import EVERY, drop_lines
 from newsloom.llm.mixing import mix_sources
-from newsloom.llm.toxicity import score
+from newsloom.llm.toxicity import accepted
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,15 +24,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted toxic go."""
-    return score(docs, _table(spark, sf_dir, "labels"), keep=tuple(docs.columns)).filter("predicted = 0").select(docs.columns)
+    return accepted(docs, _table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier place has, but for small edits, go, and documents of nothing else."""
-    kept = drop_lines(docs, least=EVERY).filter("n_removed IS NULL OR n_removed < n_lines")
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return kept.select(docs.columns)
+    return drop_lines(docs, least=EVERY)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
