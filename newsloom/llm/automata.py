@@ -33,10 +33,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.llm import textscan as ts
+from newsloom.llm.candidates import shared_by_several
 from newsloom.llm.durable import cut
 
 LENGTH = 13
@@ -186,12 +186,11 @@ def _keep(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, part: int = PART, hot: int = HOT_PASSAGES) -> DataFrame:
     """doc_id, cuts: the passages (at = first word * 64 + windows, mask of removed windows) of documents that lose words."""
+    if not 0 < part <= length or length - part + 1 > 62:
+        raise ValueError("part must be from 1 to length, and above length - 62")
     texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    by_key = W.partitionBy("key")
-    filed = texts.mapInArrow(lambda it: _anchors(it, length, part), "key long, passage long, doc_id long, at long")
-    shared = cut(
-        filed.withColumn("low", F.min("doc_id").over(by_key)).withColumn("high", F.max("doc_id").over(by_key)).filter("low < high").select("key", "passage", "doc_id", "at")
-    )
+    filed = lambda d: d.mapInArrow(lambda it: _anchors(it, length, part), "key long, passage long, doc_id long, at long")
+    shared = cut(shared_by_several(texts, filed, docs.count(), apart=True))
     distinct = shared.groupBy("key", "passage").agg(F.min(F.struct("doc_id", "at")).alias("f"))
     distinct = cut(distinct.select("key", "passage", F.col("f.doc_id").alias("first"), F.col("f.at").alias("at")))
     kinds = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
@@ -212,7 +211,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, part: int = PART, ho
     apart = passages.filter("hot").mapInPandas(lambda it: _windows(it, length), "key long, passage long, first long, place int, window long")
     least = apart.groupBy("window").agg(F.min("first").alias("least"))
     apart = apart.join(least, "window").groupBy("key", "passage").agg(F.sort_array(F.collect_list(F.struct("place", "least"))).alias("o")).select("key", "passage", F.col("o.least").alias("firsts"))
-    firsts = alone.unionByName(streamed).unionByName(apart)
+    firsts = cut(alone.unionByName(streamed).unionByName(apart))
     bits = F.aggregate(
         F.transform("firsts", lambda x, j: F.when(x < F.col("doc_id"), F.call_function("shiftleft", F.lit(1).cast("long"), j)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)
     )

@@ -27,10 +27,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.llm import textscan as ts
+from newsloom.llm.candidates import shared_by_several
 from newsloom.llm.durable import cut
 
 LENGTH = 400
@@ -234,10 +234,11 @@ def _keep(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, part: int = PART, hot: int = HOT_PASSAGES) -> DataFrame:
     """doc_id, cuts: the passages (at = first byte * 1024 + windows, ranges of repeated windows) of documents that lose bytes."""
+    if not 0 < part <= length or length - part + 1 >= _SPAN:
+        raise ValueError(f"part must be from 1 to length, and above length - {_SPAN - 1}")
     texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    by_key = W.partitionBy("key")
-    filed = texts.mapInArrow(lambda it: _anchors(it, length, part), "key long, passage long, doc_id long, at long")
-    shared = cut(filed.withColumn("n", F.count(F.lit(1)).over(by_key)).filter("n > 1").select("key", "passage", "doc_id", "at"))
+    filed = lambda d: d.mapInArrow(lambda it: _anchors(it, length, part), "key long, passage long, doc_id long, at long")
+    shared = cut(shared_by_several(texts, filed, docs.count(), apart=False))
     distinct = shared.groupBy("key", "passage").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "at")).alias("f"))
     distinct = cut(distinct.select("key", "passage", "copies", F.col("f.doc_id").alias("doc_id"), F.col("f.at").alias("at")))
     kinds = distinct.join(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
@@ -256,7 +257,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, part: int = PART, hot:
     often = apart.groupBy("window").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("window")
     apart = apart.join(often, "window").select("key", "passage", F.array(F.col("place"), F.col("place") + 1).alias("ranges"))
     single = distinct.filter("copies = 1").select("key", "passage")
-    ranges = copied.unionByName(streamed.filter(F.size("ranges") > 0).join(single, ["key", "passage"], "left_semi")).unionByName(apart.join(single, ["key", "passage"], "left_semi"))
+    ranges = cut(copied.unionByName(streamed.filter(F.size("ranges") > 0).join(single, ["key", "passage"], "left_semi")).unionByName(apart.join(single, ["key", "passage"], "left_semi")))
     return shared.join(ranges, ["key", "passage"]).groupBy("doc_id").agg(F.collect_list(F.struct("at", "ranges")).alias("cuts"))
 
 
