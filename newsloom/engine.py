@@ -3,26 +3,28 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.config import Settings, settings
-from newsloom.errors import NewsError
-from newsloom.operators import metrics, registry
+from newsloom.errors import ConfigError, NewsError
+from newsloom.operators import metrics, normalize, registry, rules, schedule
 from newsloom.plans import pipeline
 from newsloom.plugins import Plugins
-from newsloom.sources import documents
+from newsloom.sources import documents, sinks
 
 
 class Engine:
-    """read: feeds DataFrame to documents (feed_id, url, content, content_type, feed_type)."""
+    """read: feeds DataFrame to documents (feed_id, url, content, content_type, feed_type). store: a shared folder for what crawls leave."""
 
-    def __init__(self, spark: SparkSession, read: Callable[[DataFrame], DataFrame], feeds: DataFrame | None = None, config: Settings | None = None) -> None:
+    def __init__(self, spark: SparkSession, read: Callable[[DataFrame], DataFrame], feeds: DataFrame | None = None, config: Settings | None = None, store: str | None = None) -> None:
         self.spark, self.read, self.config = spark, read, config or settings()
         self.feeds = registry.feeds(spark) if feeds is None else feeds
-        self.plugins, self.began = Plugins(), time.time()
+        self.plugins, self.began, self.store = Plugins(), time.time(), store
+        self.schedule = schedule.of_registry(self.feeds, F.current_timestamp())
         self.checks = spark.createDataFrame([(n, "healthy") for n in metrics.CRITICAL], "name string, status string")
 
     def health(self) -> str:
@@ -66,19 +68,51 @@ class Engine:
 
     def _crawl(self, feeds: DataFrame, as_of: Column | None, job_id: str) -> pipeline.Result:
         as_of = F.current_timestamp() if as_of is None else as_of
-        docs = documents.dispatch(self.read(feeds))
-        rss = documents.feed_entries(docs.filter("parser = 'rss'"), as_of).filter("error IS NULL")
-        pages = documents.page_articles(docs.filter("parser = 'html'").select("feed_id", "url", F.col("content").alias("html")), as_of).filter("error IS NULL")
-        shared = ["feed_id", "title", "body", "url", "canonical_url", "published_at", "extraction_method"]
-        found = rss.select(*shared, "author", "entry").unionByName(pages.select(*shared, F.lit(None).cast("string").alias("author"), F.lit(0).alias("entry")))
+        found = documents.parse(documents.dispatch(self.read(feeds)), as_of).filter("error IS NULL").drop("error")
         nothing = {"language": "string", "raw_html": "string", "article_id": "string", "metadata": "map<string,string>"}
-        order = F.row_number().over(_arrival())
-        articles = found.select("*", F.col("feed_id").alias("source"), *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()], order.cast("long").alias("arrival"))
-        return pipeline.run(articles.withColumn("article_key", F.concat_ws("#", "feed_id", "url")), as_of, job_id)
-
-
-def _arrival():
-    """Feed order, then entry order: the order in which one crawl after the other would meet them."""
-    from pyspark.sql import Window
-
-    return Window.orderBy("feed_id", "entry", "url")
+        # the order in which one crawl after the other would meet them
+        arrival = F.struct("feed_id", "entry", "url").alias("arrival")
+        articles = found.select("*", F.col("feed_id").alias("source"), *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()], arrival)
+        return pipeline.run(articles.withColumn("article_key", F.concat_ws("#", "feed_id", "url")), as_of, job_id, self._known())
+
+    def _known(self) -> DataFrame | None:
+        """Bands of articles published by finished crawls; None if there is no store or it is empty."""
+        if self.store is None or not self._exists("dedup_bands"):
+            return None
+        return self.spark.read.schema("band string").parquet(f"{self.store}/dedup_bands")
+
+    def _exists(self, name: str) -> bool:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.store}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+    def complete(self, result: pipeline.Result, as_of: Column | None = None) -> DataFrame:
+        """Publishes a crawl into the store: messages, dead letters, validation log, job rows and dedup state. Returns the job rows.
+
+        The statuses are written first and all else comes from there, so a retry of a later step does not decide anew.
+        """
+        if self.store is None:
+            raise ConfigError("A store is needed to complete a crawl", field="store")
+        as_of = F.current_timestamp() if as_of is None else as_of
+        run = f"{self.store}/crawls/{uuid.uuid4().hex}"
+        result.status.write.parquet(run)
+        status = self.spark.read.parquet(run)
+        jobs = [r[0] for r in status.select("job_id").distinct().limit(2).collect()]
+        published = status.filter("status = 'published'")
+        sinks.publish(normalize.messages(published, as_of, jobs[0] if jobs else "job"), sinks.MESSAGES, self.store)
+        refused = status.filter("status IN ('invalid', 'error')")
+        letters = sinks.dead_letters(refused.select("feed_id", "url", "title", "body", "errors"), F.coalesce(F.nullif(F.array_join("errors", "; "), F.lit("")), F.lit("NORMALIZATION_ERROR")), as_of, ("feed_id", "url", "title", "body"))
+        letters.write.mode("append").parquet(f"{self.store}/{sinks.DEAD_LETTERS.name}")
+        rules.validation_log(refused, as_of).write.mode("append").parquet(f"{self.store}/data_validation_log")
+        rows = metrics.job_rows(status, as_of)
+        rows.write.mode("append").parquet(f"{self.store}/crawl_jobs")
+        # last: until this is there, the articles count as not yet published
+        pipeline.bands_of(published).write.mode("append").parquet(f"{self.store}/dedup_bands")
+        return rows
+
+    def bundle(self) -> dict:
+        """Health, dedup store, registry and schedule figures."""
+        known = self._known()
+        return {
+            "health": metrics.report(self.checks).first().asDict(True), "dedup_store": {"bands": known.distinct().count() if known is not None else 0},
+            "feed_registry": [r.asDict() for r in registry.stats(self.feeds).collect()], "scheduler": [r.asDict() for r in schedule.stats(self.schedule).collect()],
+        }

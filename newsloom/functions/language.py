@@ -26,7 +26,10 @@ def tokens(text: Column) -> Column:
 
 def detect(text: Column) -> Column:
     """struct(language, confidence): the best language's share of all function words found; nulls if there are none."""
-    return once(F.struct(*[_count(tokens(text), words).alias(lang) for lang, words in WORDS.items()]), lambda counted: _best(text, {lang: counted[lang] for lang in WORDS}))
+    # only function words go on to the counts by language
+    known = F.filter(tokens(text), lambda w: w.isin(*sorted({w for words in WORDS.values() for w in words})))
+    counts = once(known, lambda found: F.struct(*[_count(found, words).alias(lang) for lang, words in WORDS.items()]))
+    return once(counts, lambda counted: _best(text, {lang: counted[lang] for lang in WORDS}))
 
 
 def _count(words: Column, known: list[str]) -> Column:

@@ -1,16 +1,20 @@
-"""Checkpoints in the folder that the session names."""
+"""Storage that every executor shares, and checkpoints in it."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where that is unset, a local master (as in tests) gets a temporary folder; a cluster must name one."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="newsloom-checkpoint-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")

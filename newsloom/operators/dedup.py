@@ -8,6 +8,7 @@ article is a duplicate if it collides with an earlier one that was kept.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,15 +37,18 @@ def coefficients(n: int = PERMUTATIONS) -> list[tuple[int, int]]:
     return out
 
 
-def shingle_hashes(content: Column) -> Column:
-    """31-bit hashes of the 4-word shingles."""
-    return F.transform(text.shingles(content), lambda s: F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long") % P)
+def _hashes(words: list[str], n: int) -> np.ndarray:
+    """31-bit hashes of the distinct n-word shingles: the first 32 bits of their md5, modulo P."""
+    runs = {" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
+    first = b"".join([hashlib.md5(x.encode()).digest()[:4] for x in runs])
+    return np.frombuffer(first, ">u4").astype(np.int64) % P
 
 
-def signatures(articles: DataFrame) -> DataFrame:
+def signatures(articles: DataFrame, n: int = 4) -> DataFrame:
     """articles (with title and body) and their signature: array<bigint>.
 
-    Every column given goes through Arrow, so callers select what they need first.
+    Words are parted by Spark; shingles are hashed and their minima taken in one Arrow map. Every
+    column given goes through it, so callers select what they need first.
     """
     pairs = coefficients()
     a = np.array([p[0] for p in pairs], np.int64)[:, None]
@@ -52,18 +56,17 @@ def signatures(articles: DataFrame) -> DataFrame:
 
     def minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            listed = batch.column(batch.num_columns - 1)
-            values, at = np.asarray(listed.values), np.asarray(listed.offsets)
             out = np.full((len(batch), len(pairs)), P, np.int64)
-            for i, (start, end) in enumerate(zip(at[:-1], at[1:], strict=True)):
-                for c in range(start, end, 4096):
-                    out[i] = np.minimum(out[i], ((a * values[c : min(c + 4096, end)] + b) % P).min(1))
+            for i, words in enumerate(batch.column(batch.num_columns - 1)):
+                values = _hashes(words.as_py(), n)
+                for c in range(0, len(values), 4096):
+                    out[i] = np.minimum(out[i], ((a * values[c : c + 4096] + b) % P).min(1))
             signature = pa.FixedSizeListArray.from_arrays(pa.array(out.reshape(-1)), len(pairs)).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], signature], names=[*batch.schema.names[:-1], "signature"])
 
     content = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("body", F.lit("")))
     schema = StructType([*articles.schema.fields, StructField("signature", ArrayType(LongType()))])
-    return articles.select("*", shingle_hashes(content).alias("_hashes")).mapInArrow(minima, schema)
+    return articles.select("*", text.words(F.lower(content)).alias("_words")).mapInArrow(minima, schema)
 
 
 def band_keys(signature: Column) -> Column:

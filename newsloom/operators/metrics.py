@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions import times
+
 #: Histogram buckets by what is timed.
 BUCKETS = {"fetch": (0.1, 0.5, 1.0, 2.0, 5.0, 10.0), "parse": (0.01, 0.05, 0.1, 0.5, 1.0), "validation": (0.01, 0.05, 0.1, 0.5), "publish": (0.01, 0.05, 0.1, 0.5, 1.0)}
 SEVERITY = ("healthy", "degraded", "unhealthy")
@@ -19,6 +21,19 @@ def job_counters(evaluated: DataFrame, job: str = "job_id") -> DataFrame:
     )
 
 
+def job_rows(status: DataFrame, as_of: Column) -> DataFrame:
+    """A completed job for each feed of a crawl, in the columns of the catalog's crawl_jobs. errors: the feed's distinct rule errors."""
+    listed = status.withColumnRenamed("job_id", "_job").withColumn("job_id", F.concat_ws("/", "_job", "feed_id"))
+    counted = job_counters(listed, "job_id")
+    named = listed.groupBy("job_id").agg(F.first("feed_id").alias("feed_id"))
+    errors = listed.select("job_id", F.explode("errors").alias("e")).groupBy("job_id").agg(F.array_sort(F.collect_set("e")).alias("errors"))
+    iso = times.to_iso(as_of)
+    return (
+        counted.join(named, "job_id").join(errors, "job_id", "left")
+        .select("job_id", "feed_id", iso.alias("started_at"), iso.alias("completed_at"), F.lit("completed").alias("status"), "articles_crawled", "articles_published", "articles_failed", F.coalesce("errors", F.array().cast("array<string>")).alias("errors"))
+    )
+
+
 def counters(events: DataFrame, *labels: str) -> DataFrame:
     return events.groupBy(*labels).agg(F.count(F.lit(1)).alias("value"))
 

@@ -29,18 +29,32 @@ class Result:
     jobs: DataFrame
 
 
-def with_status(articles: DataFrame, as_of: Column) -> DataFrame:
-    """Evaluated articles with status published, duplicate, invalid or error; duplicate comes before invalid."""
+def with_status(articles: DataFrame, as_of: Column, known: DataFrame | None = None) -> DataFrame:
+    """Evaluated articles with status published, duplicate, invalid or error; duplicate comes before invalid.
+
+    known(band): the bands of articles that earlier runs have published.
+    """
     e = rules.evaluate(articles, as_of)
     makes = F.length(F.coalesce("language", "lang_code")) == 2
     e = e.withColumn("publishable", F.col("is_valid") & F.coalesce(makes, F.lit(False)))
-    dups = dedup.first_wins(dedup.signatures(e).select("arrival", "signature", "publishable"))
+    signed = dedup.signatures(e.select("arrival", "title", "body", "publishable")).select("arrival", "signature", "publishable")
+    if known is None:
+        dups = dedup.first_wins(signed)
+    else:
+        bands = signed.select("arrival", F.explode(dedup.band_keys(F.col("signature"))).alias("band"))
+        seen = bands.join(known.select("band"), "band", "left_semi").select("arrival").distinct()
+        dups = dedup.first_wins(signed.join(seen, "arrival", "left_anti")).unionByName(seen.select("arrival", F.lit(True).alias("is_duplicate")))
     status = F.when(F.col("is_duplicate"), "duplicate").when(~F.col("is_valid"), "invalid").when(~F.col("publishable"), "error").otherwise("published")
     return e.join(dups, "arrival").withColumn("status", status)
 
 
-def run(articles: DataFrame, as_of: Column, job_id: str = "job") -> Result:
-    s = with_status(articles, as_of).withColumn("job_id", F.lit(job_id))
+def run(articles: DataFrame, as_of: Column, job_id: str = "job", known: DataFrame | None = None) -> Result:
+    s = with_status(articles, as_of, known).withColumn("job_id", F.lit(job_id))
     return Result(
         s, normalize.messages(s.filter("status = 'published'"), as_of, job_id), s.filter("status IN ('invalid', 'error')"), metrics.job_counters(s.withColumn("job", F.col("source")), "job")
     )
+
+
+def bands_of(published: DataFrame) -> DataFrame:
+    """band: what later runs need to know of published articles."""
+    return dedup.signatures(published.select("title", "body")).select(F.explode(dedup.band_keys(F.col("signature"))).alias("band")).distinct()

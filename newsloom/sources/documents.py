@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.errors import ParseError
 from newsloom.functions import text, urls
 
 #: Content types of each parser.
@@ -67,6 +70,12 @@ def feed_entries(docs: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+def feed_errors(entries: DataFrame) -> DataFrame:
+    """feed_id, error: feeds of feed_entries() that give no article at all."""
+    counted = entries.groupBy("feed_id").agg(F.count_if(F.col("error").isNull()).alias("good"), F.max("error").alias("error"), F.count_if("error = 'RSS_NO_ENTRIES'").alias("none"))
+    return counted.filter("good = 0").select("feed_id", F.when(F.col("none") > 0, "RSS_NO_ENTRIES").otherwise("RSS_NO_VALID_ARTICLES").alias("error"))
+
+
 def plain(html: Column) -> Column:
     """Text of a stretch of html: no tags, references read, white space as single spaces."""
     c = F.regexp_replace(html, r"(?s)<[^>]*>", " ")
@@ -85,11 +94,32 @@ def page_title(html: Column) -> Column:
     return plain(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
+def _meta(html: Column, *names: str) -> Column:
+    """The content of the first <meta> with one of these names or properties, whichever attribute comes first; null if none has any."""
+    found = []
+    for name in names:
+        own = rf"""(?:name|property|itemprop)\s*=\s*["']?{name}["']?"""
+        for pattern in (rf"""(?is)<meta\s[^>]*?{own}[^>]*?\scontent\s*=\s*["']([^"']*)""", rf"""(?is)<meta\s[^>]*?\bcontent\s*=\s*["']([^"']*)["'][^>]*?\s{own}"""):
+            found.append(F.nullif(_strip(plain(F.regexp_extract(html, pattern, 1))), F.lit("")))
+    return F.coalesce(*found)
+
+
+def page_author(html: Column) -> Column:
+    byline = plain(F.regexp_extract(html, r"""(?is)<[a-z0-9]+\s[^>]*?(?:rel|class)\s*=\s*["']?(?:author|byline)["']?[^>]*>(.*?)</""", 1))
+    return F.coalesce(_meta(html, "author", "article:author", "dc.creator"), F.nullif(F.regexp_replace(byline, r"(?i)^by\s+", ""), F.lit("")))
+
+
+def page_date(html: Column) -> Column:
+    given = _meta(html, "article:published_time", "datePublished", "pubdate", "date", "dc.date")
+    time = F.nullif(F.regexp_extract(html, r"""(?is)<time\s[^>]*?datetime\s*=\s*["']?([^"'\s>]+)""", 1), F.lit(""))
+    return F.coalesce(_date(given), _date(time))
+
+
 def page_articles(pages: DataFrame, as_of: Column) -> DataFrame:
     """pages(url, html): title and body by the marked article, else by the body without its frame; error if neither has both."""
     code_free = without_code(F.col("html"))
     p = pages.withColumn("_h", code_free).withColumn("title", page_title(F.col("html")))
-    marked = plain(F.regexp_extract("_h", r"(?is)<(?:article|main)[^>]*>(.*)</(?:article|main)>", 1))
+    marked = plain(F.regexp_extract("_h", r"(?is)<(?:article|main)(?:\s[^>]*)?>(.*)</(?:article|main)>", 1))
     body = F.col("_h")
     for tag in ("head", "nav", "header", "footer", "aside", "form"):
         body = F.regexp_replace(body, rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}>", " ")
@@ -97,13 +127,46 @@ def page_articles(pages: DataFrame, as_of: Column) -> DataFrame:
     text_ = F.when(F.col("_a") != "", F.col("_a")).otherwise(F.col("_b"))
     bad = (F.coalesce("title", F.lit("")) == "") | (F.coalesce(text_, F.lit("")) == "")
     return p.select(
-        *[c for c in pages.columns if c != "html"], "title", text_.alias("body"), urls.key_url(F.col("url")).alias("canonical_url"), as_of.alias("published_at"),
+        *[c for c in pages.columns if c != "html"], "title", text_.alias("body"), urls.key_url(F.col("url")).alias("canonical_url"), F.coalesce(page_date(F.col("_h")), as_of).alias("published_at"), page_author(F.col("_h")).alias("author"),
         F.when(F.col("_a") != "", "marked").otherwise("whole").alias("extraction_method"), F.when(bad, "HTML_EXTRACTION_FAILED").alias("error"),
     )
 
 
+#: Parsers by name: documents and a time to articles with error.
+_PARSERS: dict[str, Callable[[DataFrame, Column], DataFrame]] = {
+    "rss": feed_entries,
+    "html": lambda docs, as_of: page_articles(docs.select("feed_id", "url", F.col("content").alias("html")), as_of),
+}
+
+
+def register_parser(name: str, parser: Callable[[DataFrame, Column], DataFrame]) -> None:
+    """parser(docs, as_of) gives articles: feed_id, title, body, url, canonical_url, published_at, author, extraction_method, error and, if it has an order, entry."""
+    if not callable(parser):
+        raise ParseError(f"A parser must be callable, got {parser!r}", "PARSER_INVALID")
+    _PARSERS[name.lower()] = parser
+
+
+def unregister_parser(name: str) -> None:
+    _PARSERS.pop(name.lower(), None)
+
+
+def parsers() -> list[str]:
+    return list(_PARSERS)
+
+
+def parse(docs: DataFrame, as_of: Column) -> DataFrame:
+    """Articles of dispatch()ed documents by all parsers, with the entry's place in its document, and error."""
+    shared = ["feed_id", "title", "body", "url", "canonical_url", "published_at", "author", "extraction_method", "error"]
+    out = None
+    for name, parser in _PARSERS.items():
+        found = parser(docs.filter(F.col("parser") == name), as_of)
+        found = found.select(*shared, (F.col("entry") if "entry" in found.columns else F.lit(0)).cast("int").alias("entry"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def dispatch(docs: DataFrame) -> DataFrame:
     """parser by feed_type if there is one, else by content type; PARSER_UNKNOWN otherwise."""
-    named = F.when(F.lower("feed_type").isin("rss", "html"), F.lower("feed_type")) if "feed_type" in docs.columns else F.lit(None).cast("string")
+    named = F.when(F.lower("feed_type").isin(*parsers()), F.lower("feed_type")) if "feed_type" in docs.columns else F.lit(None).cast("string")
     chosen = F.coalesce(named, parser_for(F.col("content_type")))
     return docs.withColumn("parser", chosen).withColumn("error", F.when(chosen.isNull(), "PARSER_UNKNOWN"))

@@ -44,8 +44,16 @@ def get(url: str, timeout: int, proxy: Proxy | None = None) -> tuple[int, str, b
         return reply.status, reply.headers.get_content_type(), reply.read()
 
 
+def _code(status: int) -> str | None:
+    return None if status == 200 else "HTTP_REDIRECT" if status in (301, 302, 303, 307, 308) else "HTTP_ERROR"
+
+
 def fetch(feeds: DataFrame, retries: int = 5, backoff: float = 30.0, proxies: tuple[Proxy, ...] = (), read: Callable = get, sleep: Callable = time.sleep) -> DataFrame:
-    """feeds(feed_id, url, timeout_seconds) with status, content_type, content, attempts and error. One failure is one row."""
+    """feeds(feed_id, url, timeout_seconds) with status, content_type, content, attempts, error and last_error. One failure is one row.
+
+    error is FETCH_FAILED after the last attempt, with the reason of that in last_error: HTTP_REDIRECT, HTTP_ERROR,
+    FETCH_TIMEOUT or FETCH_ERROR. A feed with a column circuit_open that is true is not read: CIRCUIT_BREAKER_OPEN.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         failed: set[str] = set()
@@ -54,13 +62,16 @@ def fetch(feeds: DataFrame, retries: int = 5, backoff: float = 30.0, proxies: tu
             rows = []
             for f in pdf.itertuples():
                 status, kind, body, error, attempt = None, None, None, None, 0
+                if f.circuit_open:
+                    rows.append((f.feed_id, f.url, None, None, None, 0, "CIRCUIT_BREAKER_OPEN", None))
+                    continue
                 for attempt in range(retries + 1):
                     proxy, turn = next_proxy(list(proxies), failed, turn)
                     try:
                         status, kind, body = read(f.url, f.timeout_seconds, proxy)
-                        error = None if status == 200 else f"HTTP_{status}"
+                        error = _code(status)
                     except urllib.error.HTTPError as e:
-                        status, error = e.code, f"HTTP_{e.code}"
+                        status, error = e.code, _code(e.code)
                     except (OSError, ValueError) as e:
                         error = "FETCH_TIMEOUT" if isinstance(e, TimeoutError) else "FETCH_ERROR"
                         if proxy:
@@ -69,8 +80,9 @@ def fetch(feeds: DataFrame, retries: int = 5, backoff: float = 30.0, proxies: tu
                         break
                     if attempt < retries:
                         sleep(backoff * 2**attempt)
-                rows.append((f.feed_id, f.url, status, kind, body, attempt + 1, error))
-            yield pd.DataFrame(rows, columns=["feed_id", "url", "status", "content_type", "raw", "attempts", "error"])
+                rows.append((f.feed_id, f.url, status, kind, body, attempt + 1, error and "FETCH_FAILED", error))
+            yield pd.DataFrame(rows, columns=["feed_id", "url", "status", "content_type", "raw", "attempts", "error", "last_error"])
 
-    got = feeds.select("feed_id", "url", "timeout_seconds").mapInPandas(run, "feed_id string, url string, status int, content_type string, raw binary, attempts int, error string")
+    circuit = F.coalesce("circuit_open", F.lit(False)) if "circuit_open" in feeds.columns else F.lit(False)
+    got = feeds.select("feed_id", "url", "timeout_seconds", circuit.alias("circuit_open")).mapInPandas(run, "feed_id string, url string, status int, content_type string, raw binary, attempts int, error string, last_error string")
     return got.withColumn("content", ensure_utf8(F.col("raw"))).drop("raw")

@@ -37,9 +37,9 @@ def publish(messages: DataFrame, topic: Topic, root: str, key: str = "article_id
     return path
 
 
-def dead_letters(rejects: DataFrame, error: Column, as_of: Column) -> DataFrame:
-    """An envelope with the original, the error and the time it was rejected."""
-    return rejects.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("original_message"), error.alias("error"), times.to_iso(as_of).alias("timestamp"))
+def dead_letters(rejects: DataFrame, error: Column, as_of: Column, original: tuple[str, ...] = ("*",)) -> DataFrame:
+    """An envelope with the original (all columns, or those named), the error and the time it was rejected."""
+    return rejects.select(F.to_json(F.struct(*original), {"ignoreNullFields": "false"}).alias("original_message"), error.alias("error"), times.to_iso(as_of).alias("timestamp"))
 
 
 def delivery_report(published: DataFrame, topic: Topic) -> DataFrame:
@@ -60,3 +60,39 @@ def create_tables(spark: SparkSession, database: str = "default") -> list[str]:
 
 def table_status(spark: SparkSession, database: str = "default") -> dict[str, bool]:
     return {name: spark.catalog.tableExists(f"{database}.{name}") for name in TABLES}
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def ensure_topics(spark: SparkSession, root: str, topics: tuple[Topic, ...] = (MESSAGES, DEAD_LETTERS)) -> dict[str, bool]:
+    """Makes the folders of topics that lack one; which were made."""
+    made = {}
+    for t in topics:
+        fs, path = _fs(spark, f"{root}/{t.name}")
+        made[t.name] = not fs.exists(path) and fs.mkdirs(path)
+    return made
+
+
+def verify_topics(spark: SparkSession, root: str, topics: tuple[Topic, ...] = (MESSAGES, DEAD_LETTERS)) -> dict[str, bool]:
+    found = {}
+    for t in topics:
+        fs, path = _fs(spark, f"{root}/{t.name}")
+        found[t.name] = fs.exists(path)
+    return found
+
+
+def describe_topic(topic: Topic) -> dict[str, str]:
+    """A topic's settings under the names that brokers use."""
+    return {"partitions": str(topic.partitions), "retention.ms": str(topic.retention_days * 86_400_000), "compression.type": topic.compression, "max.message.bytes": str(topic.max_bytes)}
+
+
+def sink_health(spark: SparkSession, root: str) -> bool:
+    """Whether the sink's folder can be reached."""
+    try:
+        fs, path = _fs(spark, root)
+        return bool(fs.exists(path))
+    except Exception:  # a store that is down raises errors of its own kinds through the JVM
+        return False

@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 def spark():
     conf = {
         "spark.sql.shuffle.partitions": "4", "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g",
-        "spark.sql.autoBroadcastJoinThreshold": "256k",
+        "spark.sql.autoBroadcastJoinThreshold": "256k", "spark.sql.codegen.wholeStage": "false",
     }
     session = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
