@@ -14,6 +14,7 @@ from newsloom.errors import ConfigError, NewsError
 from newsloom.operators import metrics, normalize, registry, rules, schedule
 from newsloom.plans import pipeline
 from newsloom.plugins import Plugins
+from newsloom.schema import ARTICLE
 from newsloom.sources import documents, sinks
 
 
@@ -69,7 +70,7 @@ class Engine:
     def _crawl(self, feeds: DataFrame, as_of: Column | None, job_id: str) -> pipeline.Result:
         as_of = F.current_timestamp() if as_of is None else as_of
         found = documents.parse(documents.dispatch(self.read(feeds)), as_of).filter("error IS NULL").drop("error")
-        nothing = {"language": "string", "raw_html": "string", "article_id": "string", "metadata": "map<string,string>"}
+        nothing = {c: ARTICLE[c].dataType for c in ("language", "raw_html", "article_id", "metadata")}
         # the order in which one crawl after the other would meet them
         arrival = F.struct("feed_id", "entry", "url").alias("arrival")
         articles = found.select("*", F.col("feed_id").alias("source"), *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()], arrival)

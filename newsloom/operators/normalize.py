@@ -24,7 +24,7 @@ def messages(articles: DataFrame, as_of: Column, job_id: str = "job", publisher_
         "language": language, "published_at": times.to_iso(F.col("published_at")), "crawled_at": times.to_iso(as_of), "country": text.country_of(F.col("metadata")),
         "checksum": text.sha256(body), "validation_score": F.col("validation_score"), "schema_version": F.lit(schema_version), "ingest_job_id": F.lit(job_id),
         "publisher_id": F.lit(publisher_id), "author": F.col("author"), "raw_html": F.lit(None).cast("string"), "extraction_method": F.col("extraction_method"),
-        "metadata": F.coalesce("metadata", F.map_filter(F.create_map(F.lit(""), F.lit("")), lambda k, v: F.lit(False))),
+        "metadata": F.transform_values(F.map_filter(F.coalesce("metadata", F.create_map(F.lit(""), F.lit(None).cast("string"))), lambda k, v: v.isNotNull()), lambda k, v: F.coalesce(v, F.lit(""))),
     }
     rows = articles.select(*[given[f.name].cast(f.dataType).alias(f.name) for f in MESSAGE.fields])
     return rows.filter(acceptable())

@@ -111,7 +111,8 @@ def load_json(registry: DataFrame, text: str) -> DataFrame:
 def export_json(registry: DataFrame) -> DataFrame:
     """One row: the registry as a JSON array by feed_id. The registry is small by nature."""
     row = F.struct(*[F.col(f.name) for f in FEED.fields])
-    return registry.agg(F.to_json(F.array_sort(F.collect_list(row)), {"ignoreNullFields": "false"}).alias("feeds"))
+    by_id = lambda a, b: F.when(a["feed_id"] < b["feed_id"], -1).when(a["feed_id"] > b["feed_id"], 1).otherwise(0)  # noqa: E731  maps have no order
+    return registry.agg(F.to_json(F.array_sort(F.collect_list(row), by_id), {"ignoreNullFields": "false"}).alias("feeds"))
 
 
 def stats(registry: DataFrame) -> DataFrame:

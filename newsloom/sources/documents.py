@@ -72,7 +72,7 @@ def feed_entries(docs: DataFrame, as_of: Column) -> DataFrame:
 
 def feed_errors(entries: DataFrame) -> DataFrame:
     """feed_id, error: feeds of feed_entries() that give no article at all."""
-    counted = entries.groupBy("feed_id").agg(F.count_if(F.col("error").isNull()).alias("good"), F.max("error").alias("error"), F.count_if("error = 'RSS_NO_ENTRIES'").alias("none"))
+    counted = entries.groupBy("feed_id").agg(F.count_if(F.col("error").isNull()).alias("good"), F.max("error").alias("error"), F.count_if(F.col("error") == "RSS_NO_ENTRIES").alias("none"))
     return counted.filter("good = 0").select("feed_id", F.when(F.col("none") > 0, "RSS_NO_ENTRIES").otherwise("RSS_NO_VALID_ARTICLES").alias("error"))
 
 
