@@ -18,16 +18,20 @@ key are candidates. All sets of a key are held against the key's first set, its
 A set has a parity bitmap, in which each shingle turns over one bit; the bits in which
 two bitmaps differ are at most as many as the shingles in which the sets differ, so a
 pair that differs in too many bits is not linked, and only other pairs are compared, exactly and on
-whole sets. Sets linked to one hub are in one component already, and two sets whose
-bitmaps differ from the hub's by counts too far apart cannot be linked. Only the other
-pairs of a key are held against each other, in the same two steps.
+whole sets. Sets of one component need no more, and two sets whose bitmaps differ from the
+hub's by counts too far apart cannot be linked. Of the other pairs of a key, those
+leave the join whose bitmaps of SCREEN bits may be linked, each at the smallest key that it has in common only;
+they go through the same two steps. So what a crowd of sets that are alike but not linked (the variants of
+one much copied text) sends on is the pairs near the threshold, though the join itself looks at each pair that
+shares a key and is not told apart by its hub.
 
 A node is a distinct set, so copies cost nothing after the first in each task.
 
 Defined results: A-Z become lower case, words are [^\x20\x09-\x0D]+; texts with fewer
 than n words give their whole word sequence as one shingle; null or empty texts give
-the empty set, linked with nothing; rows that repeat a doc_id must be equal and give equal rows;
-rows whose doc_id is null are left out; an empty table gives no rows; only doc_id and text are read.
+the empty set, linked with nothing; each row is a document, so rows that repeat a doc_id give
+rows each; rows whose doc_id is null are linked with nothing and have a null component; an
+empty table gives no rows; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -40,10 +44,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.llm import textscan as ts
+from newsloom.llm.candidates import live
 from newsloom.llm.durable import cut, discard, narrow
 from newsloom.llm.links import components
 
@@ -53,6 +57,8 @@ SEEN = 300_000
 NEEDED_ROWS = 400_000
 #: Of a bitmap, in powers of 2. Sets of one key differ in size by a factor of 4 at most, if percent is 50 or more.
 LEAST_BITS, MOST_BITS = 64, 16_384
+#: Bits of the bitmap that a join compares, a multiple of 64.
+SCREEN = 256
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,6 +167,14 @@ def parities(sets: np.ndarray, off: np.ndarray) -> list[bytes]:
     return [data[a:b] for a, b in zip(base[:-1] // 8, base[1:] // 8, strict=True)]
 
 
+def screens(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """For each set a bitmap of SCREEN bits, as rows of 64-bit words: shingles turn bits over."""
+    n = len(off) - 1
+    place = (ts.mix(sets ^ _U(0x2545F4914F6CDD1D)) % _U(SCREEN)).astype(np.int64)
+    odd = (np.bincount(np.repeat(np.arange(n) * SCREEN, np.diff(off)) + place, minlength=n * SCREEN) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64).reshape(n, SCREEN // 64)
+
+
 def folded(bitmap: bytes, n: int) -> int:
     """The bitmap as an integer of n bytes: what larger ones have further up is folded on to it."""
     value, size = int.from_bytes(bitmap, "little"), len(bitmap)
@@ -182,19 +196,24 @@ def _screen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "n_a": pdf["n_a"], "n_b": pdf["n_b"], "far": far, "gap": gap})
 
 
+def _nodes(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
+    size = np.diff(off)
+    node = np.zeros(len(size), np.uint64)
+    full = np.flatnonzero(size)
+    if len(full):
+        node[full] = ts.mix(np.add.reduceat(ts.mix(sets), off[full]) + size[full].astype(np.uint64))
+    return node
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], n: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     highs = table[:, 1]
     for batch in batches:
         for rows, data, at in ts.pieces(batch):
             sets, off = shingle_sets(data, at, n)
-            size = np.diff(off)
-            node = np.zeros(len(size), np.uint64)
-            full = np.flatnonzero(size)
-            if len(full):
-                node[full] = ts.mix(np.add.reduceat(ts.mix(sets), off[full]) + size[full].astype(np.uint64))
+            size, node = np.diff(off), _nodes(sets, off)
             new = []
-            for i in full:
+            for i in np.flatnonzero(size):
                 x = int(node[i])
                 if x not in seen:
                     new.append(i)
@@ -211,17 +230,21 @@ def _sketch(batches: Iterator[pa.RecordBatch], n: int, table: np.ndarray) -> Ite
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(ts.signed(node)), pa.array(parities(sets, off), pa.binary()),
+                    pa.FixedSizeListArray.from_arrays(pa.array(screens(sets, off).reshape(-1)), SCREEN // 64).cast(pa.list_(pa.int64())),
                     pa.ListArray.from_arrays(pa.array(at_key), pa.array(ts.signed(keys[order]))),
                 ],
-                names=["doc_id", "n_shingles", "node", "parity", "keys"],
+                names=["doc_id", "n_shingles", "node", "parity", "screen", "keys"],
             )
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """The sets of the nodes named; rows that share only the doc_id of one give none."""
     for batch in batches:
         for rows, data, at in ts.pieces(batch):
             sets, off = shingle_sets(data, at, n)
-            yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array([sets[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())], names=["node", "items"])
+            own = ts.signed(_nodes(sets, off)) == rows.column("node").to_numpy(zero_copy_only=False)
+            items = [sets[off[i] : off[i + 1]].tobytes() for i in np.flatnonzero(own)]
+            yield pa.RecordBatch.from_arrays([rows.column("node").filter(pa.array(own)), pa.array(items, pa.binary())], names=["node", "items"])
 
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,21 +273,16 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     t = Fraction(percent, 100)
     table = band_table(t, max(docs.count(), 1))
     texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    indexed = cut(texts.mapInArrow(lambda it: _sketch(it, n, table), "doc_id long, n_shingles long, node long, parity binary, keys array<long>"))
+    kind = "doc_id long, n_shingles long, node long, parity binary, screen array<long>, keys array<long>"
+    indexed = cut(texts.mapInArrow(lambda it: _sketch(it, n, table), kind))
     sketch = cut(indexed.select("doc_id", "n_shingles", "node"))
     nodes = sketch.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"))
-
-    by_key = W.partitionBy("key").orderBy("node")
-    members = (
-        indexed.select("node", F.explode("keys").alias("key"))
-        .withColumn("hub", F.first("node").over(by_key))  # a running frame: nothing is held for a key
-        .filter("node <> hub")
-    )
-    members = cut(members.select("key", "hub", "node"))
+    members = live(indexed.select(F.explode("keys").alias("key"), "node", F.lit(False).alias("probe")))
     pairs = cut(members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    bitmaps = cut(indexed.select("node", "n_shingles", "parity").join(ends, "node").dropDuplicates(["node"]))
+    bitmaps = cut(indexed.select("node", "n_shingles", "parity", "screen").join(ends, "node").dropDuplicates(["node"]))
     discard(indexed)
+    spent = [pairs, bitmaps]
 
     def screened(pairs: DataFrame) -> DataFrame:
         side = lambda x: bitmaps.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}"))
@@ -272,50 +290,62 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         least = F.greatest("far", F.abs(F.col("n_a") - F.col("n_b")))
         return cut(out.withColumn("maybe", (100 + percent) * least <= (100 - percent) * (F.col("n_a") + F.col("n_b"))))
 
+    def sets_of(some: DataFrame) -> DataFrame:
+        """node, items for some(node)."""
+        needed = cut(some.join(nodes, "node").select("node", F.col("first_doc").alias("doc_id")))
+        spent.append(needed)
+        sets = texts.join(narrow(needed, NEEDED_ROWS), "doc_id").select("node", "text").mapInArrow(lambda it: _sets(it, n), "node long, items binary")
+        return sets.dropDuplicates(["node"])
+
     def linked(pairs: DataFrame) -> DataFrame:
         """Of screened pairs, those that are linked: a, b."""
         maybe = pairs.filter("maybe").select("a", "b")
-        ends = maybe.select(F.col("a").alias("node")).union(maybe.select(F.col("b").alias("node"))).distinct()
-        needed = cut(ends.join(nodes, "node").select("node", F.col("first_doc").alias("doc_id")))
-        sets = texts.join(narrow(needed, NEEDED_ROWS), "doc_id").select("node", "text").mapInArrow(lambda it: _sets(it, n), "node long, items binary")
-        sets = cut(sets.dropDuplicates(["node"]))
+        sets = cut(sets_of(maybe.select(F.col("a").alias("node")).union(maybe.select(F.col("b").alias("node"))).distinct()))
         side = lambda x: sets.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}"))
         out = maybe.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b").mapInPandas(_compare, "a long, b long, shared long, whole long")
         out = cut(out.filter(100 * F.col("shared") >= percent * F.col("whole")).select("a", "b"))
-        discard(needed, sets)
+        discard(sets)
         return out
 
+    def beside_hubs(members: DataFrame, stars: DataFrame, links: DataFrame) -> DataFrame:
+        """members with size, gap to the hub, and free: not linked with it."""
+        known = links.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.lit(False).alias("free"))
+        at = stars.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("n_a").alias("n_hub"), F.col("n_b").alias("n"), "gap")
+        out = members.join(at, ["hub", "node"]).join(known, ["hub", "node"], "left")
+        width = F.expr(f"n_hub * {100 - percent} div {percent} + 1")
+        return cut(out.select("key", "hub", "node", "probe", "n", "gap", F.coalesce("free", F.lit(True)).alias("free"), width.alias("width")))
+
     stars = screened(pairs)
     links = linked(stars)
-    first = components(links)
-    # what a hub did not settle: pairs of one key, neither the hub, in different components
-    known = links.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.lit(True).alias("linked"))
-    away = (
-        members.join(stars.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("n_a").alias("n_hub"), F.col("n_b").alias("n"), "gap"), ["hub", "node"])
-        .join(known, ["hub", "node"], "left")
-        .join(first, "node", "left")
-        .select("key", "node", "n", "gap", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("component", "node").alias("component"), F.expr(f"n_hub * {100 - percent} div {percent} + 1").alias("width"))
-    )
-    away = cut(away.distinct().withColumn("cell", F.expr("gap div width")))
+    away = beside_hubs(members, stars, links)
+    # each member's keys, and what the join compares
+    words = [f"word_{i}" for i in range(SCREEN // 64)]
+    own = away.groupBy("node").agg(F.collect_set("key").alias("keys")).join(bitmaps.select("node", *[F.col("screen")[i].alias(w) for i, w in enumerate(words)]), "node")
+    classes = components(links)
     reach = F.expr(f"n * {100 - percent} div {percent}")  # of a partner of this size, if it has one
     cells = F.sequence(F.expr("floor((gap - reach) / width)"), F.expr("floor((gap + reach) / width)"))
-    free = away.filter("not linked").withColumn("reach", reach).select("key", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("gap").alias("gap_x"), F.col("component").alias("component_x"), F.explode(cells).alias("cell"))
     apart = F.greatest(F.abs(F.col("gap") - F.col("gap_x")), F.abs(F.col("n") - F.col("n_x")))
-    more = (
-        free.join(away, ["key", "cell"])
-        .filter((F.col("component") != F.col("component_x")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("n_x"))))
-        .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
-        .distinct()
+    away = cut(away.join(own, "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("cell", F.expr("gap div width")))
+    given = [F.col(c).alias(f"{c}_x") for c in ("n", "gap", "component", "keys", *words)]
+    free = away.filter("free").withColumn("reach", reach).select("key", F.col("node").alias("x"), *given, F.explode(cells).alias("cell"))
+    bits = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_x"))) for w in words[1:]), F.bit_count(F.col(words[0]).bitwiseXOR(F.col(f"{words[0]}_x"))))
+    bound = lambda far: (100 + percent) * far <= (100 - percent) * (F.col("n") + F.col("n_x"))
+    # two that are both free meet once
+    once = (F.col("x") < F.col("node")) | ~F.col("free")
+    both = free.join(away, ["key", "cell"]).filter(
+        once & (F.col("component") != F.col("component_x")) & bound(bits) & bound(apart) & (F.array_min(F.array_intersect("keys", "keys_x")) == F.col("key"))
     )
-    rest = screened(more)
-    links = links.union(linked(rest))
-    groups = components(links)
-    discard(members, pairs, bitmaps, stars, away, rest)
+    pairs = both.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
+    rest = screened(pairs.distinct())
+    groups = components(links.union(linked(rest)))
+    discard(*spent, members, stars, away, rest)
     grouped = groups.join(nodes, "node")
     lowest = grouped.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     named = nodes.join(grouped.join(lowest, "component").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "first_doc").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    nameless = docs.filter(F.col("doc_id").isNull()).select("doc_id", "text").mapInArrow(lambda it: _sketch(it, n, table), kind)
+    return out.unionByName(nameless.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
 
 
 ORACLE_SQL = r"""
