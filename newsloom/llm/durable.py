@@ -52,3 +52,8 @@ def narrow(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     df should be narrow (keys, counts) and cheap to count, as after cut().
     """
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def hash_bound(share: float) -> int:
+    """The signed 64-bit value that this share of all hashes does not exceed."""
+    return min(2**63 - 1, int(share * 2**64) - 2**63)

@@ -32,6 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm.durable import hash_bound
+
 #: Bounds of the sample that the model is fitted on: pages, and bytes of a page.
 SAMPLE_PAGES, SAMPLE_BYTES = 300, 100_000
 LAYOUT_PAGES = 400
@@ -428,7 +430,7 @@ def train(pages: DataFrame, sample: int = SAMPLE_PAGES, most: int = SAMPLE_BYTES
     """
     rank = F.xxhash64("url", "page_id")
     share = min(1.0, 8 * sample / max(pages.count(), 1))
-    some = pages.filter(F.col("html").contains("<article") & (F.octet_length("html") <= most) & (rank <= F.lit(int(-(2**63) + share * (2**64 - 1)))))
+    some = pages.filter(F.col("html").contains("<article") & (F.octet_length("html") <= most) & (rank <= F.lit(hash_bound(share))))
     rows = some.select(rank.alias("rank"), "html").dropDuplicates(["rank"]).orderBy("rank").limit(sample).collect()
     real = [x for x in (from_article(r["html"]) for r in rows) if x]
     return TreeModel.fit(labelled_layouts() + real)

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from newsloom.llm import textscan as ts
 from newsloom.llm.boosting import BoostedTrees, Isotonic
-from newsloom.llm.durable import cut
+from newsloom.llm.durable import cut, hash_bound
 
 TRAIN_ROWS = 24_000
 LEXICON_ROWS = 4_000
@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS):
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     # thinned by the same hash first, so that what tasks send for the sample does not grow with the labels
     rank, share = F.xxhash64("doc_id"), min(1.0, 2 * rows / max(usable.count(), 1))
-    usable = usable.filter(rank <= F.lit(int(-(2**63) + share * (2**64 - 1))))
+    usable = usable.filter(rank <= F.lit(hash_bound(share)))
     sample = cut(usable.orderBy(rank, "doc_id").limit(rows).withColumn("part", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(10))))
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     counts = texts.filter("part < 4").select("text", "toxic").mapInArrow(_form_counts, "form long, toxic long, clean long")
