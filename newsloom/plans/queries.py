@@ -286,7 +286,15 @@ def similar_articles(spark, sf_dir):
     return dedup.similar(signed(spark, sf_dir), None, "doc_id").select("a", "b", "estimate")
 
 
-@query()
+_WINS = """, n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k, {may} AS may FROM {base}),
+ids AS (SELECT band, row_number() OVER () AS b FROM (SELECT DISTINCT band FROM band)),
+mine AS (SELECT doc_id, list(b) AS bs FROM band JOIN ids USING (band) GROUP BY doc_id),
+seq AS (SELECT k, doc_id, may, bs FROM n JOIN mine USING (doc_id)),
+w(k, doc_id, dup, kept) AS (SELECT 0::BIGINT, NULL::BIGINT, false, []::BIGINT[] UNION ALL
+  SELECT q.k, q.doc_id, list_has_any(w.kept, q.bs), CASE WHEN q.may AND NOT list_has_any(w.kept, q.bs) THEN list_concat(w.kept, q.bs) ELSE w.kept END FROM w JOIN seq q ON q.k = w.k + 1)"""
+
+
+@query(_SIG.replace("WITH w AS", "WITH RECURSIVE words AS", 1).replace("FROM w)", "FROM words)", 1) + _WINS.format(may="true", base="sig") + " SELECT doc_id, dup AS is_duplicate FROM w WHERE k > 0")
 def dedup_first_wins(spark, sf_dir):
     return dedup.first_wins(signed(spark, sf_dir).withColumn("publishable", F.lit(True)), "doc_id")
 
@@ -318,7 +326,7 @@ def rss_entries(spark, sf_dir):
     """Each source's documents as a feed of its own chunk, parsed back."""
     esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     d = read(spark, sf_dir, "documents").withColumn("chunk", F.floor(F.col("doc_id") / 100))
-    item = F.concat(F.lit("<item><title>"), esc(F.substring("text", 1, 40)), F.lit("x</title><link>https://e.example/"), F.col("doc_id"), F.lit("</link><description>body "), F.col("doc_id"), F.lit("</description></item>"))
+    item = F.concat(F.lit("<item><title>"), esc(F.regexp_extract(F.coalesce("text", F.lit("")), r"^[^\n]*", 0)), F.lit("x</title><link>https://e.example/"), F.col("doc_id"), F.lit("</link><description>body "), F.col("doc_id"), F.lit(" "), esc(F.coalesce("text", F.lit(""))), F.lit("</description></item>"))
     feed = d.groupBy(F.col("source").alias("feed_id"), "chunk").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("content"))
     found = documents.feed_entries(feed.withColumn("url", F.lit("")), now())
     return found.filter("error IS NULL").groupBy("feed_id").agg(F.count(F.lit(1)).alias("entries"), F.min(F.regexp_extract("url", r"(\d+)$", 1).cast("long")).alias("first"))
@@ -408,9 +416,9 @@ def retry_schedule(spark, sf_dir):
     return breaker.retry_schedule(spark)
 
 
-@query("""SELECT '{"conv_id":' || conv_id || ',"turn":' || turn || ',"role":"' || role || '"}' AS original_message, 'EMPTY' AS error, '2024-02-01T00:00:00Z' AS timestamp FROM conversations""")
+@query("SELECT to_json({'conv_id': conv_id, 'turn': turn, 'role': role, 'text': text})::VARCHAR AS original_message, 'EMPTY' AS error, '2024-02-01T00:00:00Z' AS timestamp FROM conversations")
 def dlq_envelope(spark, sf_dir):
-    return sinks.dead_letters(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), F.lit("EMPTY"), now())
+    return sinks.dead_letters(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), F.lit("EMPTY"), now())
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, sum(value::DECIMAL(18, 4))::DOUBLE AS total FROM events GROUP BY ALL")
