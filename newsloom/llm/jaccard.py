@@ -23,7 +23,8 @@ hub's by counts too far apart cannot be linked. Of the other pairs of a key, tho
 leave the join whose bitmaps of SCREEN bits may be linked, each at the smallest key that it has in common only;
 they go through the same two steps. So what a crowd of sets that are alike but not linked (the variants of
 one much copied text) sends on is the pairs near the threshold, though the join itself looks at each pair that
-shares a key and is not told apart by its hub.
+shares a key and is not told apart by its hub. Of these pairs, the nearest of each two components is compared
+first, as one link makes the others needless.
 
 A node is a distinct set, so copies cost nothing after the first in each task.
 
@@ -59,6 +60,8 @@ NEEDED_ROWS = 400_000
 LEAST_BITS, MOST_BITS = 64, 16_384
 #: Bits of the bitmap that a join compares, a multiple of 64.
 SCREEN = 256
+#: Times that only the nearest pair of two components is compared, before all that are left are.
+ROUNDS = 1
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -337,7 +340,19 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     )
     pairs = both.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
     rest = screened(pairs.distinct())
-    groups = components(links.union(linked(rest)))
+    # of two components, the nearest pair first: if it is linked, the others need no comparing
+    of = lambda x: classes.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    left = rest.filter("maybe")
+    for last in (False,) * ROUNDS + (True,):
+        side = lambda x: F.coalesce(f"of_{x}", x)
+        left = left.select("a", "b", "far", "maybe").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        left = left.withColumn("low", F.least(side("a"), side("b"))).withColumn("high", F.greatest(side("a"), side("b"))).filter("low <> high")
+        left = cut(left.select("a", "b", "far", "maybe", "low", "high"))
+        spent.append(left)
+        first = left if last else left.groupBy("low", "high").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b", F.lit(True).alias("maybe"))
+        links = links.union(linked(first))
+        classes = components(links)
+    groups = classes
     discard(*spent, members, stars, away, rest)
     grouped = groups.join(nodes, "node")
     lowest = grouped.groupBy("component").agg(F.min("first_doc").alias("component_id"))
