@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm import textscan as ts
-from newsloom.llm.candidates import live
+from newsloom.llm.candidates import crowded, live
 from newsloom.llm.durable import cut, discard, narrow
 from newsloom.llm.links import components
 
@@ -321,6 +321,10 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     stars = screened(pairs)
     links = linked(stars)
     away = beside_hubs(members, stars, links)
+    # a key with one member besides its hub has no other pair
+    several = crowded(away, "true", 1)
+    spent += [several, away]
+    away = away.join(narrow(several), "key", "left_semi")
     # each member's keys, and what the join compares
     words = [f"word_{i}" for i in range(SCREEN // 64)]
     own = away.groupBy("node").agg(F.collect_set("key").alias("keys")).join(bitmaps.select("node", *[F.col("screen")[i].alias(w) for i, w in enumerate(words)]), "node")
