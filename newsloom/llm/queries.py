@@ -73,11 +73,29 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.turns import damage, repair
+
+    return repair(damage(table(spark, sf_dir, "conversations")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    from newsloom.llm import automata, decontaminate, jaccard, topk
+    from newsloom.llm import automata, decontaminate, jaccard, phrases, quality, topk
 
-    return {"op1_topk_search": topk.ORACLE_SQL, "op2_decontaminate": decontaminate.ORACLE_SQL, "op4_jaccard_join": jaccard.ORACLE_SQL, "op9_automata_dedup": automata.ORACLE_SQL}
+    return {"op1_topk_search": topk.ORACLE_SQL, "op2_decontaminate": decontaminate.ORACLE_SQL, "op4_jaccard_join": jaccard.ORACLE_SQL, "op9_automata_dedup": automata.ORACLE_SQL, "op11_quality_rules": quality.ORACLE_SQL, "op13_collocations": phrases.ORACLE_SQL}
