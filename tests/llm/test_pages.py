@@ -63,5 +63,6 @@ def test_table(spark):
     rows = [(i, f"https://a.example/{i}", html) for i, (html, *_) in enumerate(PAGES)] + [(7, "u", None), (8, None, ""), (9, "u", "<p></p>"), (None, "u", PAGES[0][0]), (9, "u", "<p></p>")]
     pages = spark.createDataFrame([(*r, "other") for r in rows], "page_id long, url string, html string, text string")
     got = pagetree.extract(pages).collect()
-    assert sorted((r.page_id or -1, r.text, r.n_chars) for r in got) == sorted((p if p is not None else -1, t, len(t)) for p, _, h in rows for t in ["\n".join(next((k for x, k, _ in PAGES if x == h), []))])
+    want = [(p, t, len(t)) for p, _, h in rows for t in ["\n".join(next((k for x, k, _ in PAGES if x == h), []))]]
+    assert sorted(map(repr, ((r.page_id, r.text, r.n_chars) for r in got))) == sorted(map(repr, want))
     assert pagetree.extract(pages.limit(0)).count() == 0
