@@ -129,11 +129,3 @@ def similar(signed: DataFrame, threshold: float | None = None, order: str = "arr
 def cache_stats(kept: DataFrame, max_size: int) -> DataFrame:
     n = F.count(F.lit(1))
     return kept.agg(n.alias("size"), F.lit(max_size).cast("long").alias("max_size"), F.lit(PERMUTATIONS).cast("long").alias("permutations"), (n * 100.0 / max_size).alias("usage_percent"))
-
-
-def evict(kept: DataFrame, max_size: int, order: str = "arrival") -> DataFrame:
-    """Kept articles after first-in first-out eviction of a tenth whenever max_size is passed."""
-    n = kept.count()
-    step = max(1, max_size // 10)
-    drop = 0 if n <= max_size else -(-(n - max_size) // step) * step
-    return kept.orderBy(F.col(order).desc()).limit(n - drop) if drop else kept

@@ -286,6 +286,7 @@ def similar_articles(spark, sf_dir):
     return dedup.similar(signed(spark, sf_dir), None, "doc_id").select("a", "b", "estimate")
 
 
+_RECURSIVE = _SIG.replace("WITH w AS", "WITH RECURSIVE words AS", 1).replace("FROM w)", "FROM words)", 1)
 _WINS = """, n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k, {may} AS may FROM {base}),
 ids AS (SELECT band, row_number() OVER () AS b FROM (SELECT DISTINCT band FROM band)),
 mine AS (SELECT doc_id, list(b) AS bs FROM band JOIN ids USING (band) GROUP BY doc_id),
@@ -294,11 +295,26 @@ w(k, doc_id, dup, kept) AS (SELECT 0::BIGINT, NULL::BIGINT, false, []::BIGINT[]
   SELECT q.k, q.doc_id, list_has_any(w.kept, q.bs), CASE WHEN q.may AND NOT list_has_any(w.kept, q.bs) THEN list_concat(w.kept, q.bs) ELSE w.kept END FROM w JOIN seq q ON q.k = w.k + 1)"""
 
 
-@query(_SIG.replace("WITH w AS", "WITH RECURSIVE words AS", 1).replace("FROM w)", "FROM words)", 1) + _WINS.format(may="true", base="sig") + " SELECT doc_id, dup AS is_duplicate FROM w WHERE k > 0")
+@query(_RECURSIVE + _WINS.format(may="true", base="sig") + " SELECT doc_id, dup AS is_duplicate FROM w WHERE k > 0")
 def dedup_first_wins(spark, sf_dir):
     return dedup.first_wins(signed(spark, sf_dir).withColumn("publishable", F.lit(True)), "doc_id")
 
 
+@query(
+    _RECURSIVE
+    + """, ids AS (SELECT band, row_number() OVER () AS b FROM (SELECT DISTINCT band FROM band)),
+mine AS (SELECT doc_id, list(b) AS bs FROM band JOIN ids USING (band) GROUP BY doc_id), seq AS (SELECT row_number() OVER (ORDER BY doc_id) AS k, doc_id, bs FROM mine),
+w(k, doc_id, dup, kept) AS (SELECT 0::BIGINT, NULL::BIGINT, false, []::BIGINT[][] UNION ALL
+  SELECT q.k, q.doc_id, list_has_any(flatten(w.kept), q.bs), CASE WHEN list_has_any(flatten(w.kept), q.bs) THEN w.kept WHEN len(w.kept) < 200 THEN list_append(w.kept, q.bs) ELSE list_append(w.kept, q.bs)[21:] END FROM w JOIN seq q ON q.k = w.k + 1)
+SELECT doc_id, dup AS is_duplicate FROM w WHERE k > 0"""
+)
+def dedup_bounded_store(spark, sf_dir):
+    """First wins among 200 places: the oldest 20 leave when there is one more."""
+    from newsloom.operators import evict
+
+    return evict.bounded_first_wins(signed(spark, sf_dir).withColumn("publishable", F.lit(True)), 200, "doc_id")
+
+
 @query("SELECT min(n)::BIGINT AS size, 10000::BIGINT AS max_size, 128::BIGINT AS permutations, min(n) * 100.0::DOUBLE / 10000 AS usage_percent FROM (SELECT count(*) AS n FROM documents)")
 def cache_stats(spark, sf_dir):
     return dedup.cache_stats(read(spark, sf_dir, "documents"), 10_000)
@@ -411,6 +427,40 @@ def circuit_breaker_opens(spark, sf_dir):
     return o.withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("open_until", F.col("open_until").cast("timestamp_ntz"))
 
 
+def folder(spark, name):
+    """A new folder that the driver and all executors share."""
+    import uuid
+
+    from newsloom.lineage import shared_dir
+
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("""WITH RECURSIVE m AS (SELECT (epoch_us(max(ts)) // 1000 - 600000) * 1000 AS mark FROM events),
+e AS (SELECT user_id, event_id, epoch_us(ts) AS at, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events, m WHERE epoch_us(ts) < mark),
+s(user_id, k, at, event_id, failed, was, failures, until) AS (SELECT DISTINCT user_id, 0::BIGINT, 0::BIGINT, NULL::BIGINT, false, NULL::BIGINT, 0::BIGINT, NULL::BIGINT FROM e UNION ALL
+  SELECT e.user_id, e.k, e.at, e.event_id, e.failed, s.until, CASE WHEN NOT e.failed THEN 0 WHEN s.until < e.at THEN 1 ELSE s.failures + 1 END,
+    CASE WHEN e.failed AND (s.until IS NULL OR s.until >= e.at) AND s.failures >= 2 THEN e.at + 86400000000 END FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1),
+o AS (SELECT user_id, NULL AS event_id, was AS at, 'close' AS kind, 0 AS failures, NULL AS until FROM s WHERE was < at
+  UNION ALL SELECT user_id, event_id, at, CASE WHEN was IS NULL THEN 'open' ELSE 'extend' END, failures, until FROM s WHERE until IS NOT NULL
+  UNION ALL SELECT user_id, event_id, at, 'close', 0, NULL FROM s WHERE NOT failed AND was >= at
+  UNION ALL SELECT user_id, NULL, until, 'close', 0, NULL FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1), m WHERE until < mark)
+SELECT user_id AS feed_id, event_id, make_timestamp(at) AS ts, kind, failures, make_timestamp(until) AS open_until FROM o""")
+def breaker_stream(spark, sf_dir):
+    """Breakers of one day, streamed in three runs that each go on from the checkpoint of the one before."""
+    from newsloom.streaming.breakers import BreakerStream
+
+    e = events(spark, sf_dir).select("feed_id", "event_id", "ts", "failed")
+    stream = BreakerStream(folder(spark, "breakers"), minutes=1440)
+    bounds = e.agg(F.percentile_approx("ts", F.array(F.lit(0.3), F.lit(0.7)))).first()[0]
+    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+        part = e if low is None else e.filter(F.col("ts") >= F.lit(low))
+        (part if high is None else part.filter(F.col("ts") < F.lit(high))).write.mode("append").parquet(stream.events)
+        stream.run(spark)
+    r = stream.result(spark)
+    return r.withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("open_until", F.col("open_until").cast("timestamp_ntz"))
+
+
 @query("SELECT range AS attempt, CASE WHEN range < 5 THEN 30 * 2 ** range ELSE 0 END::BIGINT AS wait_seconds, (30 * (2 ** range - 1))::BIGINT AS started_at_seconds FROM range(6)")
 def retry_schedule(spark, sf_dir):
     return breaker.retry_schedule(spark)

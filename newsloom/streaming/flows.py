@@ -1,13 +1,9 @@
-"""The dataflow as streams: windows, first-wins dedup across batches, circuit breakers."""
+"""The dataflow as streams: windows and first-wins dedup across batches."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from newsloom.operators import dedup
 
@@ -55,26 +51,3 @@ class DedupStream:
 
     def result(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.out).select("arrival", "publishable", "is_duplicate")
-
-
-def breaker_states(events: DataFrame, threshold: int = 3, minutes: int = 10) -> DataFrame:
-    """feed_id, ts, failures, open_until as failures come in: state is a counter and a time for each feed."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures = state.get[0] if state.exists else 0
-        for pdf in batches:
-            out = []
-            for e in pdf.sort_values(["ts", "event_id"]).itertuples():
-                failures = failures + 1 if e.failed else 0
-                if failures >= threshold:
-                    out.append((key[0], e.event_id, e.ts, failures, e.ts + pd.Timedelta(minutes=minutes)))
-            yield pd.DataFrame(out, columns=["feed_id", "event_id", "ts", "failures", "open_until"])
-        state.update((failures,))
-
-    return events.groupBy("feed_id").applyInPandasWithState(
-        step, "feed_id long, event_id long, ts timestamp, failures long, open_until timestamp", "failures long", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def split(batch: DataFrame, good: Column) -> tuple[DataFrame, DataFrame]:
-    return batch.filter(good), batch.filter(~F.coalesce(good, F.lit(False)))
