@@ -437,15 +437,15 @@ def folder(spark, name):
 
 
 @query("""WITH RECURSIVE m AS (SELECT (epoch_us(max(ts)) // 1000 - 600000) * 1000 AS mark FROM events),
-e AS (SELECT user_id, event_id, epoch_us(ts) AS at, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events, m WHERE epoch_us(ts) < mark),
-s(user_id, k, at, event_id, failed, was, failures, until) AS (SELECT DISTINCT user_id, 0::BIGINT, 0::BIGINT, NULL::BIGINT, false, NULL::BIGINT, 0::BIGINT, NULL::BIGINT FROM e UNION ALL
-  SELECT e.user_id, e.k, e.at, e.event_id, e.failed, s.until, CASE WHEN NOT e.failed THEN 0 WHEN s.until < e.at THEN 1 ELSE s.failures + 1 END,
-    CASE WHEN e.failed AND (s.until IS NULL OR s.until >= e.at) AND s.failures >= 2 THEN e.at + 86400000000 END FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1),
-o AS (SELECT user_id, NULL AS event_id, was AS at, 'close' AS kind, 0 AS failures, NULL AS until FROM s WHERE was < at
-  UNION ALL SELECT user_id, event_id, at, CASE WHEN was IS NULL THEN 'open' ELSE 'extend' END, failures, until FROM s WHERE until IS NOT NULL
-  UNION ALL SELECT user_id, event_id, at, 'close', 0, NULL FROM s WHERE NOT failed AND was >= at
+e AS (SELECT user_id, event_id, epoch_us(ts) AS t, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events, m WHERE epoch_us(ts) < mark),
+s(user_id, k, t, event_id, failed, was, failures, until) AS (SELECT DISTINCT user_id, 0::BIGINT, 0::BIGINT, NULL::BIGINT, false, NULL::BIGINT, 0::BIGINT, NULL::BIGINT FROM e UNION ALL
+  SELECT e.user_id, e.k, e.t, e.event_id, e.failed, s.until, CASE WHEN NOT e.failed THEN 0 WHEN s.until < e.t THEN 1 ELSE s.failures + 1 END,
+    CASE WHEN e.failed AND (s.until IS NULL OR s.until >= e.t) AND s.failures >= 2 THEN e.t + 86400000000 END FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1),
+o AS (SELECT user_id, NULL AS event_id, was AS t, 'close' AS kind, 0 AS failures, NULL AS until FROM s WHERE was < t
+  UNION ALL SELECT user_id, event_id, t, CASE WHEN was IS NULL THEN 'open' ELSE 'extend' END, failures, until FROM s WHERE until IS NOT NULL
+  UNION ALL SELECT user_id, event_id, t, 'close', 0, NULL FROM s WHERE NOT failed AND was >= t
   UNION ALL SELECT user_id, NULL, until, 'close', 0, NULL FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1), m WHERE until < mark)
-SELECT user_id AS feed_id, event_id, make_timestamp(at) AS ts, kind, failures, make_timestamp(until) AS open_until FROM o""")
+SELECT user_id AS feed_id, event_id, make_timestamp(t) AS ts, kind, failures, make_timestamp(until) AS open_until FROM o""")
 def breaker_stream(spark, sf_dir):
     """Breakers of one day, streamed in three runs that each go on from the checkpoint of the one before."""
     from newsloom.streaming.breakers import BreakerStream
