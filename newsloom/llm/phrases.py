@@ -35,10 +35,10 @@ from newsloom.llm.textscan import LOWER, mix, pieces, signed, word_hashes, words
 
 LEAST, TOP, COVERED = 10, 2000, 50
 #: Suffixes in a group of prefixes, and the parts that hashes are summed in.
-MEMORY, BUCKETS = 4_000_000, 1 << 16
+MEMORY, BUCKETS = 250_000, 1 << 16
 FILTER = 1 << 27
 #: Suffixes that are counted together before they leave a task.
-GATHER = 2_000_000
+GATHER = 600_000
 _PIECE = np.zeros(256, bool)
 _PIECE[[*b".,;:!?", 10, 11, 12, 13]] = True
 _APART = _PIECE.copy()

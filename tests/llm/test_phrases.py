@@ -44,7 +44,7 @@ def corpus(seed, docs):
     return rows + [("en de " * 30, "de"), ("de en " * 30, "en"), ("go " * 5000, "en"), ("hot dog " * 300, "nl")] + rows[20:30]
 
 
-@pytest.mark.parametrize("seed, docs, top, memory", [(1, 60, 2000, 4_000_000), (2, 150, 2000, 500), (3, 60, 7, 50)])
+@pytest.mark.parametrize("seed, docs, top, memory", [(1, 60, 2000, 250_000), (2, 150, 2000, 500), (3, 60, 7, 50)])
 def test_table(spark, monkeypatch, seed, docs, top, memory):
     monkeypatch.setattr(phrases, "GATHER", 800)
     rows = corpus(seed, docs)
