@@ -34,16 +34,16 @@ STATE = "feed_id string, failures long, open_until timestamp"
 
 def guarded(feeds: DataFrame, state: DataFrame, as_of: Column) -> DataFrame:
     """feeds with circuit_open, by state(feed_id, failures, open_until)."""
-    return feeds.join(state.select("feed_id", "open_until"), "feed_id", "left").withColumn("circuit_open", F.coalesce(F.col("open_until") > as_of, F.lit(False))).drop("open_until")
+    return feeds.join(state.select("feed_id", "open_until"), "feed_id", "left").withColumn("circuit_open", F.coalesce(F.col("open_until") >= as_of, F.lit(False))).drop("open_until")
 
 
 def after(state: DataFrame, fetched: DataFrame, as_of: Column, threshold: int = THRESHOLD, minutes: int = MINUTES) -> DataFrame:
-    """The next state: a success clears a feed's failures, a failed call adds one, a call that the breaker stopped changes nothing."""
+    """The next state: a success clears a feed's failures, as does the end of its breaker's time; a failed call adds one, a call that the breaker stopped changes nothing."""
     new = fetched.select("feed_id", F.col("error").alias("_error"), F.lit(True).alias("_asked"))
     both = state.join(new, "feed_id", "full_outer")
     stopped = F.col("_asked").isNull() | (F.col("_error") == "CIRCUIT_BREAKER_OPEN")
-    had = F.coalesce("failures", F.lit(0))
-    failures = F.when(F.coalesce(stopped, F.lit(False)), had).when(F.col("_error").isNull(), 0).otherwise(had + 1)
+    had = F.when(F.coalesce(F.col("open_until") < as_of, F.lit(False)), 0).otherwise(F.coalesce("failures", F.lit(0)))
+    failures = F.when(F.coalesce(stopped, F.lit(False)), F.coalesce("failures", F.lit(0))).when(F.col("_error").isNull(), 0).otherwise(had + 1)
     both = both.select("feed_id", failures.cast("long").alias("failures"), F.coalesce(stopped, F.lit(False)).alias("_stopped"), F.col("open_until").alias("_until"))
     until = F.when(F.col("_stopped"), F.col("_until")).when(F.col("failures") >= threshold, as_of + F.make_dt_interval(mins=F.lit(minutes)))
     return both.select("feed_id", "failures", until.alias("open_until"))

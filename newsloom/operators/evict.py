@@ -51,17 +51,29 @@ def tenth(places: int) -> int:
     return max(1, places // 10)
 
 
-def bounded_first_wins(signed: DataFrame, places: int, order: str = "arrival", block: int = BLOCK) -> DataFrame:
-    """order, is_duplicate. signed has order (unique), signature, publishable.
+def gone(kept: int, places: int) -> int:
+    """How many of the kept have left by then."""
+    return 0 if kept <= places else ((kept - places - 1) // tenth(places) + 1) * tenth(places)
+
+
+STORE = "place long, bands array<string>"
+
+
+def bounded_first_wins(signed: DataFrame, places: int, order: str = "arrival", block: int = BLOCK, store: DataFrame | None = None) -> DataFrame:
+    """order, is_duplicate. signed has order (unique), signature, publishable; store (STORE, places from 0) is what earlier runs have left.
 
     An article is a duplicate if it shares a band with one that is in the store; if not, and if it is publishable, it is kept.
     """
     step = tenth(places)
-    rows = checkpointed(positions(signed.select(order, "signature", "publishable"), order, block))
-    bands = rows.select("place", "block", F.explode(band_keys(F.col("signature"))).alias("band"))
+    rows = checkpointed(positions(signed.select(order, "signature", "publishable"), order, block)).withColumn("bands", band_keys(F.col("signature")))
+    rows = rows.select(order, "place", "publishable", "bands", F.lit(False).alias("stored"))
+    if store is not None:
+        rows = rows.withColumn("place", F.col("place") + store.count()).unionByName(store.select("place", F.lit(True).alias("publishable"), "bands", F.lit(True).alias("stored")), allowMissingColumns=True)
+    rows = rows.withColumn("block", F.floor(F.col("place") / block))
+    bands = rows.select("place", "block", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
     bands = checkpointed(bands.join(shared, "band"))
-    state = checkpointed(rows.select(order, "place", "block", "publishable", F.lit(False).alias("dup")))
+    state = checkpointed(rows.select(order, "place", "block", "publishable", "stored", F.lit(False).alias("dup")))
     while True:
         kept = (F.col("publishable") & ~F.col("dup")).cast("long")
         counted = _running(state.withColumn("_kept", kept).withColumn("_one", F.lit(0)), ["_one"], F.col("_kept"), "before", F.sum).withColumn("before", F.coalesce("before", F.lit(0)))
@@ -69,9 +81,18 @@ def bounded_first_wins(signed: DataFrame, places: int, order: str = "arrival", b
         ranked = counted.select("place", "before", F.when(F.col("_kept") == 1, F.col("before") + 1).alias("rank"))
         met = _running(bands.join(ranked, "place"), ["band"], F.col("rank"), "last", F.max)
         there = F.col("before") <= places + F.floor((F.col("last") - 1) / step) * step
-        hit = met.groupBy("place").agg(F.bool_or(F.coalesce(there, F.lit(False))).alias("hit"))
-        new = state.join(hit, "place", "left").select(order, "place", "block", "publishable", F.coalesce("hit", F.lit(False)).alias("dup"), (F.coalesce("hit", F.lit(False)) != F.col("dup")).alias("changed"))
-        new = checkpointed(new)
+        hits = met.groupBy("place").agg(F.bool_or(F.coalesce(there, F.lit(False))).alias("hit"))
+        hit = F.coalesce("hit", F.lit(False)) & ~F.col("stored")
+        new = checkpointed(state.join(hits, "place", "left").select(order, "place", "block", "publishable", "stored", hit.alias("dup"), (hit != F.col("dup")).alias("changed")))
         if not new.filter("changed").limit(1).count():
-            return new.select(order, F.col("dup").alias("is_duplicate"))
+            return new.filter("NOT stored").select(order, F.col("dup").alias("is_duplicate"))
         state = new.drop("changed")
+
+
+def store_after(signed: DataFrame, places: int, order: str = "arrival", store: DataFrame | None = None) -> DataFrame:
+    """The store (STORE) once the articles of signed have been kept, one after the other."""
+    new = positions(signed.select(order, "signature"), order).select("place", band_keys(F.col("signature")).alias("bands"))
+    if store is not None:
+        new = store.unionByName(new.withColumn("place", F.col("place") + store.count()))
+    out = gone(new.count(), places)
+    return new.filter(F.col("place") >= out).withColumn("place", F.col("place") - out)

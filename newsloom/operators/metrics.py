@@ -21,17 +21,22 @@ def job_counters(evaluated: DataFrame, job: str = "job_id") -> DataFrame:
     )
 
 
-def job_rows(status: DataFrame, as_of: Column) -> DataFrame:
-    """A completed job for each feed of a crawl, in the columns of the catalog's crawl_jobs. errors: the feed's distinct rule errors."""
+def job_rows(status: DataFrame, as_of: Column, failures: DataFrame | None = None, job_id: str = "job") -> DataFrame:
+    """A job for each feed of a crawl, in the columns of the catalog's crawl_jobs: completed, with the feed's distinct rule errors, or failed, with what it failed by."""
     listed = status.withColumnRenamed("job_id", "_job").withColumn("job_id", F.concat_ws("/", "_job", "feed_id"))
     counted = job_counters(listed, "job_id")
     named = listed.groupBy("job_id").agg(F.first("feed_id").alias("feed_id"))
     errors = listed.select("job_id", F.explode("errors").alias("e")).groupBy("job_id").agg(F.array_sort(F.collect_set("e")).alias("errors"))
     iso = times.to_iso(as_of)
-    return (
+    done = (
         counted.join(named, "job_id").join(errors, "job_id", "left")
         .select("job_id", "feed_id", iso.alias("started_at"), iso.alias("completed_at"), F.lit("completed").alias("status"), "articles_crawled", "articles_published", "articles_failed", F.coalesce("errors", F.array().cast("array<string>")).alias("errors"))
     )
+    if failures is None:
+        return done
+    none = [F.lit(0).cast("long").alias(c) for c in ("articles_crawled", "articles_published", "articles_failed")]
+    lost = failures.select(F.concat_ws("/", F.lit(job_id), "feed_id").alias("job_id"), "feed_id", iso.alias("started_at"), iso.alias("completed_at"), F.lit("failed").alias("status"), *none, F.array("error").alias("errors"))
+    return done.unionByName(lost)
 
 
 def counters(events: DataFrame, *labels: str) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.operators import dedup, metrics, normalize, rules
+from newsloom.operators import dedup, evict, metrics, normalize, rules
 from newsloom.schema import ARTICLE
 
 
@@ -27,34 +27,33 @@ class Result:
     messages: DataFrame
     rejects: DataFrame
     jobs: DataFrame
+    #: feed_id and error of feeds that gave no article
+    failures: DataFrame | None = None
+    #: names what is written of it, so that writing twice is writing once
+    run_id: str = ""
 
 
-def with_status(articles: DataFrame, as_of: Column, known: DataFrame | None = None) -> DataFrame:
+def signed_for_dedup(articles: DataFrame) -> DataFrame:
+    """arrival, signature, publishable of evaluated articles with status or publishable."""
+    return dedup.signatures(articles.select("arrival", "title", "body", "publishable")).select("arrival", "signature", "publishable")
+
+
+def with_status(articles: DataFrame, as_of: Column, store: DataFrame | None = None, places: int | None = None) -> DataFrame:
     """Evaluated articles with status published, duplicate, invalid or error; duplicate comes before invalid.
 
-    known(band): the bands of articles that earlier runs have published.
+    store and places: what earlier runs have left of the dedup store, and its size. Without places all articles are remembered.
     """
     e = rules.evaluate(articles, as_of)
     makes = F.length(F.coalesce("language", "lang_code")) == 2
     e = e.withColumn("publishable", F.col("is_valid") & F.coalesce(makes, F.lit(False)))
-    signed = dedup.signatures(e.select("arrival", "title", "body", "publishable")).select("arrival", "signature", "publishable")
-    if known is None:
-        dups = dedup.first_wins(signed)
-    else:
-        bands = signed.select("arrival", F.explode(dedup.band_keys(F.col("signature"))).alias("band"))
-        seen = bands.join(known.select("band"), "band", "left_semi").select("arrival").distinct()
-        dups = dedup.first_wins(signed.join(seen, "arrival", "left_anti")).unionByName(seen.select("arrival", F.lit(True).alias("is_duplicate")))
+    signed = signed_for_dedup(e)
+    dups = dedup.first_wins(signed) if places is None else evict.bounded_first_wins(signed, places, store=store)
     status = F.when(F.col("is_duplicate"), "duplicate").when(~F.col("is_valid"), "invalid").when(~F.col("publishable"), "error").otherwise("published")
     return e.join(dups, "arrival").withColumn("status", status)
 
 
-def run(articles: DataFrame, as_of: Column, job_id: str = "job", known: DataFrame | None = None) -> Result:
-    s = with_status(articles, as_of, known).withColumn("job_id", F.lit(job_id))
+def run(articles: DataFrame, as_of: Column, job_id: str = "job", store: DataFrame | None = None, places: int | None = None) -> Result:
+    s = with_status(articles, as_of, store, places).withColumn("job_id", F.lit(job_id))
     return Result(
         s, normalize.messages(s.filter("status = 'published'"), as_of, job_id), s.filter("status IN ('invalid', 'error')"), metrics.job_counters(s.withColumn("job", F.col("source")), "job")
     )
-
-
-def bands_of(published: DataFrame) -> DataFrame:
-    """band: what later runs need to know of published articles."""
-    return dedup.signatures(published.select("title", "body")).select(F.explode(dedup.band_keys(F.col("signature"))).alias("band")).distinct()

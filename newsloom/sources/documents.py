@@ -71,9 +71,10 @@ def feed_entries(docs: DataFrame, as_of: Column) -> DataFrame:
 
 
 def feed_errors(entries: DataFrame) -> DataFrame:
-    """feed_id, error: feeds of feed_entries() that give no article at all."""
-    counted = entries.groupBy("feed_id").agg(F.count_if(F.col("error").isNull()).alias("good"), F.max("error").alias("error"), F.count_if(F.col("error") == "RSS_NO_ENTRIES").alias("none"))
-    return counted.filter("good = 0").select("feed_id", F.when(F.col("none") > 0, "RSS_NO_ENTRIES").otherwise("RSS_NO_VALID_ARTICLES").alias("error"))
+    """feed_id, error: feeds whose entries or pages give no article at all."""
+    counted = entries.groupBy("feed_id").agg(F.count_if(F.col("error").isNull()).alias("good"), F.min("error").alias("error"), F.count_if(F.col("error") == "RSS_NO_ENTRIES").alias("none"))
+    named = F.when(F.col("none") > 0, "RSS_NO_ENTRIES").when(F.col("error") == "RSS_BAD_ENTRY", "RSS_NO_VALID_ARTICLES").otherwise(F.col("error"))
+    return counted.filter("good = 0").select("feed_id", named.alias("error"))
 
 
 def plain(html: Column) -> Column:
@@ -166,7 +167,16 @@ def parse(docs: DataFrame, as_of: Column) -> DataFrame:
 
 
 def dispatch(docs: DataFrame) -> DataFrame:
-    """parser by feed_type if there is one, else by content type; PARSER_UNKNOWN otherwise."""
+    """parser by feed_type if there is one, else by content type; PARSER_UNKNOWN otherwise. What has an error already keeps it and gets no parser."""
     named = F.when(F.lower("feed_type").isin(*parsers()), F.lower("feed_type")) if "feed_type" in docs.columns else F.lit(None).cast("string")
-    chosen = F.coalesce(named, parser_for(F.col("content_type")))
-    return docs.withColumn("parser", chosen).withColumn("error", F.when(chosen.isNull(), "PARSER_UNKNOWN"))
+    had = F.col("error") if "error" in docs.columns else F.lit(None).cast("string")
+    chosen = F.when(had.isNull(), F.coalesce(named, parser_for(F.col("content_type"))))
+    return docs.withColumn("parser", chosen).withColumn("error", F.coalesce(had, F.when(chosen.isNull(), "PARSER_UNKNOWN")))
+
+
+def failures(feeds: DataFrame, docs: DataFrame, entries: DataFrame) -> DataFrame:
+    """feed_id, error for feeds without any article: what reading, dispatch or parsing said of them, or NO_DOCUMENT."""
+    read = docs.groupBy("feed_id").agg(F.max("error").alias("read"))
+    none = feeds.select("feed_id").join(entries.filter("error IS NULL").select("feed_id").distinct(), "feed_id", "left_anti")
+    found = none.join(read, "feed_id", "left").join(feed_errors(entries), "feed_id", "left")
+    return found.select("feed_id", F.coalesce("read", "error", F.lit("NO_DOCUMENT")).alias("error"))

@@ -30,10 +30,17 @@ def keyed(messages: DataFrame, key: str = "article_id") -> DataFrame:
     return messages.select(F.col(key).alias("key"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def publish(messages: DataFrame, topic: Topic, root: str, key: str = "article_id", mode: str = "append") -> str:
-    """Writes key and value to the topic's folder, dealt by key as a broker would; returns the path."""
-    path = f"{root}/{topic.name}"
-    keyed(messages, key).repartition(topic.partitions, "key").write.mode(mode).option("compression", topic.compression).parquet(path)
+def publish(messages: DataFrame, topic: Topic, root: str, run: str, key: str = "article_id") -> str:
+    """Writes key and value to the run's folder in the topic, dealt by key as a broker would; a retry of the run replaces what is there. Returns the path."""
+    path = f"{root}/{topic.name}/run={run}"
+    keyed(messages, key).repartition(topic.partitions, "key").write.mode("overwrite").option("compression", topic.compression).parquet(path)
+    return path
+
+
+def keep(rows: DataFrame, name: str, root: str, run: str) -> str:
+    """The same for rows of any other table."""
+    path = f"{root}/{name}/run={run}"
+    rows.write.mode("overwrite").parquet(path)
     return path
 
 

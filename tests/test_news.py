@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom import logs
+from newsloom.config import Settings
 from newsloom.engine import Engine
 from newsloom.errors import NewsError, ParseError
 from newsloom.operators import breaker, registry, schedule
@@ -131,22 +132,84 @@ def test_crawl_to_completion(spark, tmp_path):
     assert sinks.ensure_topics(spark, engine.store) == {"news_raw": True, "news_raw_dlq": True} and all(sinks.verify_topics(spark, engine.store).values()) and sinks.sink_health(spark, engine.store)
     assert sinks.describe_topic(sinks.MESSAGES)["retention.ms"] == str(30 * 86_400_000)
     jobs = {r.feed_id: r for r in engine.complete(engine.crawl_all(now()), now()).collect()}
-    assert {k: (r.articles_crawled, r.articles_published, r.articles_failed, r.status) for k, r in jobs.items()} == {"bbc": (2, 1, 1, "completed"), "cnn": (1, 1, 0, "completed"), "rt": (1, 1, 0, "completed")}
+    assert {r.status for k, r in jobs.items() if k not in ("bbc", "cnn", "rt")} == {"failed"}  # nothing was read of them
+    assert {k: (r.articles_crawled, r.articles_published, r.articles_failed, r.status) for k, r in jobs.items() if r.status == "completed"} == {"bbc": (2, 1, 1, "completed"), "cnn": (1, 1, 0, "completed"), "rt": (1, 1, 0, "completed")}
     sent = [json.loads(r.value) for r in spark.read.parquet(f"{tmp_path}/news_raw").collect()]
     assert {(m["source"], m["canonical_url"], m["author"], m["language"]) for m in sent} == {("bbc", "https://n.example/a", "Ann Lee", "en"), ("cnn", "https://m.example/1", "Bo Dahl", "en"), ("rt", "https://h.example/x", "Cy Wood", "en")}
     dead = spark.read.parquet(f"{tmp_path}/news_raw_dlq").collect()
-    assert len(dead) == 1 and json.loads(dead[0].original_message)["title"] == "Sun" and "CONTENT" in dead[0].error
+    dead = {json.loads(r.original_message)["feed_id"]: r for r in dead}
+    assert json.loads(dead.pop("bbc").original_message)["title"] == "Sun" and {r.error for r in dead.values()} == {"NO_DOCUMENT"}
     assert spark.read.parquet(f"{tmp_path}/data_validation_log").count() >= 1
     # what was published is known to the next crawl
     again = {r.feed_id: r for r in engine.complete(engine.crawl("bbc", now()), now()).collect()}
     assert (again["bbc"].articles_crawled, again["bbc"].articles_published) == (2, 0)
-    assert spark.read.parquet(f"{tmp_path}/news_raw").count() == 3 and spark.read.parquet(f"{tmp_path}/crawl_jobs").count() == 4
+    assert spark.read.parquet(f"{tmp_path}/news_raw").count() == 3 and spark.read.parquet(f"{tmp_path}/crawl_jobs").count() == 9
     bundle = engine.bundle()
-    assert bundle["health"]["status"] == "healthy" and bundle["dedup_store"]["bands"] == 75 and len(bundle["scheduler"]) == 8
+    assert bundle["health"]["status"] == "healthy" and bundle["dedup_store"]["size"] == 3 and len(bundle["scheduler"]) == 8
     with pytest.raises(NewsError, match="FEED_NOT_FOUND"):
         engine.crawl("nobody")
 
 
+def fleet(spark):
+    names = ("good", "down", "broken", "odd", "empty")
+    return registry.feeds(spark, [{"feed_id": n, "name": n, "url": f"https://{n}.example", "feed_type": "wat" if n == "odd" else "rss"} for n in names])
+
+
+def answer(url, timeout, proxy):
+    if "down" in url:
+        raise OSError("no route")
+    body = {"good": RSS, "broken": "<rss><channel><item><title>", "odd": "?", "empty": "<rss><channel></channel></rss>"}[url.split("//")[1].split(".")[0]]
+    return 200, "application/octet-stream" if "odd" in url else "text/xml", body.encode()
+
+
+def test_failed_feeds_have_jobs(spark, tmp_path):
+    config = Settings(circuit_breaker_failure_threshold=1)
+    engine = Engine(spark, feeds=fleet(spark), config=config, store=str(tmp_path), fetching={"read": answer, "retries": 0, "sleep": lambda s: None})
+    for call in range(2):
+        at = F.lit(NOW + timedelta(minutes=call))
+        jobs = {r.feed_id: (r.status, r.articles_crawled, r.articles_published, r.errors) for r in engine.complete(engine.crawl_all(at), at).collect()}
+        assert {k: v[3] for k, v in jobs.items() if v[0] == "failed"} == {
+            "down": ["CIRCUIT_BREAKER_OPEN" if call else "FETCH_FAILED"], "broken": ["RSS_NO_ENTRIES"], "odd": ["PARSER_UNKNOWN"], "empty": ["RSS_NO_ENTRIES"],
+        }
+        assert jobs["good"][:3] == ("completed", 2, 0 if call else 1)
+    dead = {(json.loads(r.original_message)["feed_id"], r.error) for r in spark.read.parquet(f"{tmp_path}/news_raw_dlq").collect()}
+    assert {("down", "FETCH_FAILED"), ("down", "CIRCUIT_BREAKER_OPEN"), ("odd", "PARSER_UNKNOWN")} <= dead
+    lines = engine.metrics().split("\n")
+    assert 'crawl_jobs{feed_id="down",status="failed"} 2' in lines and 'articles{feed_id="good",status="published"} 1' in lines and "dedup_store 1" in lines
+
+
+def test_breaker_closes_after_its_time(spark):
+    state = spark.createDataFrame([("x", 5, NOW), ("y", 5, NOW + timedelta(minutes=5))], breaker.STATE)
+    at = F.lit(NOW + timedelta(minutes=1))
+    asked = {r.feed_id: r.circuit_open for r in breaker.guarded(state.select("feed_id"), state, at).collect()}
+    assert asked == {"x": False, "y": True}
+    failed = spark.createDataFrame([("x", "FETCH_FAILED"), ("y", "CIRCUIT_BREAKER_OPEN")], "feed_id string, error string")
+    assert {r.feed_id: (r.failures, r.open_until) for r in breaker.after(state, failed, at).collect()} == {"x": (1, None), "y": (5, NOW + timedelta(minutes=5))}
+
+
+def test_a_killed_crawl_is_completed_once(spark, tmp_path, monkeypatch):
+    from newsloom.operators import evict
+
+    def read(feeds):
+        return docs(spark, ("bbc", "https://n.example", RSS, "text/xml", None), ("cnn", "https://m.example", ATOM, "application/xml", None))
+
+    def killed(*a, **k):
+        raise RuntimeError("killed")
+
+    engine = Engine(spark, read, registry.feeds(spark).filter("feed_id IN ('bbc', 'cnn', 'rt')"), store=str(tmp_path))
+    result = engine.crawl_all(now())
+    for where, step in ((sinks, "dead_letters"), (evict, "store_after")):
+        with monkeypatch.context() as m:
+            m.setattr(where, step, killed)
+            with pytest.raises(RuntimeError):
+                engine.complete(result, now())
+    for _ in range(2):
+        jobs = {r.feed_id: (r.status, r.errors) for r in engine.complete(result, now()).collect()}
+    assert jobs["rt"] == ("failed", ["NO_DOCUMENT"]) and jobs["cnn"] == ("completed", [])
+    tables = {n: spark.read.parquet(f"{tmp_path}/{n}").count() for n in ("news_raw", "news_raw_dlq", "crawl_jobs", "dedup_store")}
+    assert tables == {"news_raw": 2, "news_raw_dlq": 2, "crawl_jobs": 3, "dedup_store": 2}
+
+
 def test_json_logs():
     out = io.StringIO()
     log = logs.configure("debug", out)
