@@ -116,6 +116,32 @@ def supported_language(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", language.supported(F.col("lang")).alias("supported"))
 
 
+_GRAMS = r"""WITH t AS (SELECT doc_id, lower(lang) AS lang, substr(md5(doc_id::VARCHAR), 1, 1) < '8' AS learnt, string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}]+', ' ', 'g'), '') AS c FROM documents),
+g AS (SELECT doc_id, lang, learnt, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram FROM t WHERE len(c) > 2),
+n AS (SELECT lang, gram, count(*) AS n FROM g WHERE learnt AND lang IN (%s) GROUP BY ALL),
+v AS (SELECT DISTINCT gram FROM (SELECT gram FROM n QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) <= 300)),
+l AS (SELECT DISTINCT lang FROM n), a AS (SELECT lang, sum(n)::BIGINT AS n FROM n JOIN v USING (gram) GROUP BY lang),
+w AS (SELECT l.lang, v.gram, round(1000 * ln((coalesce(n.n, 0) + 1)::DOUBLE / (a.n + (SELECT count(*) FROM v))))::BIGINT AS w FROM l CROSS JOIN v JOIN a ON a.lang = l.lang LEFT JOIN n ON n.lang = l.lang AND n.gram = v.gram),
+s AS (SELECT doc_id, w.lang, sum(w)::BIGINT AS s FROM g JOIN w USING (gram) GROUP BY ALL),
+b AS (SELECT doc_id, max(s) AS s FROM s GROUP BY doc_id),
+p AS (SELECT doc_id, min(s.lang) FILTER (s.s = b.s) AS language, round(1 / sum(exp((s.s - b.s) / 1000.0::DOUBLE)), 6) AS confidence FROM s JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, language, confidence FROM documents LEFT JOIN p USING (doc_id)""" % ", ".join(f"'{x}'" for x in language.SUPPORTED)
+
+
+def learnt(docs):
+    """Documents that the language model learns from; the others are held out."""
+    return docs.filter(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1) < "8")
+
+
+@query(_GRAMS)
+def language_model(spark, sf_dir):
+    """Every document's language by a model of about half of them."""
+    from newsloom.operators.langmodel import LanguageModel
+
+    docs = read(spark, sf_dir, "documents")
+    return LanguageModel.fit(learnt(docs)).detect(docs, "doc_id")
+
+
 _WS = r"[\s\x0b\x{85}\x{a0}\x{1c}-\x{1f}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _NORM = rf"trim(regexp_replace(regexp_replace(text, '{_WS}', ' ', 'g'), '[\x00-\x08\x0b-\x1f]', '', 'g'))"
 
@@ -337,6 +363,19 @@ def html_article(spark, sf_dir):
     return documents.page_articles(read(spark, sf_dir, "pages").select("page_id", "url", "html"), now()).select("page_id", "body", "extraction_method")
 
 
+@query(
+    "WITH c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g') AS h FROM pages) SELECT page_id, "
+    + _PLAIN.format("regexp_extract(h, '(?is)<(?:article|main)[^>]*>(.*)</(?:article|main)>', 1)")
+    + " AS body FROM c"
+)
+def html_densest(spark, sf_dir):
+    """The text of pages whose article marks are taken out; the SQL reads it by the marks."""
+    from newsloom.sources.stretch import with_stretch
+
+    bare = F.regexp_replace("html", r"(?i)</?(?:article|main)\b[^>]*>", "")
+    return with_stretch(read(spark, sf_dir, "pages").select("page_id", bare.alias("html"))).select("page_id", "body")
+
+
 @query("SELECT source AS feed_id, count(*) AS entries, min(doc_id) AS first FROM documents GROUP BY source")
 def rss_entries(spark, sf_dir):
     """Each source's documents as a feed of its own chunk, parsed back."""
@@ -427,6 +466,21 @@ def circuit_breaker_opens(spark, sf_dir):
     return o.withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("open_until", F.col("open_until").cast("timestamp_ntz"))
 
 
+_OPENINGS = """r AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events),
+f AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS failures FROM r WHERE event_type = 'error'), o AS (SELECT user_id, event_id, ts FROM f WHERE failures >= 2)"""
+
+
+@query(f"WITH {_OPENINGS} SELECT e.event_id, o.event_id AS opened_by, o.ts AS opened_at, coalesce(e.ts <= o.ts + INTERVAL 6 HOUR, false) AS refused FROM events e ASOF LEFT JOIN o ON e.user_id = o.user_id AND e.ts >= o.ts")
+def breaker_asof(spark, sf_dir):
+    """For each event the opening of its feed's breaker before it, and whether that was still open."""
+    from newsloom.operators.asof import asof_join
+
+    e = events(spark, sf_dir).select("feed_id", "event_id", "ts", "failed")
+    o = breaker.openings(e, 2, 360).select("feed_id", "event_id", "ts", "open_until")
+    joined = asof_join(e, o, "feed_id", "ts", "event_id")
+    return joined.select("event_id", F.col("right_row.event_id").alias("opened_by"), F.col("right_row.ts").cast("timestamp_ntz").alias("opened_at"), F.coalesce(F.col("ts") <= F.col("right_row.open_until"), F.lit(False)).alias("refused"))
+
+
 def folder(spark, name):
     """A new folder that the driver and all executors share."""
     import uuid
