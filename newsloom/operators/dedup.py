@@ -1,7 +1,7 @@
 """Near-duplicate articles: MinHash signatures, bands, and first-wins selection.
 
-Signatures are PERMUTATIONS minima of (a * h + b) mod P over an article's shingle
-hashes; an article without shingles has the sentinel P throughout, so all such articles
+Signatures are PERMUTATIONS minima of (a * h + b) mod P over the hashes h of an article's
+shingles, which are joined from hashes of their words; an article without shingles has the sentinel P throughout, so all such articles
 look alike. Two articles collide if they share one of BANDS bands of ROWS minima, and an
 article is a duplicate if it collides with an earlier one that was kept.
 """
@@ -37,36 +37,57 @@ def coefficients(n: int = PERMUTATIONS) -> list[tuple[int, int]]:
     return out
 
 
-def _hashes(words: list[str], n: int) -> np.ndarray:
-    """31-bit hashes of the distinct n-word shingles: the first 32 bits of their md5, modulo P."""
-    runs = {" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
-    first = b"".join([hashlib.md5(x.encode()).digest()[:4] for x in runs])
-    return np.frombuffer(first, ">u4").astype(np.int64) % P
+#: Multiplier that joins the hashes of a shingle's words.
+JOIN = 48_271
+#: Shingles whose minima are taken together.
+CHUNK = 8192
+
+
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    """The first 32 bits of each word's md5, modulo P; each distinct word is hashed once."""
+    coded = words.dictionary_encode()
+    first = b"".join([hashlib.md5(x.encode()).digest()[:4] for x in coded.dictionary.to_pylist()])
+    return (np.frombuffer(first, ">u4").astype(np.int64) % P)[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+
+
+def _minima(words: pa.ListArray, n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A row of minima for each list: over its n-word shingles, P without any."""
+    off = words.offsets.to_numpy().astype(np.int64)
+    hashes = _word_hashes(words.values.slice(off[0], off[-1] - off[0]))
+    off -= off[0]
+    out = np.full((len(words), len(a)), P, np.int64)
+    if len(hashes) < n:
+        return out
+    joined = hashes[: len(hashes) - n + 1].copy()
+    for k in range(1, n):
+        joined = (joined * JOIN + hashes[k : k + len(joined)]) % P
+    count = np.maximum(np.diff(off) - n + 1, 0)
+    for i in np.flatnonzero(count):
+        own = np.unique(joined[off[i] : off[i] + count[i]])
+        for c in range(0, len(own), CHUNK):
+            out[i] = np.minimum(out[i], ((a * own[c : c + CHUNK] + b) % P).min(1))
+    return out
 
 
 def signatures(articles: DataFrame, n: int = 4) -> DataFrame:
     """articles (with title and body) and their signature: array<bigint>.
 
-    Words are parted by Spark; shingles are hashed and their minima taken in one Arrow map. Every
+    Words are parted by Spark; they are hashed and their shingles' minima taken in one Arrow map. Every
     column given goes through it, so callers select what they need first.
     """
     pairs = coefficients()
     a = np.array([p[0] for p in pairs], np.int64)[:, None]
     b = np.array([p[1] for p in pairs], np.int64)[:, None]
 
-    def minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.full((len(batch), len(pairs)), P, np.int64)
-            for i, words in enumerate(batch.column(batch.num_columns - 1)):
-                values = _hashes(words.as_py(), n)
-                for c in range(0, len(values), 4096):
-                    out[i] = np.minimum(out[i], ((a * values[c : c + 4096] + b) % P).min(1))
+            out = _minima(batch.column(batch.num_columns - 1), n, a, b)
             signature = pa.FixedSizeListArray.from_arrays(pa.array(out.reshape(-1)), len(pairs)).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], signature], names=[*batch.schema.names[:-1], "signature"])
 
     content = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("body", F.lit("")))
     schema = StructType([*articles.schema.fields, StructField("signature", ArrayType(LongType()))])
-    return articles.select("*", text.words(F.lower(content)).alias("_words")).mapInArrow(minima, schema)
+    return articles.select("*", text.words(F.lower(content)).alias("_words")).mapInArrow(run, schema)
 
 
 def band_keys(signature: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import language, text, times, urls
+from newsloom.lineage import spread
 from newsloom.operators import breaker, dedup, metrics, normalize, registry, rules
 from newsloom.plans import pipeline
 from newsloom.plugins import Summarizer
@@ -37,7 +38,7 @@ def read(spark, sf_dir, name):
 
 
 def articles(spark, sf_dir):
-    return pipeline.from_documents(read(spark, sf_dir, "documents"))
+    return pipeline.from_documents(spread(read(spark, sf_dir, "documents")))
 
 
 def events(spark, sf_dir):
@@ -274,7 +275,8 @@ _SH = (
 s AS (SELECT doc_id, CASE WHEN len(w) < 4 THEN [] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM w)"""
 )
 _K = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(dedup.coefficients()))
-_SIG = _SH + rf""", h AS (SELECT doc_id, unnest(s) AS x FROM s), g AS (SELECT doc_id, ('0x' || substr(md5(x), 1, 8))::BIGINT % {dedup.P} AS h FROM h), k(k, a, b) AS (VALUES {_K}),
+_SIG = _SH + rf""", y AS (SELECT doc_id, list_transform(w, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT % {dedup.P}) AS y FROM w),
+g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(y) - 2), lambda i: (((y[i] * {dedup.JOIN} + y[i + 1]) % {dedup.P} * {dedup.JOIN} + y[i + 2]) % {dedup.P} * {dedup.JOIN} + y[i + 3]) % {dedup.P})) AS h FROM y WHERE len(y) >= 4), k(k, a, b) AS (VALUES {_K}),
 m AS (SELECT doc_id, k, min((a * h + b) % {dedup.P}) AS v FROM g, k GROUP BY doc_id, k),
 z AS (SELECT s.doc_id, k.k, coalesce(m.v, {dedup.P}) AS v FROM s CROSS JOIN k LEFT JOIN m ON m.doc_id = s.doc_id AND m.k = k.k),
 sig AS (SELECT doc_id, list(v ORDER BY k) AS sig FROM z GROUP BY doc_id),
@@ -312,7 +314,7 @@ def similar_articles(spark, sf_dir):
     return dedup.similar(signed(spark, sf_dir), None, "doc_id").select("a", "b", "estimate")
 
 
-_RECURSIVE = _SIG.replace("WITH w AS", "WITH RECURSIVE words AS", 1).replace("FROM w)", "FROM words)", 1)
+_RECURSIVE = _SIG.replace("WITH w AS", "WITH RECURSIVE words AS", 1).replace("FROM w)", "FROM words)").replace("FROM w)", "FROM words)")
 _WINS = """, n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k, {may} AS may FROM {base}),
 ids AS (SELECT band, row_number() OVER () AS b FROM (SELECT DISTINCT band FROM band)),
 mine AS (SELECT doc_id, list(b) AS bs FROM band JOIN ids USING (band) GROUP BY doc_id),
@@ -515,6 +517,48 @@ def breaker_stream(spark, sf_dir):
     return r.withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("open_until", F.col("open_until").cast("timestamp_ntz"))
 
 
+@query("""SELECT ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 6 AS partition, count(*) FILTER (length(text) >= 500) AS delivered, max(length(text)) FILTER (length(text) >= 500) AS largest FROM documents GROUP BY 1""")
+def delivery_report(spark, sf_dir):
+    """Documents streamed in several batches: long ones to the topic, others to the dead letters; what each partition was given."""
+    from newsloom.streaming.delivery import Producer
+
+    root = folder(spark, "producer")
+    read(spark, sf_dir, "documents").repartition(3).write.parquet(f"{root}/in")
+    rows = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    producer = Producer(root)
+    producer.start(rows.select(F.col("doc_id").alias("key"), F.col("text").alias("value"), (F.length("text") >= 500).alias("good"), F.lit("TOO_SHORT").alias("error")))
+    producer.stop()
+    return producer.report(spark)
+
+
+@query("SELECT source, CASE WHEN source IN ('src1', 'src2') THEN 'short' ELSE 'all' END AS load, count(*) AS documents, sum(length(text))::BIGINT AS chars FROM documents WHERE source NOT IN ('src1', 'src2') OR length(text) < 1000 GROUP BY ALL HAVING count(*) >= 3")
+def catalog_by_source(spark, sf_dir):
+    """Documents in a table by source; then the partitions of two sources are replaced by their short documents."""
+    import uuid
+
+    from newsloom.sources import catalog
+
+    docs = read(spark, sf_dir, "documents").filter("source IS NOT NULL").select("doc_id", "text", F.lit("all").alias("load"), "source")
+    name = f"newsloom_documents_{uuid.uuid4().hex}"
+    catalog.create(spark, name, docs.schema, ("source",), folder(spark, "catalog"))
+    catalog.load(docs, name)
+    catalog.load(docs.filter((F.length("text") < 1000) & F.col("source").isin("src1", "src2")).withColumn("load", F.lit("short")), name)
+    return catalog.ask(spark, f"SELECT source, load, count(*) AS documents, sum(length(text)) AS chars FROM {name} GROUP BY source, load HAVING count(*) >= :least", least=3)
+
+
+@query("SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, url, md5(html) AS digest FROM pages WHERE regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) LIKE 'm.%'")
+def sites(spark, sf_dir):
+    """Pages in a folder by host, read back host by host, one session each; only hosts that are asked for are opened."""
+    from newsloom.sources import sites as source
+
+    root = folder(spark, "sites")
+    pages = read(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1).alias("host"), "url", "html")
+    pages.repartition("host").write.partitionBy("host").parquet(root)
+    source.register(spark)
+    found = spark.read.format("newsloom_sites").option("path", root).load().filter(F.col("host").startswith("m."))
+    return found.select("host", "url", F.md5("content").alias("digest"))
+
+
 @query("SELECT range AS attempt, CASE WHEN range < 5 THEN 30 * 2 ** range ELSE 0 END::BIGINT AS wait_seconds, (30 * (2 ** range - 1))::BIGINT AS started_at_seconds FROM range(6)")
 def retry_schedule(spark, sf_dir):
     return breaker.retry_schedule(spark)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.errors import ParseError
 from newsloom.functions import text, urls
+from newsloom.sources.stretch import with_stretch
 
 #: Content types of each parser.
 TYPES = {"rss": ("application/rss+xml", "application/atom+xml", "text/xml", "application/xml"), "html": ("text/html", "application/xhtml+xml")}
@@ -117,7 +118,7 @@ def page_date(html: Column) -> Column:
 
 
 def page_articles(pages: DataFrame, as_of: Column) -> DataFrame:
-    """pages(url, html): title and body by the marked article, else by the body without its frame; error if neither has both."""
+    """pages(url, html): title and body by the marked article, else by the densest stretch, else by the body without its frame; error if none has both."""
     code_free = without_code(F.col("html"))
     p = pages.withColumn("_h", code_free).withColumn("title", page_title(F.col("html")))
     marked = plain(F.regexp_extract("_h", r"(?is)<(?:article|main)(?:\s[^>]*)?>(.*)</(?:article|main)>", 1))
@@ -125,11 +126,13 @@ def page_articles(pages: DataFrame, as_of: Column) -> DataFrame:
     for tag in ("head", "nav", "header", "footer", "aside", "form"):
         body = F.regexp_replace(body, rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}>", " ")
     p = p.withColumn("_a", marked).withColumn("_b", plain(body))
-    text_ = F.when(F.col("_a") != "", F.col("_a")).otherwise(F.col("_b"))
+    # only pages without marks go through the function
+    p = with_stretch(p.withColumn("_unmarked", F.when(F.col("_a") == "", F.col("_h"))), "_unmarked", "_c")
+    text_ = F.when(F.col("_a") != "", F.col("_a")).when(F.col("_c") != "", F.col("_c")).otherwise(F.col("_b"))
     bad = (F.coalesce("title", F.lit("")) == "") | (F.coalesce(text_, F.lit("")) == "")
     return p.select(
         *[c for c in pages.columns if c != "html"], "title", text_.alias("body"), urls.key_url(F.col("url")).alias("canonical_url"), F.coalesce(page_date(F.col("_h")), as_of).alias("published_at"), page_author(F.col("_h")).alias("author"),
-        F.when(F.col("_a") != "", "marked").otherwise("whole").alias("extraction_method"), F.when(bad, "HTML_EXTRACTION_FAILED").alias("error"),
+        F.when(F.col("_a") != "", "marked").when(F.col("_c") != "", "dense").otherwise("whole").alias("extraction_method"), F.when(bad, "HTML_EXTRACTION_FAILED").alias("error"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import time
 import urllib.error
 import urllib.request
@@ -24,17 +25,43 @@ class Proxy:
         return self.url if self.url.startswith(("http://", "https://")) else f"{self.protocol}://{self.url}"
 
 
-def next_proxy(pool: list[Proxy], failed: set[str], index: int) -> tuple[Proxy | None, int]:
-    """Round robin past those that failed; if all have, the failures are forgotten."""
-    if not pool:
-        return None, index
-    if all(p.address() in failed for p in pool):
-        failed.clear()
-    for step in range(len(pool)):
-        p = pool[(index + step) % len(pool)]
-        if p.address() not in failed:
-            return p, index + step + 1
-    return None, index
+class ProxyPool:
+    """Proxies in turn or at random, past those that failed; when all have, they are all tried anew."""
+
+    def __init__(self, proxies: list[Proxy] | tuple[Proxy, ...], seed: int | None = None) -> None:
+        self.dice = random.Random(seed)
+        self.refresh(proxies)
+
+    def refresh(self, proxies: list[Proxy] | tuple[Proxy, ...]) -> None:
+        """Another list; failures are forgotten and the turn begins anew."""
+        self.proxies, self.failed, self.turn = list(proxies), set(), 0
+
+    def _able(self) -> list[Proxy]:
+        if self.proxies and all(p.address() in self.failed for p in self.proxies):
+            self.failed.clear()
+        return [p for p in self.proxies if p.address() not in self.failed]
+
+    def next(self) -> Proxy | None:
+        able = {p.address() for p in self._able()}
+        while able:
+            p = self.proxies[self.turn % len(self.proxies)]
+            self.turn += 1
+            if p.address() in able:
+                return p
+        return None
+
+    def random(self) -> Proxy | None:
+        able = self._able()
+        return self.dice.choice(able) if able else None
+
+    def mark_failed(self, proxy: Proxy) -> None:
+        self.failed.add(proxy.address())
+
+    def reset(self) -> None:
+        self.failed.clear()
+
+    def stats(self) -> dict[str, int]:
+        return {"total": len(self.proxies), "failed": len(self.failed), "available": len(self.proxies) - len(self.failed)}
 
 
 def get(url: str, timeout: int, proxy: Proxy | None = None) -> tuple[int, str, bytes]:
@@ -56,8 +83,7 @@ def fetch(feeds: DataFrame, retries: int = 5, backoff: float = 30.0, proxies: tu
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        failed: set[str] = set()
-        turn = 0
+        pool = ProxyPool(proxies)
         for pdf in batches:
             rows = []
             for f in pdf.itertuples():
@@ -66,7 +92,7 @@ def fetch(feeds: DataFrame, retries: int = 5, backoff: float = 30.0, proxies: tu
                     rows.append((f.feed_id, f.url, None, None, None, 0, "CIRCUIT_BREAKER_OPEN", None))
                     continue
                 for attempt in range(retries + 1):
-                    proxy, turn = next_proxy(list(proxies), failed, turn)
+                    proxy = pool.next()
                     try:
                         status, kind, body = read(f.url, f.timeout_seconds, proxy)
                         error = _code(status)
@@ -75,7 +101,7 @@ def fetch(feeds: DataFrame, retries: int = 5, backoff: float = 30.0, proxies: tu
                     except (OSError, ValueError) as e:
                         error = "FETCH_TIMEOUT" if isinstance(e, TimeoutError) else "FETCH_ERROR"
                         if proxy:
-                            failed.add(proxy.address())
+                            pool.mark_failed(proxy)
                     if error is None:
                         break
                     if attempt < retries:

@@ -1,4 +1,4 @@
-"""Sinks for messages and dead letters, and the catalog's tables."""
+"""Sinks for messages and dead letters."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import times
-from newsloom.schema import TABLES
 
 
 @dataclass(frozen=True)
@@ -49,26 +48,6 @@ def dead_letters(rejects: DataFrame, error: Column, as_of: Column, original: tup
     return rejects.select(F.to_json(F.struct(*original), {"ignoreNullFields": "false"}).alias("original_message"), error.alias("error"), times.to_iso(as_of).alias("timestamp"))
 
 
-def delivery_report(published: DataFrame, topic: Topic) -> DataFrame:
-    """Rows that each partition of the topic would get."""
-    part = F.pmod(F.hash("key"), F.lit(topic.partitions))
-    return published.groupBy(part.alias("partition")).agg(F.count(F.lit(1)).alias("delivered"), F.max(F.length("value")).alias("largest"))
-
-
-def create_tables(spark: SparkSession, database: str = "default") -> list[str]:
-    made = []
-    for name, (schema, parts) in TABLES.items():
-        if not spark.catalog.tableExists(f"{database}.{name}"):
-            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-            spark.sql(f"CREATE TABLE {database}.{name} ({columns}) USING parquet" + (f" PARTITIONED BY ({', '.join(parts)})" if parts else ""))
-            made.append(name)
-    return made
-
-
-def table_status(spark: SparkSession, database: str = "default") -> dict[str, bool]:
-    return {name: spark.catalog.tableExists(f"{database}.{name}") for name in TABLES}
-
-
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
