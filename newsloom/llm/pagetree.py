@@ -81,6 +81,10 @@ _NAMING = frozenset(("class", "id", "role"))
 _PART = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
+#: What ends a comment, at once or later; and raw text.
+_COMMENT_END, _COMMENT_END_LATER = re.compile("-?>"), re.compile("--!?>")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|$)", re.I | re.A) for tag in RAW}
+
 
 class Tags:
     """Reads the tags of a page one after the other, each character a bounded number of times."""
@@ -101,8 +105,8 @@ class Tags:
         """Of the "<" at this place: "start", "end", "" (a comment or the like) or "rest" (all that follows is text), tag, names and where it ends; None for plain text."""
         html, n = self.html, len(self.html)
         if html.startswith("<!--", at):
-            end = html.find("-->", at + 4)
-            return "", "", "", n if end < 0 else end + 3
+            end = _COMMENT_END.match(html, at + 4) or _COMMENT_END_LATER.search(html, at + 4)
+            return "", "", "", end.end() if end else n
         sign = html[at + 1 : at + 2]
         closing = sign == "/"
         begin = at + 1 + closing
@@ -147,7 +151,6 @@ class Tree:
 def parse(html: str) -> Tree:
     tree = Tree()
     stack, run, at, linked = [0], [], 0, 0
-    lower = None
 
     def flush() -> None:
         nonlocal run
@@ -203,12 +206,12 @@ def parse(html: str) -> Tree:
                 text(" ")
                 continue
             if tag in RAW:
-                lower = lower if lower is not None else html.lower()
-                end = lower.find(f"</{tag}", at)
-                at = n if end < 0 else end
+                # in the page itself: lower-casing would move places
+                end = _RAW_END[tag].search(html, at)
+                at = end.start() if end else n
                 flush()
-                if end >= 0:
-                    at = html.find(">", end) + 1 or n
+                if end:
+                    at = html.find(">", at) + 1 or n
                 continue
             flush()
             if tag in VOID:

@@ -51,6 +51,12 @@ def test_quotes_and_tags():
     assert pagetree.parse("<div class=menu id='nav bar' role=\"x\">t").names == ["", "menu nav bar x"]
 
 
+def test_comments_and_raw_text():
+    assert blocks("<!--><p>a</p><!---><p>b</p><!-- x --!><p>c</p><!-- - -- > --><p>d</p>") == ["a", "b", "c", "d"]
+    assert blocks("İ" * 40 + "<script>var x = '</p>' < 1</SCRIPT ><p>next</p>") == ["İ" * 40, "next"]
+    assert blocks("<style>a</styles>b</ſtyle>c</style\n>d<script>e") == ["d"]
+
+
 @pytest.mark.parametrize("part", ["<p x='", '<p x="', "<p ", "<", "</", "<!", "<p x=y'", "<a b='c' ", "<!--"])
 def test_long_nonsense_takes_linear_time(part):
     html = part * (1_000_000 // len(part))
