@@ -8,6 +8,7 @@ from functools import lru_cache
 
 from newsloom.errors import ConfigError
 
+#: Levels, environments, and the names and defaults of settings.
 LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")
 ENVIRONMENTS = ("development", "staging", "production")
 

@@ -18,6 +18,7 @@ def _kind(name: str, code: str) -> type[NewsError]:
     return type(name, (NewsError,), {"code": code, "__module__": __name__})
 
 
+#: Codes of errors.
 FetchError = _kind("FetchError", "FETCH_ERROR")
 ParseError = _kind("ParseError", "PARSE_ERROR")
 ValidationError = _kind("ValidationError", "VALIDATION_ERROR")

@@ -318,7 +318,7 @@ _RECURSIVE = _SIG.replace("WITH w AS", "WITH RECURSIVE words AS", 1).replace("FR
 _WINS = """, n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k, {may} AS may FROM {base}),
 ids AS (SELECT band, row_number() OVER () AS b FROM (SELECT DISTINCT band FROM band)),
 mine AS (SELECT doc_id, list(b) AS bs FROM band JOIN ids USING (band) GROUP BY doc_id),
-seq AS (SELECT k, doc_id, may, bs FROM n JOIN mine USING (doc_id)),
+seq AS MATERIALIZED (SELECT k, doc_id, may, bs FROM n JOIN mine USING (doc_id)),
 w(k, doc_id, dup, kept) AS (SELECT 0::BIGINT, NULL::BIGINT, false, []::BIGINT[] UNION ALL
   SELECT q.k, q.doc_id, list_has_any(w.kept, q.bs), CASE WHEN q.may AND NOT list_has_any(w.kept, q.bs) THEN list_concat(w.kept, q.bs) ELSE w.kept END FROM w JOIN seq q ON q.k = w.k + 1)"""
 
@@ -400,17 +400,31 @@ def status(spark, sf_dir):
     return pipeline.with_status(articles(spark, sf_dir), now())
 
 
-@query()
+_STATUS = (
+    _RECURSIVE
+    + ", "
+    + _EVAL.strip().removeprefix("WITH ").replace("m AS (SELECT *, CASE WHEN total", "told AS (SELECT *, CASE WHEN total").replace("AS rc FROM m)", "AS rc FROM told)")
+    + _WINS.format(may="len(errors) = 0 AND coalesce(length(lang_code) = 2, false)", base="v")
+    + """, st AS (SELECT v.*, CASE WHEN dup THEN 'duplicate' WHEN len(errors) > 0 THEN 'invalid' WHEN coalesce(length(lang_code) = 2, false) THEN 'published' ELSE 'error' END AS status FROM v JOIN w USING (doc_id) WHERE k > 0)"""
+)
+
+
+@query(_STATUS + " SELECT doc_id, status FROM st")
 def pipeline_status(spark, sf_dir):
     return status(spark, sf_dir).select(F.col("arrival").alias("doc_id"), "status")
 
 
-@query()
+@query(_STATUS + " SELECT source AS feed_id, count(*) FILTER (status <> 'invalid') AS articles_crawled, count(*) FILTER (status = 'published') AS articles_published, count(*) FILTER (status = 'duplicate') AS articles_duplicate, count(*) FILTER (status IN ('invalid', 'error')) AS articles_failed FROM st GROUP BY source")
 def crawl_job_counters(spark, sf_dir):
     return metrics.job_counters(status(spark, sf_dir).withColumnRenamed("source", "feed_id"), "feed_id")
 
 
-@query()
+@query(
+    _STATUS
+    + rf""", u AS (SELECT *, 'https://' || coalesce(source, 'none') || '.example.com/a/' || doc_id || '?id=' || doc_id AS canonical FROM st WHERE status = 'published')
+SELECT sha256(canonical || '|' || doc_id) AS article_id, canonical AS canonical_url, {_NORM.replace("text", "title", 1)} AS title, {_NORM.replace("text", "body", 1)} AS body, url, source, lang_code AS language, strftime(published_at, '%Y-%m-%dT%H:%M:%SZ') AS published_at,
+  '2024-02-01T00:00:00Z' AS crawled_at, NULL::VARCHAR AS country, sha256({_NORM.replace("text", "body", 1)}) AS checksum, score AS validation_score, 'v1.0' AS schema_version, 'job' AS ingest_job_id, 'newsloom' AS publisher_id, NULL::VARCHAR AS author, NULL::VARCHAR AS raw_html, 'document' AS extraction_method FROM u"""
+)
 def messages(spark, sf_dir):
     return pipeline.run(articles(spark, sf_dir), now()).messages.drop("metadata")
 

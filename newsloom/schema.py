@@ -14,6 +14,7 @@ def _struct(spec: str, optional: str = "") -> T.StructType:
     return T.StructType([T.StructField(n, kinds[k], n in null) for n, k in (x.split(":") for x in spec.split())])
 
 
+#: The fields of the contract, and their kinds.
 ARTICLE = _struct(
     "title:s body:s url:s canonical_url:s published_at:t author:s source:s language:s raw_html:s extraction_method:s article_id:s metadata:m",
     "published_at author source language raw_html article_id metadata",
