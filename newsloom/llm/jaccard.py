@@ -19,11 +19,11 @@ A set has a parity bitmap, in which each shingle turns over one bit; the bits in
 two bitmaps differ are at most as many as the shingles in which the sets differ, so a
 pair that differs in too many bits is not linked, and only other pairs are compared, exactly and on
 whole sets. Sets of one component need no more, and two sets whose bitmaps differ from the
-hub's by counts too far apart cannot be linked. Of the other pairs of a key, those
-leave the join whose bitmaps of SCREEN bits may be linked, each at the smallest key that it has in common only;
-they go through the same two steps. So what a crowd of sets that are alike but not linked (the variants of
+hub's by counts too far apart cannot be linked. Sets that share a key share its hub, so the other pairs meet at
+their hubs, however many keys they share. Those leave the join whose bitmaps of SCREEN bits may be linked, each at the
+smallest hub that it has in common only; they go through the same two steps. So what a crowd of sets that are alike but not linked (the variants of
 one much copied text) sends on is the pairs near the threshold, though the join itself looks at each pair that
-shares a key and is not told apart by its hub. Of these pairs, the nearest of each two components is compared
+shares a hub and is not told apart by it. Of these pairs, the nearest of each two components is compared
 first, as one link makes the others needless.
 
 A node is a distinct set, so copies cost nothing after the first in each task.
@@ -310,22 +310,22 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         discard(sets)
         return out
 
-    def beside_hubs(members: DataFrame, stars: DataFrame, links: DataFrame) -> DataFrame:
-        """members with size, gap to the hub, and free: not linked with it."""
-        known = links.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.lit(False).alias("free"))
-        at = stars.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("n_a").alias("n_hub"), F.col("n_b").alias("n"), "gap")
-        out = members.join(at, ["hub", "node"]).join(known, ["hub", "node"], "left")
-        width = F.expr(f"n_hub * {100 - percent} div {percent} + 1")
-        return cut(out.select("key", "hub", "node", "probe", "n", "gap", F.coalesce("free", F.lit(True)).alias("free"), width.alias("width")))
+    def beside_hubs(stars: DataFrame, links: DataFrame) -> DataFrame:
+        """hub and node with the node's size, gap to the hub, and free: not linked with it."""
+        known = links.select("a", "b", F.lit(False).alias("free"))
+        width = F.expr(f"n_a * {100 - percent} div {percent} + 1")
+        out = stars.join(known, ["a", "b"], "left")
+        return cut(out.select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("n_b").alias("n"), "gap", F.coalesce("free", F.lit(True)).alias("free"), width.alias("width")))
 
     stars = screened(pairs)
     links = linked(stars)
-    away = beside_hubs(members, stars, links)
-    # a key with one member besides its hub has no other pair
+    # sets that share a key share its hub, so they meet there, once for all keys of that hub
+    away = beside_hubs(stars, links)
+    # a hub with one other member has no other pair
     several = crowded(away, "true", 1)
     spent += [several, away]
     away = away.join(narrow(several), "key", "left_semi")
-    # each member's keys, and what the join compares
+    # each member's hubs, and what the join compares
     words = [f"word_{i}" for i in range(SCREEN // 64)]
     own = away.groupBy("node").agg(F.collect_set("key").alias("keys")).join(bitmaps.select("node", *[F.col("screen")[i].alias(w) for i, w in enumerate(words)]), "node")
     classes = components(links)
