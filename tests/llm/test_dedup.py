@@ -70,6 +70,13 @@ def test_jaccard_of_a_passage_in_all_texts(spark):
     assert 1 < len({c for *_, c in got}) < len(got)
 
 
+def test_jaccard_through_the_sieve(spark, monkeypatch):
+    from newsloom.llm import candidates
+
+    monkeypatch.setattr(candidates, "BROADCAST_ROWS", 0)
+    test_jaccard(spark, monkeypatch, 3, 90, None)
+
+
 def test_index_matches():
     r = random.Random(3)
     for _ in range(30):
