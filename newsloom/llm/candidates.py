@@ -2,24 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newsloom.llm.durable import cut, discard, narrow
+from newsloom.llm.durable import BROADCAST_ROWS, cut, discard, narrow
 
+#: Bits of a bitmap that is sent to all tasks, whatever it tells of.
+FILTER = 1 << 27
 
-def live(rows: DataFrame) -> DataFrame:
+
+def bitmap(keys: DataFrame, key: str) -> np.ndarray:
+    """FILTER bits, those set that the 64-bit hashes of a column fall on. At most FILTER / 32 rows are collected, whatever the table."""
+    bit = F.pmod(key, F.lit(FILTER))
+    parts = keys.groupBy(F.floor(bit / 32).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(32)).cast("int"))).alias("bits"))
+    out = np.zeros(FILTER // 32, np.uint32)
+    for batch in parts.toArrow().to_batches():
+        out[batch.column("at").to_numpy()] = batch.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
+def sieved(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows that may have one of keys(key): all that do, and a few others."""
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap(keys, "key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for batch in batches:
+            at = batch.column("key").to_numpy() & (FILTER - 1)
+            yield batch.filter(pa.array((bits[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) > 0))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def live(rows: DataFrame, sieve: bool = False) -> DataFrame:
     """key, hub, node, probe and the other columns, for rows(key, node, probe, ...) of keys with several nodes, one of which at least is no
     probe. The hub is the smallest such node and has no row of its own.
 
     Hubs are partial minima, so a key with any part of the rows is one row of each task before the shuffle;
-    the rows then join with the hubs, by broadcast behind a count, else by a shuffle that Spark splits.
+    the rows then join with the hubs, by broadcast behind a count, else by a shuffle that Spark splits. With sieve (keys are then never null),
+    that shuffle gets only rows that a bitmap of the hubs' keys lets through.
     """
     hubs = rows.groupBy("key").agg(F.min(F.when(~F.col("probe"), F.col("node"))).alias("hub"), F.min("node").alias("low"), F.max("node").alias("high"))
     hubs = cut(hubs.filter("hub IS NOT NULL AND low <> high").select("key", "hub"))
+    if sieve and hubs.count() > BROADCAST_ROWS:
+        rows = sieved(rows, hubs)
     others = [c for c in rows.columns if c not in ("key", "node", "probe")]
     out = cut(rows.join(narrow(hubs), "key").filter("node <> hub").groupBy("key", "hub", "node", *others).agg(F.min("probe").alias("probe")))
     discard(hubs)

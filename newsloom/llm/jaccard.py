@@ -280,7 +280,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     indexed = cut(texts.mapInArrow(lambda it: _sketch(it, n, table), kind))
     sketch = cut(indexed.select("doc_id", "n_shingles", "node"))
     nodes = sketch.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"))
-    members = live(indexed.select(F.explode("keys").alias("key"), "node", F.lit(False).alias("probe")))
+    members = live(indexed.select(F.explode("keys").alias("key"), "node", F.lit(False).alias("probe")), sieve=True)
     pairs = cut(members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     bitmaps = cut(indexed.select("node", "n_shingles", "parity", "screen").join(ends, "node").dropDuplicates(["node"]))

@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from newsloom.llm.candidates import FILTER, bitmap
 from newsloom.llm.durable import cut
 from newsloom.llm.textscan import LOWER, mix, pieces, signed, word_hashes, words
 
 LEAST, TOP, COVERED = 10, 2000, 50
 #: Suffixes in a group of prefixes, and the parts that hashes are summed in.
 MEMORY, BUCKETS = 250_000, 1 << 16
-FILTER = 1 << 27
 #: Suffixes that are counted together before they leave a task.
 GATHER = 600_000
 _PIECE = np.zeros(256, bool)
@@ -105,16 +105,6 @@ def partition(counts: DataFrame, memory: int = MEMORY) -> tuple[np.ndarray, np.n
     return first, parts
 
 
-def bitmap(counts: DataFrame) -> np.ndarray:
-    """FILTER bits, those set that hashes of counts fall on. At most FILTER / 64 rows are collected, whatever the corpus."""
-    bit = F.pmod("h", F.lit(FILTER))
-    parts = counts.groupBy(F.floor(bit / 32).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(32)).cast("int"))).alias("bits"))
-    out = np.zeros(FILTER // 32, np.uint32)
-    for batch in parts.toArrow().to_batches():
-        out[batch.column("at").to_numpy()] = batch.column("bits").to_numpy().astype(np.uint32)
-    return out
-
-
 def _leaves(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Equal columns of keys (three rows) added up."""
     order = np.lexsort(keys[::-1])
@@ -197,7 +187,7 @@ def collocations(docs: DataFrame, top: int = TOP, memory: int = MEMORY) -> DataF
     counts = cut(word_counts(docs))
     size = counts.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = cut(counts.filter(F.col("f") >= LEAST))
-    nodes = cut(tree(suffixes(docs, bitmap(frequent), *partition(frequent, memory))))
+    nodes = cut(tree(suffixes(docs, bitmap(frequent, "h"), *partition(frequent, memory))))
     two, three = nodes.filter("h3 IS NULL").select("h1", "h2", F.col("f").alias("a")), nodes.filter("h3 IS NOT NULL").withColumnRenamed("f", "a")
     word = lambda k, count: frequent.select(F.col("h").alias(f"h{k}"), F.col("word").alias(f"w{k}"), F.col("f").alias(count), *(["lang"] if k == 1 else []))
     pair = lambda i, j, count: two.select(F.col("h1").alias(f"h{i}"), F.col("h2").alias(f"h{j}"), F.col("a").alias(count))
