@@ -57,7 +57,7 @@ STAGES = [
     ("mixing", mixing),
 ]
 
-#: Trained scores and components are beyond SQL; tests hold the pipeline against brute force.
+#: Trained scores and components are beyond SQL; tests hold the stages against plain versions, each on its own input.
 ORACLE_SQL = None
 
 
