@@ -620,7 +620,7 @@ def quality_by_source(spark, sf_dir):
     return d.join(read(spark, sf_dir, "labels"), "doc_id").groupBy("source", "quality", "toxic").agg(F.count(F.lit(1)).alias("articles"))
 
 
-@query()
+@query(SQL["dedup_first_wins"])
 def stream_dedup(spark, sf_dir):
     """Documents as micro-batches through the stateful dedup; the same rows as dedup_first_wins."""
     import uuid
