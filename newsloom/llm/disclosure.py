@@ -10,7 +10,13 @@ documents of their own), pmi(entity, term) = log2(N * n(entity, term) / (n(entit
 over the entity's information content log2(N / n(entity)) is the share of it that the term
 gives away. A term that gives away at least THRESHOLD, in at least SUPPORT documents and
 at least TIES of the entity's own, is a span of its own (kind "term") at each place where
-it stands outside base spans, in any document. Sanitising removes base spans for their kind
+it stands outside base spans, in any document. Counts alone would make each rare word of a
+mail that was copied once a term, so the entity's documents must also use the term in
+different surroundings. A side of a term is the least hash (31 bits) of the SIDE words before
+or after it, least over its places in the document; none at a text's end. Of all different
+pairs of sides in the entity's documents, more than half must differ on the left, and more
+than half on the right. Exact copies have one pair, and near copies mostly change one side
+at a time; so a term that is only ever used in one passage is not told from that passage. Sanitising removes base spans for their kind
 and generalises terms: a term that is a number to [number], else to its coarser class
 [name] or [word].
 
@@ -47,6 +53,8 @@ THRESHOLD = 0.8
 SUPPORT = 2
 TIES = 0.5
 FLUSH = 400_000
+#: Words before and after a term that are its surroundings.
+SIDE = 6
 #: A term in more than this share of the documents is very common.
 COMMON = 0.001
 BITS = 1 << 26
@@ -109,8 +117,8 @@ def _hash64(kind: str, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{value}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
-    """Document, start, end (bytes) and hash of each word outside base spans, and base spans as (document, text, spans)."""
+def _words(data: np.ndarray, at: np.ndarray) -> tuple:
+    """Document, start, end (bytes) and hash of each word outside base spans; base spans as (document, text, spans); the documents' bounds in all words, all words' hashes, and which stand outside."""
     signs = np.concatenate(([0], np.cumsum(_SIGNS[data])))
     starts, ends, off = ts.words(data, at)
     h = ts.word_hashes(data, starts, ends)
@@ -125,7 +133,7 @@ def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
             # spans of several kinds may overlap: a word is taken if more spans begin before its end than end by its start
             mine = slice(off[i], off[i + 1])
             free[mine] = np.searchsorted(np.sort(a), ends[mine], "left") == np.searchsorted(np.sort(b), starts[mine], "right")
-    return doc[free], starts[free], ends[free], h[free], found
+    return doc[free], starts[free], ends[free], h[free], found, off, h, free
 
 
 def _in_bytes(text: str, places: np.ndarray) -> np.ndarray:
@@ -145,27 +153,48 @@ def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], h[new]
 
 
+def _sides(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least 31-bit hash of the SIDE words before and after each word of its document; -1 if there are none."""
+    short = (h >> np.uint64(33)).astype(np.int32)
+    none = np.iinfo(np.int32).max
+    left, right = np.full(len(h), none, np.int32), np.full(len(h), none, np.int32)
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    for k in range(1, SIDE + 1):
+        same = doc[k:] == doc[:-k]
+        left[k:] = np.minimum(left[k:], np.where(same, short[:-k], none))
+        right[:-k] = np.minimum(right[:-k], np.where(same, short[k:], none))
+    return np.where(left == none, -1, left), np.where(right == none, -1, right)
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct entities and terms of each document that has base spans."""
+    """The distinct entities and terms of each document that has base spans, terms with their sides."""
     for batch in batches:
         for _, data, at in ts.pieces(batch):
-            doc, _, _, h, found = _words(data, at)
-            doc, h = _distinct(doc, h)
-            h = ts.signed(h)
-            first = np.searchsorted(doc, np.arange(len(at)))
+            doc, _, _, h, found, off, every, free = _words(data, at)
+            owners = np.array([i for i, *_ in found], np.int64)
+            left, right = (x[free] for x in _sides(every, off))
+            mine = np.isin(doc, owners)
+            doc, h, left, right = doc[mine], h[mine], left[mine], right[mine]
+            order = np.lexsort((h, doc))
+            doc, h, left, right = doc[order], h[order], left[order], right[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            at_new = np.flatnonzero(new)
+            sides = [np.minimum.reduceat(x, at_new) if len(x) else x for x in (left, right)]
+            terms = pa.StructArray.from_arrays([pa.array(ts.signed(h[new])), *map(pa.array, sides)], names=["term", "left", "right"])
+            bounds = np.append(np.searchsorted(doc[new], owners), len(at_new)).astype(np.int32)
             entities = [sorted({_hash64(k, text[a:b].lower()) for k, a, b in spans}) for _, text, spans in found]
-            terms = [h[first[i] : first[i + 1]] for i, _, _ in found]
-            yield pa.RecordBatch.from_arrays([pa.array(entities, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.int64()))], names=["entities", "terms"])
+            yield pa.RecordBatch.from_arrays([pa.array(entities, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(bounds), terms)], names=["entities", "terms"])
 
 
-def _mark(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Base spans of each document, and the places of words whose bit is set."""
+def _mark(batches: Iterator[pa.RecordBatch], bits: np.ndarray, texts: bool) -> Iterator[pa.RecordBatch]:
+    """Base spans of each document, and the places of words whose bit is set; with its text, if wanted."""
     base_type = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
     near_type = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
     n = np.uint64(8 * len(bits))
     for batch in batches:
         for rows, data, at in ts.pieces(batch):
-            doc, starts, ends, h, found = _words(data, at)
+            doc, starts, ends, h, found, *_ = _words(data, at)
             bit = h % n
             some = (bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
             doc, starts, ends, h = doc[some], starts[some], ends[some], h[some]
@@ -176,7 +205,8 @@ def _mark(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.Re
                 base[i] = [{"kind": KINDS.index(k), "start": a, "end": b} for k, a, b in spans]
             flat = pa.StructArray.from_arrays([pa.array(ts.signed(h)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["term", "start", "end"])
             places = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(at))).astype(np.int32)), flat).cast(near_type)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(base, base_type), places], names=["doc_id", "base", "places"])
+            own = [rows.column(c) for c in ("doc_id", "text")[: 1 + texts]]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(base, base_type), places], names=[*("doc_id", "text")[: 1 + texts], "base", "places"])
 
 
 def _bitmap(terms: DataFrame, bits: int) -> np.ndarray:
@@ -211,7 +241,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for _, data, at in ts.pieces(batch):
-            doc, _, _, h, _ = _words(data, at)
+            doc, _, _, h, *_ = _words(data, at)
             _, h = _distinct(doc, h)
             add(h, np.ones(len(h), np.int64))
             if len(held[0]) > FLUSH:
@@ -220,13 +250,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def find(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT, ties: float = TIES, common: float = COMMON, bits: int = BITS) -> DataFrame:
-    """doc_id, base, terms: the spans of every document, terms as array<struct<start, end>>."""
+def find(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT, ties: float = TIES, common: float = COMMON, bits: int = BITS, texts: bool = False) -> DataFrame:
+    """doc_id, base, terms: the spans of every document, terms as array<struct<start, end>>; also its text, if wanted."""
     total = float(max(docs.count(), 1))
     content = F.log2(F.lit(total) / F.col("n_entity"))
     pmi = lambda both: F.log2(F.lit(total) * both / (F.col("n_entity") * F.col("n_term")))
     terms = cut(docs.select("text").mapInArrow(_count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term")).filter(F.col("n_term") >= support))
-    read = docs.select("text").mapInArrow(_read, "entities array<bigint>, terms array<bigint>")
+    read = docs.select("text").mapInArrow(_read, "entities array<bigint>, terms array<struct<term:bigint,left:int,right:int>>")
     # a number for each row, as doc_id may repeat or be null
     read = cut(read.withColumn("row", F.monotonically_increasing_id()))
     # an entity in fewer documents than the support has no term; class: the entities of the same documents
@@ -234,19 +264,24 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT,
     entities = read.select("row", F.explode("entities").alias("entity"))
     classes = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.struct(*of).alias("class")).filter((F.col("n_entity") >= support) & (content > 0))
     classes = cut(entities.join(classes, "entity").select("row", "class", "n_entity").distinct())
-    pairs = classes.join(read.select("row", "terms"), "row").select("class", "n_entity", F.explode("terms").alias("term"))
+    pairs = classes.join(read.select("row", "terms"), "row").select("class", "n_entity", F.inline("terms"))
     often = narrow(terms.filter(F.col("n_term") > common * total))
     possible = F.col("n_term").isNull() | (pmi(F.least("n_entity", "n_term")) >= threshold * content)
-    pairs = pairs.join(often, "term", "left").filter(possible).drop("n_term").groupBy("class", "n_entity", "term").agg(F.count(F.lit(1)).alias("both"))
-    pairs = pairs.filter((F.col("both") >= support) & (F.col("both") >= ties * F.col("n_entity")))
-    telling = cut(pairs.join(terms, "term").filter(pmi(F.col("both")) >= threshold * content).select("term").distinct())
+    pairs = pairs.join(often, "term", "left").filter(possible).drop("n_term").groupBy("class", "n_entity", "term")
+    pairs = pairs.agg(F.count(F.lit(1)).alias("both"), *[(F.min(c) != F.max(c)).alias(c) for c in ("left", "right")])
+    pairs = pairs.filter((F.col("both") >= support) & (F.col("both") >= ties * F.col("n_entity")) & F.col("left") & F.col("right"))
+    pairs = cut(pairs.join(terms, "term").filter(pmi(F.col("both")) >= threshold * content).select("class", "term"))
+    met = read.select("row", F.inline("terms")).join(narrow(pairs.select("term").distinct()), "term").join(classes, "row").join(narrow(pairs), ["class", "term"])
+    met = met.groupBy("class", "term").agg(F.count_distinct("left", "right").alias("n"), *[F.count_distinct(c).alias(c) for c in ("left", "right")])
+    telling = cut(met.filter(2 * F.least("left", "right") > F.greatest("n", F.lit(2))).select("term").distinct())
     held = _bitmap(telling, bits)
     sent = docs.sparkSession.sparkContext.broadcast(held)
     place = "array<struct<term:bigint,start:int,end:int>>"
-    marked = docs.select("doc_id", "text").mapInArrow(lambda it: _mark(it, sent.value), f"doc_id long, base array<struct<kind:int,start:int,end:int>>, places {place}")
+    whole = "text string, " if texts else ""
+    marked = docs.select("doc_id", "text").mapInArrow(lambda it: _mark(it, sent.value, texts), f"doc_id long, {whole}base array<struct<kind:int,start:int,end:int>>, places {place}")
     marked = cut(marked.withColumn("row", F.monotonically_increasing_id()))
     spans = marked.select("row", F.inline("places")).join(telling, "term").groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    return marked.join(spans, "row", "left").select("doc_id", "base", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int>>")).alias("terms"))
+    return marked.join(spans, "row", "left").select("doc_id", *["text"] * texts, "base", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int>>")).alias("terms"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -261,7 +296,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """docs' doc_id and text with base spans removed for [kind] and terms generalised; doc_id must be a key."""
+    """docs' doc_id and text, base spans removed for [kind] and terms generalised; a null text gives the empty one, and each row, ids repeated or null, its own."""
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -280,4 +315,4 @@ def sanitise(docs: DataFrame) -> DataFrame:
                 texts.append("".join([*out, text[at:]]))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": texts})
 
-    return docs.select("doc_id", "text").join(find(docs), "doc_id").mapInPandas(rewrite, "doc_id long, text string")
+    return find(docs, texts=True).mapInPandas(rewrite, "doc_id long, text string")
