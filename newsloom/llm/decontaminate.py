@@ -15,8 +15,8 @@ shuffle, as narrow rows without tokens, and the documents that are hit give thei
 
 Tokens are runs of letters and digits, lower-cased. Defined results: null or empty
 texts hit nothing; items of fewer than WINDOW tokens have no window, so `leaks` looks for
-them word for word, by a hash of all their tokens for each length; repeated items and documents report each; empty tables give no rows;
-only doc_id, text and item_id, text are read.
+them word for word, by a hash of all their tokens for each length; repeated items and documents report once for each id; a null doc_id or item_id names nothing and is
+reported by no row, however the seeds are joined; empty tables give no rows; only doc_id, text and item_id, text are read.
 """
 
 from __future__ import annotations
@@ -52,9 +52,9 @@ def seeded(df: DataFrame, keep: list[str], masks=MASKS) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int = SLACK, masks=MASKS, seed_rows: int = SEED_ROWS) -> DataFrame:
     """doc_id, item_id, n_equal (tokens that agree at the best shift), item_tokens: the pairs that overlap."""
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("w")).filter(F.size("w") >= window)
+    items = benchmark.filter("item_id IS NOT NULL").select("item_id", tokens(F.col("text")).alias("w")).filter(F.size("w") >= window)
     probes = seeded(items.withColumn("n_item", F.size("w")), ["item_id", "n_item"], masks).withColumnRenamed("pos", "item_pos").distinct()
-    tokened = docs.select("doc_id", tokens(F.col("text")).alias("w"))
+    tokened = docs.filter("doc_id IS NOT NULL").select("doc_id", tokens(F.col("text")).alias("w"))
     shift = (F.col("pos") - F.col("item_pos")).alias("shift")
     # the document's tokens beside the item, the same for all hits of a pair and shift
     there = F.slice("w", F.greatest(F.col("shift"), F.lit(0)) + 1, F.col("n_item") + F.least(F.col("shift"), F.lit(0))).alias("there")
@@ -82,7 +82,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sl
 
 def short_copies(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame | None:
     """The columns of contaminated() for items of 1 to window - 1 tokens that stand whole in a document; None if there are no such items."""
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("item")).withColumn("n", F.size("item")).filter((F.col("n") > 0) & (F.col("n") < window))
+    items = benchmark.filter("item_id IS NOT NULL").select("item_id", tokens(F.col("text")).alias("item")).withColumn("n", F.size("item")).filter((F.col("n") > 0) & (F.col("n") < window))
     lengths = sorted(r.n for r in items.select("n").distinct().collect())
     if not lengths:
         return None
@@ -90,7 +90,8 @@ def short_copies(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     if items.count() <= SEED_ROWS:
         items = F.broadcast(items)
     return (
-        docs.select("doc_id", tokens(F.col("text")).alias("w"))
+        docs.filter("doc_id IS NOT NULL")
+        .select("doc_id", tokens(F.col("text")).alias("w"))
         .filter(F.size("w") > 0)
         .select("doc_id", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("pos"))
         .select("doc_id", "w", "pos", F.explode(F.array(*map(F.lit, lengths))).alias("n"))

@@ -139,10 +139,13 @@ def mix_sources(docs: DataFrame, keep: tuple[str, ...] = (), weights=WEIGHTS, sh
     out = mixed.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "taken")
     if not keep:
         return out
-    out = out.withColumnRenamed("doc_id", "_id")
-    clash = [c for c in keep if c in out.columns]
-    texts = docs.select("doc_id", *[c for c in keep if c not in clash])
-    return texts.join(out, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    kept = [c for c in keep if c not in out.columns]
+    # joined as one value, so that its columns may have any name
+    texts = docs.select("doc_id", F.struct(*kept).alias("kept")) if kept else docs.select("doc_id", F.struct(F.lit(0)).alias("kept"))
+    out = out.select(F.col("doc_id").alias("_id"), F.struct(*out.columns).alias("_mix"))
+    both = texts.join(out, F.col("doc_id").eqNullSafe(F.col("_id")))
+    mixed = ("size", "source_size", "target", "taken")
+    return both.select("doc_id", *[F.col("kept").getField(c).alias(c) for c in kept], *[F.col("_mix").getField(c).alias(c) for c in mixed])
 
 
 #: DuckDB, for all that is fixed: not for `taken`, which depends on Spark's hash.

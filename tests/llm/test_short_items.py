@@ -1,5 +1,7 @@
 """Benchmark items that are shorter than the window."""
 
+import pytest
+
 from newsloom.llm import decontaminate
 from tests.llm import brute
 
@@ -18,3 +20,12 @@ def test_short_items(spark):
     assert sorted(map(tuple, decontaminate.leaks(docs, bench).collect())) == sorted(want)
     assert {(0, 1, 3, 3), (2, 2, 11, 11), (6, 5, 1, 1)} <= set(want)
     assert decontaminate.leaks(docs.limit(0), bench).count() == decontaminate.leaks(docs, bench.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed_rows", [0, 1 << 20])
+def test_null_ids_and_repeats(spark, seed_rows):
+    """The same rows however the seeds are joined."""
+    item = " ".join(f"t{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, item, "k"), (1, item, "k"), (None, item, "k"), (2, None, "k"), (None, None, None)], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame([(5, item), (5, item), (None, item), (6, "")], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.contaminated(docs, bench, seed_rows=seed_rows).collect()] == [(1, 5, 20, 20)]
