@@ -161,3 +161,8 @@ def test_densest_stretch(spark):
     d = spark.createDataFrame([("u", page)], "url string, html string")
     got = documents.page_articles(d, F.current_timestamp()).first()
     assert (got.extraction_method, got.body, got.error) == ("dense", want, None)
+
+
+def test_open_references_stay(spark):
+    d = spark.createDataFrame([("<h1>Salt &amp;&amp</h1><p>and &copy me &copy; you &#65; &#65</p>",)], "html string")
+    assert stretch.with_stretch(d).first().body == "Salt &&amp and &copy me © you A &#65"
