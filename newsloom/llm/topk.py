@@ -3,7 +3,8 @@
 A vector is split into LISTS runs of components; a list holds, for each query, the
 local scores of all candidates over one run, and a candidate's score is the sum of
 its local scores. Candidates are kept in blocks; queries, in blocks too, visit
-every block of candidates.
+every block of candidates. Both are read where they lie, as a Cartesian product of their
+partitions: what is visited is neither copied for each visit nor sent through the driver.
 
 1. Each block gives, for each query and list, its DEPTH highest local entries with
    their sums. The k-th best sum found is a cutoff that the true k-th score cannot
@@ -55,13 +56,22 @@ def _matrix(rows: list, width: int) -> np.ndarray:
     return out
 
 
+def _bytes(m: np.ndarray) -> bytes:
+    """As two bytes a component where all fit, else as eight."""
+    return m.astype(np.int16 if np.abs(m).max(initial=0) < 2**15 else np.float64).tobytes()
+
+
+def _array(packed: bytes, n: int, width: int) -> np.ndarray:
+    return np.frombuffer(packed, np.int16 if len(packed) == 2 * n * width else np.float64).astype(np.float64).reshape(-1, width)
+
+
 def _packed(df: DataFrame, block: Column, width: int) -> DataFrame:
     """Blocks of rows (id, v): block, ids and the floored components as packed bytes."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["id"].to_numpy(np.int64)
         m = np.floor(SCALE * _matrix(list(pdf["v"]), width))
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "ids": [ids.tobytes()], "m": [m.tobytes()]})
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "ids": [ids.tobytes()], "m": [_bytes(m)]})
 
     return df.withColumn("block", block.cast("long")).groupBy("block").applyInPandas(pack, "block long, ids binary, m binary")
 
@@ -82,8 +92,8 @@ def _runs(width: int, lists: int) -> list[slice]:
 
 
 def _unpack(row, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    f = lambda x: np.frombuffer(x, np.float64).reshape(-1, width)
-    return np.frombuffer(row.q_ids, np.int64), f(row.q_m), np.frombuffer(row.ids, np.int64), f(row.m)
+    q_ids, ids = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.ids, np.int64)
+    return q_ids, _array(row.q_m, len(q_ids), width), ids, _array(row.m, len(ids), width)
 
 
 def _gather(batches: Iterator[pd.DataFrame], width: int, lists: int, depth: int, k: int) -> Iterator[pd.DataFrame]:
@@ -142,9 +152,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     blocks = _packed(candidates, F.pmod(F.xxhash64("id"), F.lit(shards)), width)
     asked = _packed(asking, F.pmod(F.xxhash64("id"), F.lit(groups)), width).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
     asked = cut(asked)
-    visits = lambda a: a.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")))
     blocks = cut(blocks)
-    found = blocks.join(visits(asked), "block").mapInPandas(lambda it: _gather(it, width, lists, depth, k), "query_id long, score long")
+    visits = lambda a: blocks.hint("shuffle_replicate_nl").crossJoin(a)
+    found = visits(asked).mapInPandas(lambda it: _gather(it, width, lists, depth, k), "query_id long, score long")
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc()))
     cutoffs = found.withColumn("place", place).filter(F.col("place") <= k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("cutoff"))
     low = -(2**62)
@@ -158,8 +168,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     by_block = (
         listed.join(cutoffs, "query_id", "left").join(asked.select("q_block", "q_ids"), "q_block").groupBy("q_block").applyInPandas(attach, "q_block long, cutoff binary")
     )
-    asked = asked.join(by_block, "q_block")
-    best = blocks.join(visits(asked), "block").mapInPandas(lambda it: _resolve(it, width, lists, k), "query_id long, vec_id long, score long")
+    asked = cut(asked.join(by_block, "q_block"))
+    best = visits(asked).mapInPandas(lambda it: _resolve(it, width, lists, k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -5,6 +5,7 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +39,15 @@ def test_top_k(spark, monkeypatch, lists, depth, block):
     assert topk.top_k(df.limit(0), df).count() == 0
 
 
+def test_blocks_are_visited_where_they_lie(spark):
+    """Query blocks are not multiplied by the candidates' blocks, and so never broadcast in that form."""
+    df = spark.createDataFrame(vectors(), VECTORS)
+    plan = topk.top_k(df, df.filter("vec_id % 50 = 0"))._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate explode" not in plan
+    for m in (np.array([[-32768.0, 32767.0]]), np.array([[-32769.0, 1e12]]), np.zeros((0, 2))):
+        assert (topk._array(topk._bytes(m), len(m), 2) == m).all()
+
+
 def test_masks_lose_nothing():
     for bad in itertools.combinations(range(decontaminate.WINDOW), decontaminate.SLACK):
         assert any(not {s + o for o in m} & set(bad) for m in decontaminate.MASKS for s in range(decontaminate.WINDOW - m[-1]))
