@@ -85,3 +85,70 @@ def test_store_of_bounded_size(spark):
             everything = {r.arrival: r.is_duplicate for r in dedup.first_wins(signed).collect()}
             assert everything != want  # what has left the store is met no more
     assert evict.bounded_first_wins(signed.limit(0), 10).count() == 0
+
+
+def test_runs_of_the_bounded_store(spark, monkeypatch):
+    """A long chain of decisions costs no round each; runs that were tried from the right store are not decided again."""
+    random.seed(12)
+    base = [" ".join(random.choice("abcdefgh") * 3 + str(random.randrange(50)) for _ in range(12)) for _ in range(12)]
+    rows = [(7 * i, "t", random.choice(base) if random.random() < 0.4 else "own %d words %d of %d it" % (i, i, i), random.random() < 0.95) for i in range(600)]
+    signed = dedup.signatures(spark.createDataFrame(rows, "arrival long, title string, body string, publishable boolean"))
+    bands = {r.arrival: set(r.b) for r in signed.select("arrival", dedup.band_keys(F.col("signature")).alias("b")).collect()}
+    kept = [(k, ["0:x%d" % k] + ["%d:%032x" % (i, k) for i in range(1, 25)]) for k in range(23)]
+    asked, again = [], []
+    checkpointed, decided = evict.checkpointed, evict._marked
+    monkeypatch.setattr(evict, "checkpointed", lambda df: asked.append(1) or checkpointed(df))
+    monkeypatch.setattr(evict, "_marked", lambda *a: again.append(1) or decided(*a))
+    for given in ([], kept):
+        store, want = [set(b) for _, b in given], {}
+        del store[: evict.gone(len(given), 20)]
+        for arrival, _, _, publishable in rows:
+            want[arrival] = any(bands[arrival] & x for x in store)
+            if publishable and not want[arrival]:
+                store.append(bands[arrival])
+                if len(store) > 20:
+                    del store[:2]
+        asked.clear(), again.clear()
+        got = evict.bounded_first_wins(signed, 20, block=100, store=spark.createDataFrame(given, evict.STORE) if given else None)
+        assert {r.arrival: r.is_duplicate for r in got.collect()} == want and 20 < sum(want.values()) < 400
+        assert len(asked) == 3 and len(again) < 4
+
+
+def test_a_feed_waits_for_one_timer(monkeypatch):
+    """Timers follow the batches of a feed, not its events; each event is taken once the watermark has passed it."""
+    import pandas as pd
+
+    from newsloom.streaming import breakers
+
+    class Held(list):
+        exists = lambda self: bool(self)
+        get = lambda self: self[0] if self and self.value else iter(list(self))
+        value = False
+
+        def appendList(self, x):  # noqa: N802
+            self.extend(x)
+
+        def put(self, x):
+            self[:] = x
+
+        def update(self, x):
+            self[:], self.value = [x], True
+
+    timers = set()
+    p = breakers.BreakerProcessor(3, 10)
+    p.handle, p.waiting, p.breaker = type("H", (), {"registerTimer": staticmethod(timers.add)}), Held(), Held()
+    rows = fetches(5, 400)
+    micros = lambda t: int((t - START).total_seconds() * 1e6)
+    one = [(0, e, ts, f) for _, e, ts, f in rows]
+    list(p.handleInputRows((0,), iter([pd.DataFrame([(micros(t), e, f) for _, e, t, f in one], columns=["at", "event_id", "failed"])]), None))
+    assert len(timers) == 1
+    out, fired, end = [], 0, one[-1][2] - timedelta(minutes=5)
+    for mark in (one[100][2], one[101][2], end):
+        at = micros(mark) // 1000
+        while due := sorted(t for t in timers if t < at):
+            timers.discard(due[0])
+            fired += 1
+            for pdf in p.handleExpiredTimer((0,), type("T", (), {"getCurrentWatermarkInMs": staticmethod(lambda at=at: at)}), None):
+                out += pdf[["event_id", "at", "kind"]].astype(object).where(pdf.notna(), None).values.tolist()
+    want = [[e, micros(t), k] for _, e, t, k, *_ in breaker(one, end, 3, 10)]
+    assert sorted(map(repr, out)) == sorted(map(repr, want)) and fired < 10
