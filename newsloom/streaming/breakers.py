@@ -63,8 +63,9 @@ class BreakerProcessor(StatefulProcessor):
         for pdf in rows:
             found = [(int(at), int(e), bool(f)) for at, e, f in zip(pdf["at"], pdf["event_id"], pdf["failed"], strict=True)]
             self.waiting.appendList(found)
-            for at in {at // 1000 for at, *_ in found}:
-                self.handle.registerTimer(at)
+            # the first to be passed is enough: its timer takes all that are ready and sets the next one
+            if found:
+                self.handle.registerTimer(min(found)[0] // 1000)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -76,6 +77,8 @@ class BreakerProcessor(StatefulProcessor):
         if ready:
             rest = waiting[len(ready) :]
             self.waiting.put(rest) if rest else self.waiting.clear()
+        if waiting[len(ready) :]:
+            self.handle.registerTimer(waiting[len(ready)][0] // 1000)
         if ready or out:
             self.breaker.update((failures, new))
             if new is not None and new != until:
