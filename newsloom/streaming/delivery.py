@@ -51,7 +51,9 @@ class Producer:
         rows.write.mode("overwrite").parquet(staged)
         rows = rows.sparkSession.read.schema(rows.schema).parquet(staged)
         good = rows.filter("good").select("key", "value", "partition")
-        good.repartition(self.topic.partitions, "partition").write.mode("overwrite").option("compression", self.topic.compression).parquet(f"{self.root}/{self.topic.name}/batch={number}")
+        # several tasks a partition: as many as the batch was read by
+        parts = max(1, -(-rows.rdd.getNumPartitions() // self.topic.partitions))
+        good.repartition(self.topic.partitions * parts, "partition", F.pmod(F.xxhash64("key"), F.lit(parts))).write.mode("overwrite").option("compression", self.topic.compression).parquet(f"{self.root}/{self.topic.name}/batch={number}")
         bad = rows.filter("NOT good").select("key", "value", "error")
         bad.write.mode("overwrite").parquet(f"{self.root}/{self.dead.name}/batch={number}")
 

@@ -166,3 +166,13 @@ def test_densest_stretch(spark):
 def test_open_references_stay(spark):
     d = spark.createDataFrame([("<h1>Salt &amp;&amp</h1><p>and &copy me &copy; you &#65; &#65</p>",)], "html string")
     assert stretch.with_stretch(d).first().body == "Salt &&amp and &copy me © you A &#65"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_deliveries_are_staged_by_more_than_three_tasks(spark, tmp_path, monkeypatch):
+    from newsloom.plans import queries
+
+    monkeypatch.setattr(queries, "folder", lambda spark, name: f"{tmp_path}/{name}")
+    got = queries.delivery_report(spark, SF.replace("sf0.1", "sf0.001")).collect()
+    files = [f for f in os.listdir(f"{tmp_path}/producer/in") if f.endswith(".parquet")]
+    assert len(got) == 6 and len(files) > 3 and len(os.listdir(f"{tmp_path}/producer/staged")) == 3
