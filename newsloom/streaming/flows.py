@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.lineage import checkpointed
 from newsloom.operators import dedup
 
 
@@ -32,7 +33,8 @@ class DedupStream:
     def __call__(self, batch: DataFrame, number: int) -> None:
         """batch: arrival, title, body, publishable."""
         spark = batch.sparkSession
-        signed = dedup.signatures(batch).select("arrival", "signature", "publishable")
+        # read four times below
+        signed = checkpointed(dedup.signatures(batch).select("arrival", "signature", "publishable"))
         low = 0 if self.ttl is None else max(0, number - self.ttl)
         known = None
         if number:
@@ -40,7 +42,7 @@ class DedupStream:
         bands = signed.select("arrival", F.explode(dedup.band_keys(F.col("signature"))).alias("band"))
         seen = bands.join(known, "band", "left_semi").select("arrival").distinct() if known is not None else spark.createDataFrame([], "arrival long")
         fresh = signed.join(seen, "arrival", "left_anti")
-        decided = dedup.first_wins(fresh).unionByName(seen.select("arrival", F.lit(True).alias("is_duplicate")))
+        decided = dedup.first_wins(fresh if known is not None else signed).unionByName(seen.select("arrival", F.lit(True).alias("is_duplicate")))
         result = signed.select("arrival", "publishable").join(decided, "arrival")
         result.write.mode("overwrite").parquet(f"{self.out}/batch={number}")
         kept = spark.read.parquet(f"{self.out}/batch={number}").filter("publishable and not is_duplicate").select("arrival")
