@@ -152,3 +152,13 @@ def test_a_feed_waits_for_one_timer(monkeypatch):
                 out += pdf[["event_id", "at", "kind"]].astype(object).where(pdf.notna(), None).values.tolist()
     want = [[e, micros(t), k] for _, e, t, k, *_ in breaker(one, end, 3, 10)]
     assert sorted(map(repr, out)) == sorted(map(repr, want)) and fired < 10
+
+
+def test_signatures_take_few_words_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(dedup, "WORDS", 5)
+    lists = [["a"] * n for n in (3, 2, 1, 9, 0, 0, 4, 1, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(lists)], names=["arrival", "words"])
+    parts = list(dedup._parts(batch.slice(1)))
+    assert [x for p in parts for x in p.column(1).to_pylist()] == lists[1:] and [p.num_rows for p in parts] == [2, 1, 4, 1]
