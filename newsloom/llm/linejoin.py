@@ -309,13 +309,15 @@ def _links(texts: DataFrame, nodes: DataFrame, rows: DataFrame, edits: int, crow
         rows = cut(dealt.mapInArrow(lambda it, parts=parts: _finer(it, edits, parts), "key long, node long, probe boolean, gaps long"))
         spent.append(rows)
     classes = components(links)
-    more = []
+    # lines near in distance from the hub lie in one or two cells of this width
+    wide, more = 2 * edits + 1, []
     for away in left:
         away = away.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        free = away.filter("free").select("key", F.col("node").alias("x"), F.col("probe").alias("probe_x"), F.col("component").alias("component_x"), F.col("gaps").alias("gaps_x"), F.explode(F.sequence(F.col("far") - edits, F.col("far") + edits)).alias("far"))
+        free = away.filter("free").select("key", F.col("node").alias("x"), F.col("probe").alias("probe_x"), F.col("component").alias("component_x"), F.col("gaps").alias("gaps_x"), F.col("far").alias("far_x"), F.explode(F.sequence(F.expr(f"(far - {edits}) div {wide}"), F.expr(f"(far + {edits}) div {wide}"))).alias("cell"))
         differ = F.col("gaps").bitwiseXOR(F.col("gaps_x"))
         apart = (F.col("gaps") == 0) | ((differ.bitwiseAND(F.lit(0xFFFFFFFF)) != 0) & (F.shiftrightunsigned(differ, 32) != 0))
-        both = free.join(away, ["key", "far"]).filter((F.col("component") != F.col("component_x")) & ~(F.col("probe") & F.col("probe_x")) & apart)
+        near = F.abs(F.col("far") - F.col("far_x")) <= edits
+        both = free.join(away.withColumn("cell", F.expr(f"far div {wide}")), ["key", "cell"]).filter(near & (F.col("component") != F.col("component_x")) & ~(F.col("probe") & F.col("probe_x")) & apart)
         more.append(both.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")))
     pairs = more[0]
     for x in more[1:]:
