@@ -14,7 +14,10 @@ cannot be close; and lines of one component already need no more. Where a key ke
 than CROWD lines that its hub does not settle (the variants of a much copied line), its
 lines are cut again, finer (FINER): of m segments, all but e are unchanged in a close line,
 so a key is the whole line but for e segments, with every shift of the parts between that
-e edits allow. Other pairs of a key are measured with each other.
+e edits allow. Other pairs of a key are measured with each other, if their prints may be those of
+close lines. A print holds, for each length of GRAMS, the parities of the line's byte strings of that length
+in PRINT bits by hash: an edit takes away at most q strings of q bytes and adds as many, so it
+turns over no more than 2 * q bits of theirs.
 
 Classes are connected components; the first line of a class (by doc_id, then line number)
 stays and the others go. Lines under PER_EDIT bytes are in a class only with their copies;
@@ -30,7 +33,9 @@ read by `removals`, and `drop_lines` passes other columns on.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, product
+from operator import add, and_
 
 import numpy as np
 import pandas as pd
@@ -53,6 +58,10 @@ CROWD = 8
 #: A crowded line has some hundreds of keys.
 LINES_A_TASK = 256
 SEEN = 500_000
+#: Lengths of byte strings whose parities a print holds, and the bits for each, a multiple of 64.
+GRAMS = (1, 2, 3)
+PRINT = 128
+_WORDS = [f"print_{i}" for i in range(len(GRAMS) * PRINT // 64)]
 
 _U = np.uint64
 
@@ -173,6 +182,20 @@ def _finer(batches: Iterator[pa.RecordBatch], edits: int, parts: int) -> Iterato
                 yield pa.RecordBatch.from_arrays([pa.array(ts.signed(key[some])), rows.column("node").take(pa.array(owner[some])), pa.array(probe[some]), pa.array(ts.signed(gaps[some]))], names=["key", "node", "probe", "gaps"])
 
 
+def prints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each line PRINT bits for each of GRAMS, as rows of 64-bit words."""
+    out = np.zeros((len(starts), len(GRAMS), PRINT), np.uint8)
+    grams = np.zeros(len(data), np.uint64)
+    for q in range(1, max(GRAMS) + 1):
+        n = max(len(data) - q + 1, 0)
+        grams = grams[:n] << _U(8) | data[q - 1 : q - 1 + n]
+        if q in GRAMS:
+            place = (ts.mix(grams + _U(q << 32)) % _U(PRINT)).astype(np.int64)
+            for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+                out[i, GRAMS.index(q)] = np.bincount(place[a : max(b - q + 1, a)], minlength=PRINT) & 1
+    return np.packbits(out.reshape(len(starts), -1), axis=1, bitorder="little").view(np.int64)
+
+
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, at in ts.pieces(batch):
@@ -182,8 +205,12 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of = np.repeat(np.arange(len(rows)), np.diff(np.asarray(wanted.offsets)))
             place = off[of] + np.asarray(flat.field("line"))
             yield pa.RecordBatch.from_arrays(
-                [flat.field("node"), pa.array([data[a:b].tobytes() for a, b in zip(starts[place], ends[place], strict=True)], pa.binary())], names=["node", "body"]
-            )
+                [
+                    flat.field("node"), pa.array([data[a:b].tobytes() for a, b in zip(starts[place], ends[place], strict=True)], pa.binary()),
+                    *(pa.array(x) for x in prints(data, starts[place], ends[place]).T),
+                ],
+                names=["node", "body", *_WORDS],
+            )
 
 
 def trimmed(a: bytes, b: bytes, keep: int) -> tuple[bytes, bytes]:
@@ -285,7 +312,7 @@ def _links(texts: DataFrame, nodes: DataFrame, rows: DataFrame, edits: int, crow
         if bodies is None:
             ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
             wanted = cut(ends.join(nodes, "node").groupBy("first.doc_id").agg(F.collect_list(F.struct("first.line", "node")).alias("wanted")))
-            bodies = cut(texts.join(wanted.hint("merge"), "doc_id").select("text", "wanted").mapInArrow(_bodies, "node long, body binary").dropDuplicates(["node"]))
+            bodies = cut(texts.join(wanted.hint("merge"), "doc_id").select("text", "wanted").mapInArrow(_bodies, "node long, body binary, " + ", ".join(f"{x} long" for x in _WORDS)).dropDuplicates(["node"]))
             spent += [wanted, bodies]
         stars = measured(pairs)
         found = stars.filter("close").select("a", "b")
@@ -305,19 +332,21 @@ def _links(texts: DataFrame, nodes: DataFrame, rows: DataFrame, edits: int, crow
         some = again.count()
         if not some:
             break
-        dealt = bodies.join(narrow(again), "node").repartition(-(-some // LINES_A_TASK), "node")
+        dealt = bodies.select("node", "body").join(narrow(again), "node").repartition(-(-some // LINES_A_TASK), "node")
         rows = cut(dealt.mapInArrow(lambda it, parts=parts: _finer(it, edits, parts), "key long, node long, probe boolean, gaps long"))
         spent.append(rows)
     classes = components(links)
     # lines near in distance from the hub lie in one or two cells of this width
     wide, more = 2 * edits + 1, []
+    flips = [reduce(add, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_x"))) for w in _WORDS[i : i + PRINT // 64]]) for i in range(0, len(_WORDS), PRINT // 64)]
+    alike = reduce(and_, [x <= 2 * q * edits for q, x in zip(GRAMS, flips, strict=True)])
     for away in left:
-        away = away.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        free = away.filter("free").select("key", F.col("node").alias("x"), F.col("probe").alias("probe_x"), F.col("component").alias("component_x"), F.col("gaps").alias("gaps_x"), F.col("far").alias("far_x"), F.explode(F.sequence(F.expr(f"(far - {edits}) div {wide}"), F.expr(f"(far + {edits}) div {wide}"))).alias("cell"))
+        away = away.join(bodies.drop("body"), "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        free = away.filter("free").select("key", F.col("node").alias("x"), F.col("probe").alias("probe_x"), F.col("component").alias("component_x"), F.col("gaps").alias("gaps_x"), F.col("far").alias("far_x"), *[F.col(w).alias(f"{w}_x") for w in _WORDS], F.explode(F.sequence(F.expr(f"(far - {edits}) div {wide}"), F.expr(f"(far + {edits}) div {wide}"))).alias("cell"))
         differ = F.col("gaps").bitwiseXOR(F.col("gaps_x"))
         apart = (F.col("gaps") == 0) | ((differ.bitwiseAND(F.lit(0xFFFFFFFF)) != 0) & (F.shiftrightunsigned(differ, 32) != 0))
         near = F.abs(F.col("far") - F.col("far_x")) <= edits
-        both = free.join(away.withColumn("cell", F.expr(f"far div {wide}")), ["key", "cell"]).filter(near & (F.col("component") != F.col("component_x")) & ~(F.col("probe") & F.col("probe_x")) & apart)
+        both = free.join(away.withColumn("cell", F.expr(f"far div {wide}")), ["key", "cell"]).filter(near & (F.col("component") != F.col("component_x")) & ~(F.col("probe") & F.col("probe_x")) & apart & alike)
         more.append(both.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")))
     pairs = more[0]
     for x in more[1:]:
