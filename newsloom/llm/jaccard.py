@@ -20,7 +20,8 @@ two bitmaps differ are at most as many as the shingles in which the sets differ,
 pair that differs in too many bits is not linked, and only other pairs are compared, exactly and on
 whole sets. Sets of one component need no more, and two sets whose bitmaps differ from the
 hub's by counts too far apart cannot be linked. Sets that share a key share its hub, so the other pairs meet at
-their hubs, however many keys they share. Those leave the join whose bitmaps of SCREEN bits may be linked, each at the
+their hubs, however many keys they share. First some members near the hub (PIVOTS) meet all others, as that joins most that are linked at all.
+Those leave the join whose components still differ and whose bitmaps, of SCREEN bits and of some bits for each shingle, may be linked, each at the
 smallest hub that it has in common only; they go through the same two steps. So what a crowd of sets that are alike but not linked (the variants of
 one much copied text) sends on is the pairs near the threshold, though the join itself looks at each pair that
 shares a hub and is not told apart by it. Of these pairs, the nearest of each two components is compared
@@ -57,11 +58,13 @@ _U = np.uint64
 SEEN = 300_000
 NEEDED_ROWS = 400_000
 #: Of a bitmap, in powers of 2. Sets of one key differ in size by a factor of 4 at most, if percent is 50 or more.
-LEAST_BITS, MOST_BITS = 64, 16_384
+LEAST_BITS, MOST_BITS = 1_024, 65_536
 #: Bits of the bitmap that a join compares, a multiple of 64.
 SCREEN = 256
 #: Times that only the nearest pair of two components is compared, before all that are left are.
 ROUNDS = 1
+#: Members of a hub, the nearest to it of each share of them, that are held against all others of it first.
+PIVOTS = 4
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,15 +191,18 @@ def folded(bitmap: bytes, n: int) -> int:
 
 
 def _screen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """far: a lower bound of the shingles in which a and b differ; gap: one that is alike for all b near a in size."""
+    """far: a lower bound of the shingles in which a and b differ; gap: one that is alike for all b near a in size;
+    bits: the bitmap of b, as long for all such b that are not under half as large as a, else null."""
     for pdf in batches:
-        far, gap = [], []
+        far, gap, bits = [], [], []
         for a, b in zip(pdf["parity_a"], pdf["parity_b"], strict=True):
             n = min(len(a), len(b))
             far.append((folded(a, n) ^ folded(b, n)).bit_count())
             n = max(LEAST_BITS // 8, len(a) // 4)
             gap.append((folded(a, n) ^ folded(b, n)).bit_count())
-        yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "n_a": pdf["n_a"], "n_b": pdf["n_b"], "far": far, "gap": gap})
+            n = max(LEAST_BITS // 8, len(a) // 2)
+            bits.append(np.frombuffer(folded(b, n).to_bytes(n, "little"), np.int64) if len(b) >= n else None)
+        yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "n_a": pdf["n_a"], "n_b": pdf["n_b"], "far": far, "gap": gap, "bits": bits})
 
 
 def _nodes(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -289,7 +295,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     def screened(pairs: DataFrame) -> DataFrame:
         side = lambda x: bitmaps.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}"))
-        out = pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_screen, "a long, b long, n_a long, n_b long, far long, gap long")
+        out = pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_screen, "a long, b long, n_a long, n_b long, far long, gap long, bits array<long>")
         least = F.greatest("far", F.abs(F.col("n_a") - F.col("n_b")))
         return cut(out.withColumn("maybe", (100 + percent) * least <= (100 - percent) * (F.col("n_a") + F.col("n_b"))))
 
@@ -315,7 +321,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         known = links.select("a", "b", F.lit(False).alias("free"))
         width = F.expr(f"n_a * {100 - percent} div {percent} + 1")
         out = stars.join(known, ["a", "b"], "left")
-        return cut(out.select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("n_b").alias("n"), "gap", F.coalesce("free", F.lit(True)).alias("free"), width.alias("width")))
+        return cut(out.select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("n_b").alias("n"), "gap", "bits", F.coalesce("free", F.lit(True)).alias("free"), width.alias("width")))
 
     stars = screened(pairs)
     links = linked(stars)
@@ -328,21 +334,35 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     # each member's hubs, and what the join compares
     words = [f"word_{i}" for i in range(SCREEN // 64)]
     own = away.groupBy("node").agg(F.collect_set("key").alias("keys")).join(bitmaps.select("node", *[F.col("screen")[i].alias(w) for i, w in enumerate(words)]), "node")
-    classes = components(links)
     reach = F.expr(f"n * {100 - percent} div {percent}")  # of a partner of this size, if it has one
     cells = F.sequence(F.expr("floor((gap - reach) / width)"), F.expr("floor((gap + reach) / width)"))
     apart = F.greatest(F.abs(F.col("gap") - F.col("gap_x")), F.abs(F.col("n") - F.col("n_x")))
-    away = cut(away.join(own, "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("cell", F.expr("gap div width")))
-    given = [F.col(c).alias(f"{c}_x") for c in ("n", "gap", "component", "keys", *words)]
-    free = away.filter("free").withColumn("reach", reach).select("key", F.col("node").alias("x"), *given, F.explode(cells).alias("cell"))
-    bits = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_x"))) for w in words[1:]), F.bit_count(F.col(words[0]).bitwiseXOR(F.col(f"{words[0]}_x"))))
+    away = cut(away.join(own, "node").withColumn("cell", F.expr("gap div width")))
+    given = [F.col(c).alias(f"{c}_x") for c in ("n", "gap", "component", "keys", "bits", *words)]
+    differ = lambda a, b: F.bit_count(a.bitwiseXOR(b))
+    few = sum((differ(F.col(w), F.col(f"{w}_x")) for w in words[1:]), differ(F.col(words[0]), F.col(f"{words[0]}_x")))
+    many = F.coalesce(F.aggregate(F.zip_with("bits", "bits_x", differ), F.lit(0), lambda total, x: total + x), F.lit(0))
     bound = lambda far: (100 + percent) * far <= (100 - percent) * (F.col("n") + F.col("n_x"))
+    # the long bitmaps are compared for what the others leave
+    near = (F.col("component") != F.col("component_x")) & bound(few) & bound(apart) & F.when(bound(few) & bound(apart), bound(many))
+    classed = lambda classes: away.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ordered = (F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
+
+    # members that are near the hub are linked with many others, so that these need not meet each other
+    own = classed(components(links))
+    pivots = away.groupBy("key", F.pmod("node", F.lit(PIVOTS)).alias("share")).agg(F.min(F.struct("gap", "node")).alias("p")).select("key", F.col("p.node").alias("node"))
+    pivots = own.join(pivots, ["key", "node"]).select("key", F.col("node").alias("x"), *given)
+    first = screened(pivots.join(own, "key").filter(near).select(*ordered).distinct())
+    spent.append(first)
+    links = links.union(linked(first))
+
+    classes = components(links)
+    own = classed(classes)
+    free = own.filter("free").withColumn("reach", reach).select("key", F.col("node").alias("x"), *given, F.explode(cells).alias("cell"))
     # two that are both free meet once
     once = (F.col("x") < F.col("node")) | ~F.col("free")
-    both = free.join(away, ["key", "cell"]).filter(
-        once & (F.col("component") != F.col("component_x")) & bound(bits) & bound(apart) & (F.array_min(F.array_intersect("keys", "keys_x")) == F.col("key"))
-    )
-    pairs = both.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
+    both = free.join(own, ["key", "cell"]).filter(once & near & (F.array_min(F.array_intersect("keys", "keys_x")) == F.col("key")))
+    pairs = both.select(*ordered)
     rest = screened(pairs.distinct())
     # of two components, the nearest pair first: if it is linked, the others need no comparing
     of = lambda x: classes.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from newsloom.llm import linejoin
+from newsloom.llm import jaccard, linejoin
 from tests.llm import brute
 
 
@@ -56,3 +56,33 @@ def test_prints_bound_edits():
     flips = np.bitwise_count(words[::2] ^ words[1::2]).reshape(len(words) // 2, len(linejoin.GRAMS), step).sum(axis=2)
     far = np.array([brute.edit_distance(a, b) for a, b in zip(lines[::2], lines[1::2], strict=True)])
     assert (flips <= 2 * far[:, None] * np.array(linejoin.GRAMS)).all() and flips.max() > 0
+
+
+def test_long_texts_that_share_passages_are_not_compared(spark, monkeypatch):
+    r = random.Random(5)
+    base = [f"v{r.randrange(3000)}" for _ in range(1600)]
+    rows = []
+    for k in range(40):
+        at = r.randrange(900)
+        rows.append((k, " ".join(base[:at] + [f"own{k}x{i}" for i in range(700)] + base[at + 700 :])))
+    rows += [(100 + k, rows[k][1] + " end") for k in range(0, 40, 10)]
+    screened = counted(monkeypatch, jaccard, ["a", "b", "n_a", "n_b", "far"])
+    got = sorted(map(tuple, jaccard.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()))
+    assert got == brute.near_groups(rows, 5, 80)
+    assert sum(d != c for d, _, c in got) == 4
+    assert sum(screened[1:]) < 2 * len(rows)
+
+
+def test_members_near_the_hub_join_the_others_first(spark, monkeypatch):
+    r = random.Random(6)
+    base = [f"v{r.randrange(3000)}" for _ in range(150)]
+    rows = []
+    for k in range(150):
+        w = base[:]
+        for at in r.sample(range(150), r.choice([1, 2, 2, 3])):
+            w[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(w)))
+    screened = counted(monkeypatch, jaccard, ["a", "b", "n_a", "n_b", "far"])
+    got = sorted(map(tuple, jaccard.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()))
+    assert got == brute.near_groups(rows, 3, 90)
+    assert screened[-1] < len(rows)
