@@ -24,8 +24,8 @@ their hubs, however many keys they share. First some members near the hub (PIVOT
 Those leave the join whose components still differ and whose bitmaps, of SCREEN bits and of some bits for each shingle, may be linked, each at the
 smallest hub that it has in common only; they go through the same two steps. So what a crowd of sets that are alike but not linked (the variants of
 one much copied text) sends on is the pairs near the threshold, though the join itself looks at each pair that
-shares a hub and is not told apart by it. Of these pairs, the nearest of each two components is compared
-first, as one link makes the others needless.
+shares a hub and is not told apart by it. If these pairs are many, the nearest of each two components is compared
+first, as one link makes the others needless. New links join the components there are.
 
 A node is a distinct set, so copies cost nothing after the first in each task.
 
@@ -61,8 +61,8 @@ NEEDED_ROWS = 400_000
 LEAST_BITS, MOST_BITS = 1_024, 65_536
 #: Bits of the bitmap that a join compares, a multiple of 64.
 SCREEN = 256
-#: Times that only the nearest pair of two components is compared, before all that are left are.
-ROUNDS = 1
+#: Times that only the nearest pair of two components is compared, before all that are left are; none if those are FEW at most.
+ROUNDS, FEW = 1, 20_000
 #: Members of a hub, the nearest to it of each share of them, that are held against all others of it first.
 PIVOTS = 4
 
@@ -331,9 +331,9 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     several = crowded(away, "true", 1)
     spent += [several, away]
     away = away.join(narrow(several), "key", "left_semi")
-    # each member's hubs, and what the join compares
+    # each member's hubs, the first that it is linked with, and what the join compares
     words = [f"word_{i}" for i in range(SCREEN // 64)]
-    own = away.groupBy("node").agg(F.collect_set("key").alias("keys")).join(bitmaps.select("node", *[F.col("screen")[i].alias(w) for i, w in enumerate(words)]), "node")
+    own = away.groupBy("node").agg(F.collect_set("key").alias("keys"), F.min(F.when(~F.col("free"), F.col("key"))).alias("linked")).join(bitmaps.select("node", *[F.col("screen")[i].alias(w) for i, w in enumerate(words)]), "node")
     reach = F.expr(f"n * {100 - percent} div {percent}")  # of a partner of this size, if it has one
     cells = F.sequence(F.expr("floor((gap - reach) / width)"), F.expr("floor((gap + reach) / width)"))
     apart = F.greatest(F.abs(F.col("gap") - F.col("gap_x")), F.abs(F.col("n") - F.col("n_x")))
@@ -349,10 +349,10 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     ordered = (F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
 
     # members that are near the hub are linked with many others, so that these need not meet each other
-    own = classed(components(links))
+    own = away.withColumn("component", F.coalesce("linked", "node"))
     pivots = away.groupBy("key", F.pmod("node", F.lit(PIVOTS)).alias("share")).agg(F.min(F.struct("gap", "node")).alias("p")).select("key", F.col("p.node").alias("node"))
-    pivots = own.join(pivots, ["key", "node"]).select("key", F.col("node").alias("x"), *given)
-    first = screened(pivots.join(own, "key").filter(near).select(*ordered).distinct())
+    pivots = own.join(pivots, ["key", "node"]).select("key", F.col("node").alias("x"), F.col("free").alias("free_x"), *given)
+    first = screened(pivots.join(own, "key").filter(near & (F.col("free") | F.col("free_x"))).select(*ordered).distinct())
     spent.append(first)
     links = links.union(linked(first))
 
@@ -367,15 +367,19 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     # of two components, the nearest pair first: if it is linked, the others need no comparing
     of = lambda x: classes.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
     left = rest.filter("maybe")
-    for last in (False,) * ROUNDS + (True,):
+    rounds = 0 if left.count() <= FEW else ROUNDS
+    for last in (False,) * rounds + (True,):
         side = lambda x: F.coalesce(f"of_{x}", x)
         left = left.select("a", "b", "far", "maybe").join(of("a"), "a", "left").join(of("b"), "b", "left")
         left = left.withColumn("low", F.least(side("a"), side("b"))).withColumn("high", F.greatest(side("a"), side("b"))).filter("low <> high")
         left = cut(left.select("a", "b", "far", "maybe", "low", "high"))
         spent.append(left)
+        if not left.count():
+            break
         first = left if last else left.groupBy("low", "high").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b", F.lit(True).alias("maybe"))
-        links = links.union(linked(first))
-        classes = components(links)
+        found = linked(first)
+        if found.count():
+            classes = components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
     groups = classes
     discard(*spent, members, stars, away, rest)
     grouped = groups.join(nodes, "node")

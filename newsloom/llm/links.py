@@ -5,37 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.durable import cut_with, discard
+from newsloom.llm.durable import cut, discard
 
 
-def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """edges, written, and what tells whether a round has changed them."""
-    out, seen = cut_with(edges, n=F.count(F.lit(1)), digest=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
-    return out, (seen["n"], seen["digest"])
+def _stars(edges: DataFrame) -> bool:
+    """Whether no larger end of edges(a, b) has another edge: then each component is a star around its smallest node."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("larger")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("larger")))
+    seen = ends.groupBy("node").agg(F.sum("larger").alias("larger"), F.count_if(F.col("larger") == 0).alias("smaller"))
+    return not seen.filter("larger > 1 OR larger = 1 AND smaller > 0").count()
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest member) for each end of links(a, b).
 
-    Alternates two rewritings until nothing changes: every node hands its larger
+    Alternates two rewritings until the links are stars: every node hands its larger
     neighbours to its smallest one, then its smaller neighbours and itself. The
-    links end as stars; the number of rounds follows the logarithm of a
-    component's size. Each round is two partial minima and two joins on a node,
+    number of rounds follows the logarithm of a component's size; links that are stars
+    need none. Each round is two partial minima and two joins on a node,
     which adaptive execution splits where a node has many links.
     """
-    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    edges, state = _kept(edges)
-    while state[0]:
+    edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         stars = small.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        last, before = edges, state
-        edges, state = _kept(stars.filter("a <> b").distinct())
+        last, edges = edges, cut(stars.filter("a <> b").distinct())
         discard(last)
-        if state == before:
-            break
     tops = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(tops)

@@ -3,8 +3,11 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import DataFrameWriter
 
 from newsloom.llm import jaccard, linejoin
+from newsloom.llm.links import components
 from tests.llm import brute
 
 
@@ -86,3 +89,38 @@ def test_members_near_the_hub_join_the_others_first(spark, monkeypatch):
     got = sorted(map(tuple, jaccard.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()))
     assert got == brute.near_groups(rows, 3, 90)
     assert screened[-1] < len(rows)
+
+
+def writes(monkeypatch):
+    """What is written from now on."""
+    seen, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **b: (seen.append(path), write(self, path, *a, **b))[1])
+    return seen
+
+
+def test_links_that_are_stars_need_no_round(spark, monkeypatch):
+    seen = writes(monkeypatch)
+    links = [(top, top + k) for top in (10, 50, 90) for k in range(1, 9)]
+    got = set(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert got == {(x, top) for top, node in links for x in (top, node)} and len(seen) == 1
+    got = set(map(tuple, components(spark.createDataFrame([*links, (18, 51)], "a long, b long")).collect()))
+    assert {top for _, top in got} == {10, 90}
+
+
+@pytest.mark.parametrize("few, most", [(jaccard.FEW, 28), (0, 30)])
+def test_steps_that_link_nothing_are_left_out(spark, monkeypatch, few, most):
+    """Each step has plans and tasks that the driver keeps."""
+    monkeypatch.setattr(jaccard, "FEW", few)
+    r = random.Random(7)
+    base = [f"v{r.randrange(3000)}" for _ in range(150)]
+    rows = []
+    for k in range(120):
+        w = base[:]
+        for at in r.sample(range(150), r.choice([1, 2, 3, 3])):
+            w[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = writes(monkeypatch)
+    got = sorted(map(tuple, jaccard.near_groups(docs, 3, 90).collect()))
+    assert got == brute.near_groups(rows, 3, 90)
+    assert len(seen) <= most
