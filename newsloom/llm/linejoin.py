@@ -40,7 +40,7 @@ from operator import add, and_
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm import textscan as ts
@@ -197,13 +197,18 @@ def prints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wanted lines; of rows that repeat the doc_id before them, none."""
+    last = None
     for batch in batches:
         for rows, data, at in ts.pieces(batch):
             starts, ends, off = lines(data, at)
+            doc = rows.column("doc_id").to_numpy()
+            fresh = np.concatenate(([doc[0] != last], doc[1:] != doc[:-1]))
+            last = doc[-1]
             wanted = rows.column("wanted")
-            flat = wanted.flatten()
             of = np.repeat(np.arange(len(rows)), np.diff(np.asarray(wanted.offsets)))
-            place = off[of] + np.asarray(flat.field("line"))
+            flat = wanted.flatten().filter(pa.array(fresh[of]))
+            place = off[of[fresh[of]]] + np.asarray(flat.field("line"))
             yield pa.RecordBatch.from_arrays(
                 [
                     flat.field("node"), pa.array([data[a:b].tobytes() for a, b in zip(starts[place], ends[place], strict=True)], pa.binary()),
@@ -288,45 +293,64 @@ def _banded(rows: np.ndarray, m: np.ndarray, columns: np.ndarray, n: np.ndarray,
     return score
 
 
+def _flips(x: str, y: str) -> list[Column]:
+    """For each of GRAMS the bits that differ between the prints in columns of these endings."""
+    differ = [F.bit_count(F.col(f"{w}{x}").bitwiseXOR(F.col(f"{w}{y}"))) for w in _WORDS]
+    return [reduce(add, differ[i : i + PRINT // 64]) for i in range(0, len(differ), PRINT // 64)]
+
+
+def _within(edits: int, x: str, y: str) -> Column:
+    """Whether the prints may be those of lines so many edits apart."""
+    return reduce(and_, [n <= 2 * q * edits for q, n in zip(GRAMS, _flips(x, y), strict=True)])
+
+
 def _measure(batches: Iterator[pd.DataFrame], cap: int, edits: int) -> Iterator[pd.DataFrame]:
+    """Each pair's distance, above cap where bodies are null, and whether it is close; further columns are kept."""
     for pdf in batches:
-        far = distances(list(zip(pdf["body_a"], pdf["body_b"], strict=True)), cap)
-        shorter = np.array([min(len(a), len(b)) for a, b in zip(pdf["body_a"], pdf["body_b"], strict=True)], np.int64)
-        yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "far": far, "close": far <= allowed(shorter, edits)})
+        on = np.flatnonzero(pdf["body_a"].notna())
+        pairs = list(zip(pdf["body_a"].iloc[on], pdf["body_b"].iloc[on], strict=True))
+        far, shorter = np.full(len(pdf), cap + 1), np.zeros(len(pdf), np.int64)
+        far[on] = distances(pairs, cap)
+        shorter[on] = [min(len(a), len(b)) for a, b in pairs]
+        kept = pdf.drop(columns=["a", "b", "body_a", "body_b"])
+        yield pd.concat([pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "far": far, "close": far <= allowed(shorter, edits)}), kept], axis=1)
 
 
-def _links(texts: DataFrame, nodes: DataFrame, rows: DataFrame, edits: int, crowd: int, finer: tuple[int, ...]) -> DataFrame:
-    """a, b: close lines, enough of them that their components are those of all close lines."""
+def _classes(texts: DataFrame, nodes: DataFrame, rows: DataFrame, edits: int, crowd: int, finer: tuple[int, ...]) -> DataFrame:
+    """node, component: the components of all close lines, from enough of their links."""
     cap = 3 * edits
-    bodies, spent, links, left = None, [], None, []
+    bodies, spent, links, left, known = None, [], None, [], []
 
     def measured(pairs: DataFrame) -> DataFrame:
-        a = bodies.select(F.col("node").alias("a"), F.col("body").alias("body_a"))
-        b = bodies.select(F.col("node").alias("b"), F.col("body").alias("body_b"))
-        sides = pairs.join(a, "a").join(b, "b").select("a", "b", "body_a", "body_b")
-        return cut(sides.mapInPandas(lambda it: _measure(it, cap, edits), "a long, b long, far int, close boolean"))
+        """a, b, far, close and the pairs' further columns, which are longs. Only pairs whose prints may be those of lines within cap are measured."""
+        side = lambda x: bodies.select(F.col("node").alias(x), F.col("body").alias(f"body_{x}"), *[F.col(w).alias(f"{w}_{x}") for w in _WORDS])
+        kept = [c for c in pairs.columns if c not in ("a", "b")]
+        maybe = _within(cap, "_a", "_b")
+        sides = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[F.when(maybe, F.col(c)).alias(c) for c in ("body_a", "body_b")], *kept)
+        return cut(sides.mapInPandas(lambda it: _measure(it, cap, edits), ", ".join(["a long, b long, far int, close boolean", *(f"{c} long" for c in kept)])))
 
     for parts in (*finer, 0):
         members = live(rows)
-        pairs = cut(members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+        pairs = members.select(F.col("hub").alias("a"), F.col("node").alias("b"))
         if bodies is None:
             ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-            wanted = cut(ends.join(nodes, "node").groupBy("first.doc_id").agg(F.collect_list(F.struct("first.line", "node")).alias("wanted")))
-            bodies = cut(texts.join(wanted.hint("merge"), "doc_id").select("text", "wanted").mapInArrow(_bodies, "node long, body binary, " + ", ".join(f"{x} long" for x in _WORDS)).dropDuplicates(["node"]))
-            spent += [wanted, bodies]
-        stars = measured(pairs)
+            wanted = ends.join(nodes, "node").groupBy("first.doc_id").agg(F.collect_list(F.struct("first.line", "node")).alias("wanted"))
+            bodies = cut(texts.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(_bodies, "node long, body binary, " + ", ".join(f"{x} long" for x in _WORDS)))
+            spent.append(bodies)
+        stars = measured(pairs.distinct())
         found = stars.filter("close").select("a", "b")
         links = found if links is None else links.union(found)
-        away = members.join(stars.select(F.col("a").alias("hub"), F.col("b").alias("node"), "far", (~F.col("close")).alias("free")), ["hub", "node"])
-        away = cut(away)
-        spent += [members, pairs, stars, away]
+        spent += [members, stars]
+        members = members.withColumn("parts", F.lit(parts))
+        known.append(stars.select(F.lit(parts).alias("parts"), F.col("a").alias("hub"), F.col("b").alias("node"), "far", (~F.col("close")).alias("free")))
         if not parts:
-            left.append(away)
+            left.append(members)
             break
-        full = crowded(away, "free", crowd)
+        full = crowded(members.join(known[-1], ["hub", "node"]), "free", crowd)
         spent.append(full)
-        left.append(away.join(narrow(full), "key", "left_anti"))
-        again = away.join(narrow(full), "key", "left_semi")
+        few = narrow(full)
+        left.append(members.join(few, "key", "left_anti"))
+        again = members.join(few, "key", "left_semi")
         again = cut(again.select("node").union(again.select("hub")).distinct())
         spent.append(again)
         some = again.count()
@@ -337,23 +361,26 @@ def _links(texts: DataFrame, nodes: DataFrame, rows: DataFrame, edits: int, crow
         spent.append(rows)
     classes = components(links)
     # lines near in distance from the hub lie in one or two cells of this width
-    wide, more = 2 * edits + 1, []
-    flips = [reduce(add, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_x"))) for w in _WORDS[i : i + PRINT // 64]]) for i in range(0, len(_WORDS), PRINT // 64)]
-    alike = reduce(and_, [x <= 2 * q * edits for q, x in zip(GRAMS, flips, strict=True)])
-    for away in left:
-        away = away.join(bodies.drop("body"), "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        free = away.filter("free").select("key", F.col("node").alias("x"), F.col("probe").alias("probe_x"), F.col("component").alias("component_x"), F.col("gaps").alias("gaps_x"), F.col("far").alias("far_x"), *[F.col(w).alias(f"{w}_x") for w in _WORDS], F.explode(F.sequence(F.expr(f"(far - {edits}) div {wide}"), F.expr(f"(far + {edits}) div {wide}"))).alias("cell"))
-        differ = F.col("gaps").bitwiseXOR(F.col("gaps_x"))
-        apart = (F.col("gaps") == 0) | ((differ.bitwiseAND(F.lit(0xFFFFFFFF)) != 0) & (F.shiftrightunsigned(differ, 32) != 0))
-        near = F.abs(F.col("far") - F.col("far_x")) <= edits
-        both = free.join(away.withColumn("cell", F.expr(f"far div {wide}")), ["key", "cell"]).filter(near & (F.col("component") != F.col("component_x")) & ~(F.col("probe") & F.col("probe_x")) & apart & alike)
-        more.append(both.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")))
-    pairs = more[0]
-    for x in more[1:]:
-        pairs = pairs.union(x)
-    links = cut(links.union(measured(pairs.distinct()).filter("close").select("a", "b")))
+    wide = 2 * edits + 1
+    # keys of all cuts meet in one join
+    away = reduce(DataFrame.unionByName, left).join(reduce(DataFrame.unionByName, known), ["parts", "hub", "node"]).join(bodies.drop("body"), "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    away = cut(away)
+    spent.append(away)
+    given = [F.col(c).alias(f"{c}_x") for c in ("probe", "component", "gaps", "far", *_WORDS)]
+    free = away.filter("free").select("parts", "key", F.col("node").alias("x"), *given, F.explode(F.sequence(F.expr(f"(far - {edits}) div {wide}"), F.expr(f"(far + {edits}) div {wide}"))).alias("cell"))
+    differ = F.col("gaps").bitwiseXOR(F.col("gaps_x"))
+    apart = (F.col("gaps") == 0) | ((differ.bitwiseAND(F.lit(0xFFFFFFFF)) != 0) & (F.shiftrightunsigned(differ, 32) != 0))
+    near = F.abs(F.col("far") - F.col("far_x")) <= edits
+    both = free.join(away.withColumn("cell", F.expr(f"far div {wide}")), ["parts", "key", "cell"]).filter(near & (F.col("component") != F.col("component_x")) & ~(F.col("probe") & F.col("probe_x")) & apart & _within(edits, "", "_x"))
+    ends = [F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"), F.least("component", "component_x").alias("low"), F.greatest("component", "component_x").alias("high")]
+    rest = measured(both.select(*ends).distinct())
+    spent.append(rest)
+    # what is found now links whole components; a line without links is one itself
+    joined = components(rest.filter("close").select(F.col("low").alias("a"), F.col("high").alias("b")))
+    above = joined.select(F.col("node").alias("component"), F.col("component").alias("above"))
+    out = classes.join(narrow(above), "component", "left").select("node", F.coalesce("above", "component").alias("component"))
     discard(*spent)
-    return links
+    return out.unionByName(joined).dropDuplicates(["node"])
 
 
 def removals(docs: DataFrame, edits: int = EDITS, least: int = MIN_BYTES, crowd: int = CROWD, finer: tuple[int, ...] = FINER) -> DataFrame:
@@ -363,14 +390,14 @@ def removals(docs: DataFrame, edits: int = EDITS, least: int = MIN_BYTES, crowd:
     slim = cut(read.select("doc_id", "line", "node", "size"))
     nodes = cut(slim.filter(F.col("size") >= least).groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("copies")))
     rows = read.filter(F.col("size") >= least).select("node", "n_own", F.posexplode("keys").alias("k", "key")).select("key", "node", (F.col("k") >= F.col("n_own")).alias("probe"), F.lit(0).cast("long").alias("gaps"))
-    links = _links(texts, nodes, rows, edits, crowd, finer)
+    classed = cut(_classes(texts, nodes, rows, edits, crowd, finer).join(nodes, "node"))
     discard(read)
-    classed = components(links).join(nodes, "node")
     lead = classed.groupBy("component").agg(F.min("first").alias("lead"))
     leads = classed.join(lead, "component").select("node", "lead")
     repeated = nodes.join(leads, "node", "left").select("node", "copies", F.coalesce("lead", "first").alias("lead"), "first").filter("copies > 1 or lead <> first")
     # written, so that both sides of the join are plain and a line in very many documents is split
     repeated = cut(repeated.select("node", "lead"))
+    discard(classed)
     gone = slim.select("doc_id", "line", "node").join(narrow(repeated), "node").filter(F.struct("doc_id", "line") != F.col("lead")).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
     counted = slim.groupBy("doc_id").agg((F.max("line") + 1).cast("long").alias("n_lines"))
     every = docs.select("doc_id").join(counted, "doc_id", "left").join(gone, "doc_id", "left")

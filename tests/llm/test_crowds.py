@@ -124,3 +124,31 @@ def test_steps_that_link_nothing_are_left_out(spark, monkeypatch, few, most):
     got = sorted(map(tuple, jaccard.near_groups(docs, 3, 90).collect()))
     assert got == brute.near_groups(rows, 3, 90)
     assert len(seen) <= most
+
+
+def test_few_links_are_written_by_few_tasks(spark, monkeypatch):
+    seen = writes(monkeypatch)
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    last = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert components(spark.createDataFrame([(k, k + 1000) for k in range(300)], "a long, b long")).count() == 600
+    finally:
+        for k, v in last.items():
+            spark.conf.set(k, v)
+    assert len(seen) == 1 and len(spark.read.parquet(seen[0]).inputFiles()) <= spark.sparkContext.defaultParallelism
+
+
+def test_lines_found_last_link_whole_classes(spark, monkeypatch):
+    """The links of the classes so far are not gone through again."""
+    r = random.Random(8)
+    rows = []
+    for k in range(0, 60, 3):
+        words = ["".join(r.choices("abcdefgh", k=6)) for _ in range(12)]
+        rows += [(k, " ".join(words)), (k + 1, " ".join(words) + "x"), (k + 2, " ".join(["y" + words[0], *words[1:]]))]
+    seen = []
+    monkeypatch.setattr(linejoin, "components", lambda links: (seen.append(links.count()), components(links))[1])
+    got = {x.doc_id: x.removed for x in linejoin.removals(spark.createDataFrame(rows, "doc_id long, text string"), least=1).collect() if x.removed}
+    assert got == brute.removed_lines(rows, least=1) and len(got) == 40
+    assert len(seen) == 2 and seen[0] >= 40 > seen[1]
